@@ -133,3 +133,18 @@ def top_tokens(counts: DataFrame, group_cols, k: int, token_col: str = "token")
     ranked = top_k(counts, group_cols, [F.col("n").desc(), F.col(token_col)], k)
     w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     return ranked.withColumn("rel_size", F.round(F.col("n") / F.max("n").over(w), 6))
+
+
+def topk_cross(df: DataFrame, a: str, b: str, ka: int, kb: int) -> DataFrame:
+    """Counts of (a, b) restricted to the top-ka values of ``a`` and top-kb of ``b``.
+
+    One partial aggregate to (a, b) counts, two global top-k (per-partition
+    limit + merge), and semi joins against the k-row winners (broadcast: their
+    size is bounded by k)."""
+    ab = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    ta = (ab.groupBy(a).agg(F.sum("n").alias("_t")).orderBy(F.col("_t").desc(), F.col(a)).limit(ka)
+          .select(a))
+    tb = (ab.groupBy(b).agg(F.sum("n").alias("_t")).orderBy(F.col("_t").desc(), F.col(b)).limit(kb)
+          .select(b))
+    return (ab.join(F.broadcast(ta), a, "left_semi").join(F.broadcast(tb), b, "left_semi")
+            .select(a, b, F.col("n").cast("bigint").alias("n")))

@@ -8,7 +8,7 @@ from corpusgauge import fixed as X
 from corpusgauge.functions import text as T
 from corpusgauge.operators import eda as E
 from corpusgauge.operators import quality as Q
-from corpusgauge.plans.registry import load, query, sql_str
+from corpusgauge.plans.registry import load, query, sql_list, sql_str
 
 # -- shared SQL fragments (the oracle restates each rule in DuckDB SQL) ------
 
@@ -16,6 +16,7 @@ STRIP_SQL = sql_str(T.STRIP_REGEX)
 WS_RUN_SQL = sql_str(T.WS_RUN_REGEX)
 SPAM_SQL = sql_str(X.SPAM_REGEX)
 LETTER_SQL = sql_str(X.LETTER_CLASS)
+RELIG_SQL = sql_list([m.lower() for m in X.RELIGIOUS_MARKERS])
 
 CLEAN_CTE = f"""
 cg_base AS (
@@ -126,9 +127,9 @@ def length_box_by_lang(spark, sf_dir):
 @query("emoji_marker_flags", f"""
 SELECT lang, count(*)::BIGINT AS n,
        count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), {sql_str(X.EMOJI_CLASS)}))::BIGINT AS n_emoji,
-       count(*) FILTER (WHERE len(list_filter({sql_str('[' + ','.join(chr(34) + m.lower() + chr(34) for m in X.RELIGIOUS_MARKERS) + ']')}::VARCHAR[],
+       count(*) FILTER (WHERE len(list_filter({RELIG_SQL},
                                               lambda m: strpos(lower(coalesce(text, '')), m) > 0)) > 0)::BIGINT AS n_religious,
-       round(avg(CASE WHEN len(list_filter({sql_str('[' + ','.join(chr(34) + m.lower() + chr(34) for m in X.RELIGIOUS_MARKERS) + ']')}::VARCHAR[],
+       round(avg(CASE WHEN len(list_filter({RELIG_SQL},
                                               lambda m: strpos(lower(coalesce(text, '')), m) > 0)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS religious_share
 FROM documents GROUP BY lang""", ops="S10 S11 A10")
 def emoji_marker_flags(spark, sf_dir):

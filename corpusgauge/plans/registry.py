@@ -44,6 +44,11 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def sql_list(values) -> str:
+    """A DuckDB list literal of strings."""
+    return "[" + ", ".join(sql_str(v) for v in values) + "]"
+
+
 def all_queries() -> dict[str, Query]:
     # importing the plan modules fills the registry
     from corpusgauge.plans import (corpus, eda, labels_plans, stats_plans,  # noqa: F401
