@@ -61,6 +61,13 @@ def sequential_ids(df: DataFrame, order_col: str, out_col: str = "seq",
             .drop("_pid", "_rn", "_off"))
 
 
+def join_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate ``right`` to every row of ``left``
+    (equi-join on a constant key; ``right`` is a single row, so it is broadcast)."""
+    return (left.withColumn("_one", F.lit(1))
+            .join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
 def pct(n: Column, d: Column, digits: int = 1) -> Column:
     """Percent with a zero guard, half-even rounding."""
     return F.when(d == 0, F.lit(0.0)).otherwise(F.bround(F.lit(100.0) * n / d, digits))

@@ -106,20 +106,23 @@ def histogram(df: DataFrame, col: str, bins: int = 12) -> DataFrame:
     """Equal-width bins between min and max, last bin closed, empty bins kept.
 
     The min/max pass is a global partial aggregate; the bin table (``bins``
-    rows) is generated and left-joined to the per-bin counts."""
+    rows, tiny) is left-joined to the per-bin counts."""
     spark = df.sparkSession
-    rng = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    raw_bin = F.floor((F.col(col) - F.col("_lo")) / width)
-    binned = (df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(rng))
-              .select(F.when(F.col("_hi") == F.col("_lo"), F.lit(0))
-                      .otherwise(F.least(raw_bin, F.lit(bins - 1))).cast("int").alias("bin")))
+    # two scalars -- the only values that travel through the driver
+    lo, hi = df.agg(F.min(col), F.max(col)).first()
+    if lo is None:
+        return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, n bigint")
+    lo_c, hi_c = F.lit(float(lo)), F.lit(float(hi))
+    width = (hi_c - lo_c) / F.lit(float(bins))
+    raw_bin = F.floor((F.col(col) - lo_c) / width)
+    binned = df.filter(F.col(col).isNotNull()).select(
+        (F.lit(0) if hi == lo else F.least(raw_bin, F.lit(bins - 1))).cast("int").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    dim = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(rng))
+    dim = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (dim.join(counts, "bin", "left")
             .select("bin",
-                    F.round(F.col("_lo") + F.col("bin") * width, 6).alias("bin_lo"),
-                    F.round(F.col("_lo") + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
+                    F.round(lo_c + F.col("bin") * width, 6).alias("bin_lo"),
+                    F.round(lo_c + (F.col("bin") + 1) * width, 6).alias("bin_hi"),
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
