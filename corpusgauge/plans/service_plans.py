@@ -1 +1,209 @@
-"""Plans (filled in below)."""
+"""Questionnaire scoring and dashboard plans.
+
+Sessions are the users of ``events``; each user's answers are derived from
+their events by fixed rules (the derivation is one SQL text that Spark and the
+DuckDB oracle both run), then scored by the library operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusgauge import fixed as X
+from corpusgauge.operators import assess as A
+from corpusgauge.operators import reports as R
+from corpusgauge.plans.registry import load, query, sql_list, sql_str
+
+TYPE_CAT = [("click", "physical", "P"), ("view", "verbal", "V"), ("purchase", "financial", "F"),
+            ("signup", "neglect", "N"), ("error", "abandonment", "A")]
+
+
+def answer_spec():
+    """(field, value expression, condition) over the per-user counts ``u``.
+
+    The expressions are plain SQL understood by both Spark and DuckDB."""
+    spec = [
+        ("started", "'true'", "true"),
+        ("reporter_type", "CASE WHEN session_id % 3 = 0 THEN 'third_party' ELSE 'self' END", "true"),
+        ("is_elder", "'true'", "session_id % 11 <> 0"),
+        ("gender", "CASE WHEN session_id % 4 = 0 THEN 'male' ELSE 'female' END", "session_id % 4 <> 2"),
+        ("location", "'DIV_' || CAST(session_id % 8 AS STRING) || '|DST_' || CAST(session_id % 64 AS STRING)",
+         "session_id % 5 <> 0"),
+    ]
+    any_sel = []
+    for t, cat, p in TYPE_CAT:
+        spec.append(("selected_categories", f"'{cat}'", f"n_{t} >= 13"))
+        spec.append((f"{p}1", f"CASE WHEN n_{t} >= 15 THEN 'true' ELSE 'false' END", f"n_{t} >= 10"))
+        spec.append((f"{p}2", f"CASE WHEN n_{t} % 2 = 0 THEN 'true' ELSE 'false' END", f"n_{t} >= 12"))
+        any_sel.append(f"n_{t} >= 13")
+    murder = "session_id % 3 = 0 AND n_error >= 16"
+    spec += [
+        ("selected_categories", "'murder'", murder),
+        ("M1", "CASE WHEN n_error >= 18 THEN 'true' ELSE 'false' END", murder),
+        ("selected_categories", "''", f"NOT ({' OR '.join(any_sel)} OR ({murder}))"),
+        ("abuser_is_family", "CASE WHEN session_id % 2 = 0 THEN 'true' ELSE 'false' END", "session_id % 7 <> 0"),
+        ("abuser_relation", "'son'", "session_id % 6 = 0"),
+        ("ongoing", "CASE WHEN n_ev > 66 THEN 'true' ELSE 'false' END", "session_id % 10 <> 3"),
+        ("needs_safe_place", "CASE WHEN n_error >= 19 THEN 'true' ELSE 'false' END", "session_id % 10 <> 7"),
+        ("consent", "CASE WHEN session_id % 9 <> 0 THEN 'true' ELSE 'false' END", "true"),
+    ]
+    return spec
+
+
+def _user_counts_sql(events: str) -> str:
+    counts = ", ".join(f"sum(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS n_{t}" for t, _c, _p in TYPE_CAT)
+    return f"SELECT user_id AS session_id, count(*) AS n_ev, {counts} FROM {events} GROUP BY user_id"
+
+
+def _answers_sql(events: str) -> str:
+    parts = [f"SELECT session_id, '{f}' AS field, {v} AS value FROM u WHERE {w}" for f, v, w in answer_spec()]
+    return f"WITH u AS ({_user_counts_sql(events)}) SELECT session_id, field, value FROM (" + \
+        " UNION ALL ".join(parts) + ") x"
+
+
+def answers_frame(spark, sf_dir):
+    """One aggregate of the events per user, then every answer row from one
+    ``explode`` of (field, value, keep) structs -- a single scan."""
+    events = load(spark, sf_dir, "events").select("user_id", "event_type")
+    u = spark.sql(_user_counts_sql("{events}"), events=events)
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.expr(v).cast("string").alias("value"),
+                              F.expr(w).alias("keep")) for f, v, w in answer_spec()])
+    return (u.select("session_id", F.explode(rows).alias("r"))
+            .filter(F.col("r.keep")).select("session_id", "r.field", "r.value"))
+
+
+ANSWERS_CTE = f"a AS ({_answers_sql('events')})"
+
+CATS_VALUES = ", ".join(f"({sql_str(c)}, {i}, {sev}, {sql_list(laws)})"
+                        for i, (c, sev, laws, _t) in enumerate(X.BANK_CATEGORIES))
+FU_VALUES = ", ".join(f"({sql_str(q)}, {sql_str(c)}, {i}, {str(e).lower()}, {str(m).lower()}, "
+                      f"{sql_str(X.EMERGENCY_ACTIONS.get(q, ''))})"
+                      for i, (q, c, e, m) in enumerate(X.BANK_FOLLOWUPS))
+RISK_LABELS_SQL = sql_list([X.RISK_LABELS[i] for i in range(1, 6)])
+
+ASSESS_CTE = f"""{ANSWERS_CTE},
+cats(category, cat_ord, severity, laws) AS (VALUES {CATS_VALUES}),
+fu(qid, category, q_ord, escalates, emergency, action) AS (VALUES {FU_VALUES}),
+sel AS (SELECT session_id, value AS category FROM a WHERE field = 'selected_categories'),
+asked AS (SELECT a.session_id, fu.*, lower(a.value) = 'true' AS yes FROM a JOIN fu ON a.field = fu.qid
+          JOIN sel ON sel.session_id = a.session_id AND sel.category = fu.category),
+pc AS (SELECT session_id, category, count(*) AS n_asked, count(*) FILTER (WHERE yes) AS n_yes,
+              bool_or(yes AND escalates) AS esc, bool_or(yes AND emergency) AS emg,
+              list(action ORDER BY q_ord) FILTER (WHERE yes AND emergency AND action <> '') AS acts
+       FROM asked GROUP BY ALL),
+pcc AS (SELECT pc.*, cats.cat_ord, cats.severity, cats.laws FROM pc JOIN cats USING (category)),
+ps AS (SELECT session_id, sum(n_asked) AS n_asked, sum(n_yes) AS n_yes,
+              max(severity) FILTER (WHERE n_yes > 0) AS severity, bool_or(esc) AS escalated, bool_or(emg) AS emg_fu,
+              list(category ORDER BY cat_ord) FILTER (WHERE n_yes > 0) AS confirmed,
+              flatten(list(laws ORDER BY cat_ord) FILTER (WHERE n_yes > 0)) AS laws_all,
+              flatten(list(acts ORDER BY cat_ord) FILTER (WHERE acts IS NOT NULL)) AS acts_all
+       FROM pcc GROUP BY session_id),
+fl AS (SELECT session_id, bool_or(lower(value) = 'true') FILTER (WHERE field = 'ongoing') AS ongoing,
+              bool_or(lower(value) = 'true') FILTER (WHERE field = 'needs_safe_place') AS safe_place,
+              bool_or(lower(value) = 'true') FILTER (WHERE field = 'abuser_is_family') AS family
+       FROM a GROUP BY session_id),
+j AS (SELECT s.session_id, ps.*, fl.ongoing, fl.safe_place, fl.family,
+             coalesce(len(ps.confirmed), 0) AS n_conf, coalesce(ps.severity, 0) AS sev,
+             coalesce(ps.emg_fu, false) OR coalesce(fl.safe_place, false) AS emergency
+      FROM (SELECT DISTINCT session_id FROM a) s LEFT JOIN ps USING (session_id) LEFT JOIN fl USING (session_id)),
+asm AS (SELECT session_id, coalesce(confirmed, []) AS confirmed, sev AS severity,
+               CASE WHEN n_conf = 0 THEN 1 WHEN emergency THEN 5
+                    ELSE greatest(1, least(sev + CAST(coalesce(escalated, false) AS INTEGER)
+                                              + CAST(coalesce(ongoing, false) AS INTEGER), 4)) END AS risk_level,
+               round_even(least(CASE WHEN coalesce(n_asked, 0) = 0 THEN 0.0 WHEN coalesce(n_yes, 0) = 0 THEN 0.30
+                                     ELSE 0.55 + 0.45 * n_yes / n_asked END, 0.98), 2) AS confidence,
+               emergency,
+               list_concat(coalesce(acts_all, []),
+                           CASE WHEN coalesce(safe_place, false) THEN [{sql_str(X.SAFE_PLACE_ACTION)}] ELSE [] END) AS acts,
+               coalesce(laws_all, []) AS laws_all, coalesce(family, false) AS trust_blind_spot
+        FROM j)"""
+
+
+@query("assess_sessions", f"""
+WITH {ASSESS_CTE}
+SELECT session_id, array_to_string(confirmed, ',') AS confirmed, severity::INTEGER AS severity,
+       risk_level::INTEGER AS risk_level, list_extract({RISK_LABELS_SQL}, risk_level) AS risk_label,
+       confidence, emergency, array_to_string(acts, ' | ') AS emergency_actions,
+       array_to_string(list_filter(laws_all, lambda x, i: list_position(laws_all, x) = i), '; ') AS laws,
+       trust_blind_spot
+FROM asm""", ops="R4 R5 U4")
+def assess_sessions(spark, sf_dir):
+    a = A.assess(answers_frame(spark, sf_dir))
+    return a.select("session_id", F.array_join("confirmed_categories", ",").alias("confirmed"),
+                    F.col("severity").cast("int").alias("severity"), F.col("risk_level").cast("int").alias("risk_level"),
+                    "risk_label", "confidence", "emergency",
+                    F.array_join("emergency_actions", " | ").alias("emergency_actions"),
+                    F.array_join("laws", "; ").alias("laws"), "trust_blind_spot")
+
+
+SCREENS_VALUES = ", ".join(
+    f"({o}, {sql_str(s)}, {sql_str(f)}, {sql_str(t)}, {sql_str(c) if c else 'NULL'}, "
+    f"{sql_str(sf) if sf else 'NULL'}, {sql_str(sv) if sv else 'NULL'})"
+    for o, s, f, t, c, sf, sv in A.screen_rows())
+
+SEQ_CTE = f"""{ANSWERS_CTE},
+scr(ord, screen_id, field, type, category, show_field, show_value) AS (VALUES {SCREENS_VALUES}),
+ss AS (SELECT DISTINCT session_id FROM a),
+seq AS (SELECT ss.session_id, scr.* FROM ss, scr
+        WHERE (scr.category IS NULL AND scr.show_field IS NULL)
+           OR (scr.category IS NOT NULL AND EXISTS (SELECT 1 FROM a WHERE a.session_id = ss.session_id
+                   AND a.field = 'selected_categories' AND a.value = scr.category))
+           OR (scr.show_field IS NOT NULL AND EXISTS (SELECT 1 FROM a WHERE a.session_id = ss.session_id
+                   AND a.field = scr.show_field AND lower(a.value) = scr.show_value))),
+sa AS (SELECT seq.*, EXISTS (SELECT 1 FROM a WHERE a.session_id = seq.session_id AND a.field = seq.field) AS answered
+       FROM seq)"""
+
+
+@query("progress", f"""
+WITH {SEQ_CTE},
+p AS (SELECT session_id, count(*) AS total, count(*) FILTER (WHERE answered) AS current FROM sa
+      WHERE type <> 'welcome' GROUP BY session_id),
+q AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE round_even(current / total * 100, 0) END::INTEGER AS percent FROM p)
+SELECT session_id, total::BIGINT AS total, current::BIGINT AS current, percent,
+       repeat('█', round_even(percent / 10.0, 0)::INTEGER) || repeat('░', 10 - round_even(percent / 10.0, 0)::INTEGER) AS bar
+FROM q""", ops="R6 F9")
+def progress(spark, sf_dir):
+    p = A.progress(answers_frame(spark, sf_dir))
+    return p.select("session_id", F.col("total").cast("bigint").alias("total"),
+                    F.col("current").cast("bigint").alias("current"), "percent", "bar")
+
+
+@query("next_screen", f"""
+WITH {SEQ_CTE},
+o AS (SELECT session_id, arg_min(screen_id, ord) AS next_screen FROM sa WHERE NOT answered GROUP BY session_id)
+SELECT ss.session_id, coalesce(o.next_screen, 'complete') AS next_screen FROM ss LEFT JOIN o USING (session_id)""",
+       ops="R7 W7 F9")
+def next_screen(spark, sf_dir):
+    return A.next_screen(answers_frame(spark, sf_dir))
+
+
+def reports_frame(spark, sf_dir):
+    ans = answers_frame(spark, sf_dir)
+    recs = R.dashboard_records(ans, A.assess(ans))
+    created = (load(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("created_at"))
+               .select(F.col("user_id").cast("string").alias("id"), "created_at"))
+    ok, _rejected = R.consent_gate(recs.join(created, "id"))
+    return R.sanitize(ok)
+
+
+@query("dashboard", f"""
+WITH {ASSESS_CTE},
+rec AS (SELECT asm.session_id, asm.confirmed AS abuse_types, asm.risk_level,
+               max(CASE WHEN a.field = 'gender' THEN a.value END) AS gender,
+               nullif(split_part(max(CASE WHEN a.field = 'location' THEN a.value END), '|', 2), '') AS district,
+               max(CASE WHEN a.field = 'abuser_is_family' THEN lower(a.value) END) AS fam,
+               max(CASE WHEN a.field = 'consent' THEN lower(a.value) END) AS consent
+        FROM asm JOIN a USING (session_id) GROUP BY asm.session_id, asm.confirmed, asm.risk_level),
+cr AS (SELECT user_id AS session_id, min(ts) AS created_at FROM events GROUP BY user_id),
+r AS (SELECT rec.*, cr.created_at FROM rec JOIN cr USING (session_id) WHERE consent = 'true')
+SELECT 'total' AS metric, 'all' AS key, count(*)::BIGINT AS n FROM r
+UNION ALL SELECT 'gender', coalesce(gender, 'unknown'), count(*) FROM r GROUP BY 2
+UNION ALL SELECT 'district', district, count(*) FROM r WHERE district IS NOT NULL AND district <> '' GROUP BY 2
+UNION ALL SELECT 'risk_level', CAST(risk_level AS VARCHAR), count(*) FROM r GROUP BY 2
+UNION ALL SELECT 'family_vs_non', CASE fam WHEN 'true' THEN 'family' ELSE 'non_family' END, count(*) FROM r
+          WHERE fam IN ('true', 'false') GROUP BY 2
+UNION ALL SELECT 'monthly_trend', strftime(created_at, '%Y-%m'), count(*) FROM r GROUP BY 2
+UNION ALL SELECT 'abuse_type', t, count(*) FROM (SELECT unnest(abuse_types) AS t FROM r) GROUP BY 2""",
+       ops="A17 A16 F7 S30 S31")
+def dashboard(spark, sf_dir):
+    return R.dashboard_stats(reports_frame(spark, sf_dir))
