@@ -147,13 +147,15 @@ def model_tokens(col) -> Column:
 def word_ngrams(tokens, n_max: int = 2) -> Column:
     """T5: word 1..n grams joined by a blank (as a bag, order kept)."""
     toks = _c(tokens)
-    grams = [toks]
-    for n in range(2, n_max + 1):
-        grams.append(F.transform(
-            F.sequence(F.lit(0), F.size(toks) - n),
-            lambda i, n=n: F.array_join(F.slice(toks, i + 1, n), " ")))
-    return F.flatten(F.array(*[F.when(F.size(toks) >= k, g).otherwise(F.array().cast("array<string>"))
-                               for k, g in enumerate(grams, start=1)]))
+
+    def grams_of_size(n):
+        # one-argument lambda: transform() passes (element, index) to two-argument ones
+        return F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
+                           lambda i: F.array_join(F.slice(toks, i, n), " "))
+
+    parts = [toks] + [F.when(F.size(toks) >= n, grams_of_size(n)).otherwise(F.array().cast("array<string>"))
+                      for n in range(2, n_max + 1)]
+    return F.flatten(F.array(*parts))
 
 
 def char_wb_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
@@ -169,13 +171,12 @@ def char_wb_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     empty = F.array().cast("array<string>")
 
+    def grams_of_size(w, n):
+        return F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+
     def grams_of(w):
-        per_n = []
-        for n in range(n_min, n_max + 1):
-            per_n.append(F.when(F.length(w) > n,
-                                F.transform(F.sequence(F.lit(1), F.length(w) - n + 1),
-                                            lambda i, n=n: F.substring(w, i, n)))
-                         .otherwise(empty))
+        per_n = [F.when(F.length(w) > n, grams_of_size(w, n)).otherwise(empty)
+                 for n in range(n_min, n_max + 1)]
         per_n.append(F.when(F.length(w) <= n_max, F.array(w)).otherwise(empty))
         return F.flatten(F.array(*per_n))
 

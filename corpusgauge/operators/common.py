@@ -42,13 +42,16 @@ def sequential_ids(df: DataFrame, order_col: str, out_col: str = "seq",
     """1-based position of every row in ``order_col`` order, without a
     single-partition window.
 
-    Range-partition by the (unique) order column, count each partition, take
-    the prefix sums of those few counts (one row per partition -- bounded),
-    broadcast them back and add the row number inside the partition.
+    Range-partition by the (unique) order column and checkpoint that frame
+    (reliable checkpoint in the shared ``spark.checkpoint.dir``), so the
+    per-partition counts and the in-partition row numbers are computed from
+    the same materialised partitions even when the input order is not
+    deterministic; then add the prefix sums of the counts (one row per
+    partition -- bounded, broadcast) to the row number inside the partition.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, F.col(order_col)).withColumn("_pid", F.spark_partition_id())
+    parted = cut_lineage(df.repartitionByRange(n, F.col(order_col)).withColumn("_pid", F.spark_partition_id()))
     counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.common import stable_hash_order
+from corpusgauge.operators.common import cut_lineage, stable_hash_order
 
 
 def rank_within_groups(df: DataFrame, group_col: str, order_col: str, out_col: str = "rank",
@@ -26,8 +26,9 @@ def rank_within_groups(df: DataFrame, group_col: str, order_col: str, out_col: s
     """1-based rank of each row inside its group by ``order_col`` (unique within the group)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = (df.repartitionByRange(n, F.col(group_col), F.col(order_col))
-              .withColumn("_pid", F.spark_partition_id()))
+    # checkpointed so counts and local numbers see the same partitions
+    parted = cut_lineage(df.repartitionByRange(n, F.col(group_col), F.col(order_col))
+                         .withColumn("_pid", F.spark_partition_id()))
     counts = parted.groupBy(group_col, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         group_col, "_pid",
