@@ -145,7 +145,10 @@ def model_tokens(col) -> Column:
 
 
 def word_ngrams(tokens, n_max: int = 2) -> Column:
-    """T5: word 1..n grams joined by a blank (as a bag, order kept)."""
+    """T5: word 1..n grams joined by a blank (as a bag, order kept).
+
+    Pass a column *reference* (a projected token array): the token expression
+    is read once per n-gram position inside the lambda."""
     toks = _c(tokens)
 
     def grams_of_size(n):
@@ -158,6 +161,23 @@ def word_ngrams(tokens, n_max: int = 2) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def _wb_grams_of_padded(w, n_min: int, n_max: int) -> Column:
+    empty = F.array().cast("array<string>")
+
+    def grams_of_size(n):
+        return F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+
+    per_n = [F.when(F.length(w) > n, grams_of_size(n)).otherwise(empty) for n in range(n_min, n_max + 1)]
+    per_n.append(F.when(F.length(w) <= n_max, F.array(w)).otherwise(empty))
+    return F.flatten(F.array(*per_n))
+
+
+def char_wb_word_grams(word, n_min: int = 3, n_max: int = 5) -> Column:
+    """T6 for one (already lower-cased, non-blank) word: its padded char n-grams."""
+    padded = F.concat(F.lit(" "), _c(word), F.lit(" "))
+    return _wb_grams_of_padded(padded, n_min, n_max)
+
+
 def char_wb_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
     """Character n-grams inside word boundaries, each word padded by one blank.
 
@@ -168,16 +188,10 @@ def char_wb_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
     """
     words = F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WS_RUN_REGEX),
                      lambda w: F.length(w) > 0)
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    empty = F.array().cast("array<string>")
-
-    def grams_of_size(w, n):
-        return F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+    return F.flatten(F.transform(words, lambda w: char_wb_word_grams(w, n_min, n_max)))
 
-    def grams_of(w):
-        per_n = [F.when(F.length(w) > n, grams_of_size(w, n)).otherwise(empty)
-                 for n in range(n_min, n_max + 1)]
-        per_n.append(F.when(F.length(w) <= n_max, F.array(w)).otherwise(empty))
-        return F.flatten(F.array(*per_n))
 
-    return F.flatten(F.transform(padded, grams_of))
+def whitespace_words(col) -> Column:
+    """Lower-cased whitespace-separated words (blank pieces dropped)."""
+    return F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WS_RUN_REGEX),
+                    lambda w: F.length(w) > 0)
