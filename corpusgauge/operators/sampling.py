@@ -43,7 +43,10 @@ def rank_within_groups(df: DataFrame, group_col: str, order_col: str, out_col: s
 
 def largest_remainder_quotas(counts: DataFrame, stratum_col: str, n_col: str, draws_col: str,
                              order_col: str, out_col: str = "quota") -> DataFrame:
-    """Per-stratum quotas summing to ``draws`` (one value per table)."""
+    """Per-stratum quotas summing to ``draws`` (one value per table).
+
+    Remainder ties go to the earlier label order, then the smaller stratum
+    value, so the result never depends on row order."""
     total = F.sum(n_col).over(Window.partitionBy())
     prod = F.col(n_col) * F.col(draws_col)
     with_floor = (counts.withColumn("_tot", total)
@@ -51,7 +54,7 @@ def largest_remainder_quotas(counts: DataFrame, stratum_col: str, n_col: str, dr
                   .withColumn("_rem", F.pmod(prod, F.col("_tot"))))
     need = F.col(draws_col) - F.sum("_floor").over(Window.partitionBy())
     ranked = with_floor.withColumn("_need", need).withColumn(
-        "_rr", F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(order_col))))
+        "_rr", F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(order_col), F.col(stratum_col))))
     return (ranked.withColumn(out_col, F.col("_floor") + F.when(F.col("_rr") <= F.col("_need"), 1).otherwise(0))
             .drop("_tot", "_floor", "_rem", "_need", "_rr"))
 
