@@ -349,3 +349,16 @@ def numeric_stats(spark, sf_dir):
         F.max("c_acctbal").alias("max_value"), F.round(F.avg("c_acctbal"), 4).alias("mean_value"),
         F.round(F.percentile(F.col("c_acctbal"), 0.5), 4).alias("median_value"),
         F.countDistinct("c_nationkey").alias("n_distinct_nations"))
+
+
+@query("table_inventory", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t})::BIGINT AS n_rows, "
+    f"(SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}')::INTEGER AS n_columns"
+    for t in ["documents", "labels", "events", "conversations", "benchmark", "embeddings", "pages"]),
+       ops="IO11")
+def table_inventory(spark, sf_dir):
+    from corpusgauge.sources.io import table_inventory as inv
+    names = ["documents", "labels", "events", "conversations", "benchmark", "embeddings", "pages"]
+    df = inv(spark, {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in names})
+    return df.select(F.col("table").alias("table_name"), F.col("n_rows").cast("bigint").alias("n_rows"),
+                     F.col("n_columns").cast("int").alias("n_columns"))
