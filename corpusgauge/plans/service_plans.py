@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusgauge import fixed as X
 from corpusgauge.operators import assess as A
 from corpusgauge.operators import reports as R
+from corpusgauge.functions.text import STRIP_REGEX as T_STRIP
 from corpusgauge.plans.registry import load, query, sql_list, sql_str
 
 TYPE_CAT = [("click", "physical", "P"), ("view", "verbal", "V"), ("purchase", "financial", "F"),
@@ -207,3 +208,117 @@ UNION ALL SELECT 'abuse_type', t, count(*) FROM (SELECT unnest(abuse_types) AS t
        ops="A17 A16 F7 S30 S31")
 def dashboard(spark, sf_dir):
     return R.dashboard_stats(reports_frame(spark, sf_dir))
+
+
+# -- complaint records, work lists, lookups ------------------------------------------
+
+def _bn_case_sql(expr: str) -> str:
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in X.ABUSE_TYPE_BN.items())
+    return f"CASE lower({expr}) {whens} ELSE {expr} END"
+
+
+@query("complaint_records", f"""
+WITH {ASSESS_CTE},
+cr AS (SELECT user_id AS session_id, min(ts) AS created_at FROM events GROUP BY user_id),
+ag AS (SELECT session_id, max(CASE WHEN field = 'gender' THEN value END) AS gender,
+              max(CASE WHEN field = 'location' THEN value END) AS loc,
+              max(CASE WHEN field = 'consent' THEN lower(value) END) AS consent FROM a GROUP BY session_id),
+r AS (SELECT asm.session_id, array_to_string(asm.confirmed, ', ') AS abuse_type, asm.risk_level, cr.created_at,
+             ag.gender, nullif(split_part(ag.loc, '|', 2), '') AS district
+      FROM asm JOIN cr USING (session_id) JOIN ag USING (session_id) WHERE ag.consent = 'true'),
+t AS (SELECT *, list_filter(list_transform(string_split(abuse_type, ','),
+                                           lambda p: regexp_replace(p, {sql_str(T_STRIP)}, '', 'g')),
+                            lambda p: length(p) > 0) AS parts FROM r)
+SELECT session_id,
+       'EA-' || strftime(created_at, '%Y') || '-' || strftime(created_at, '%m%d') || '-' ||
+         upper(substr(sha256(CAST(session_id AS VARCHAR)), 1, 4)) AS case_ref,
+       CASE WHEN abuse_type = '' THEN ''
+            ELSE array_to_string(list_transform(parts, lambda p: {_bn_case_sql('p')}), ' ও ') || ' (' || abuse_type || ')'
+       END AS abuse_type_bn,
+       translate(CAST(risk_level AS VARCHAR), '0123456789', '{X.BANGLA_DIGITS}') AS risk_bn,
+       CASE WHEN gender IS NULL OR length(regexp_replace(gender, {sql_str(T_STRIP)}, '', 'g')) = 0
+            THEN {sql_str(X.PLACEHOLDER)} ELSE gender END AS gender,
+       CASE WHEN district IS NULL OR length(regexp_replace(district, {sql_str(T_STRIP)}, '', 'g')) = 0
+            THEN {sql_str(X.PLACEHOLDER)} ELSE district END AS district
+FROM t""", ops="S25 S26 S27 S28 S29 S31")
+def complaint_records(spark, sf_dir):
+    from corpusgauge.functions import normalize as N
+    ans = answers_frame(spark, sf_dir)
+    asm = A.assess(ans)
+    recs = R.dashboard_records(ans, asm)
+    created = (load(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("created_at"))
+               .select(F.col("user_id").cast("string").alias("id"), "created_at"))
+    ok, _ = R.consent_gate(recs.join(created, "id"))
+    abuse = F.array_join("abuse_types", ", ")
+    return ok.select(
+        F.col("id").cast("bigint").alias("session_id"),
+        N.case_reference(F.col("id"), F.col("created_at")).alias("case_ref"),
+        N.translate_list(abuse, X.ABUSE_TYPE_BN).alias("abuse_type_bn"),
+        N.ascii_to_bangla_digits(F.col("risk_level")).alias("risk_bn"),
+        N.placeholder(F.col("gender"), X.PLACEHOLDER).alias("gender"),
+        N.placeholder(F.col("district"), X.PLACEHOLDER).alias("district"))
+
+
+@query("district_lookup", f"""
+WITH {ANSWERS_CTE},
+l AS (SELECT DISTINCT split_part(value, '|', 1) AS division, split_part(value, '|', 2) AS district
+      FROM a WHERE field = 'location')
+SELECT division, count(*)::BIGINT AS n_districts, string_agg(district, ',' ORDER BY district) AS districts
+FROM l GROUP BY division""", ops="J16")
+def district_lookup(spark, sf_dir):
+    ans = answers_frame(spark, sf_dir).filter(F.col("field") == "location")
+    loc = ans.select(F.split_part("value", F.lit("|"), F.lit(1)).alias("division"),
+                     F.split_part("value", F.lit("|"), F.lit(2)).alias("district")).distinct()
+    # one division's districts are bounded by the dimension (64 in the source bank)
+    return loc.groupBy("division").agg(
+        F.count(F.lit(1)).alias("n_districts"),
+        F.array_join(F.sort_array(F.collect_list("district")), ",").alias("districts"))
+
+
+VOICE, RATE = "bn-BD-female", "+0%"
+
+
+@query("tts_worklist", f"""
+WITH t AS (SELECT turn, substr(sha256('{VOICE}|{RATE}|' || text), 1, 32) AS key, text
+           FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+cache AS (SELECT DISTINCT key FROM t WHERE turn < 2)
+SELECT key, min(length(text))::BIGINT AS n_chars FROM t WHERE key NOT IN (SELECT key FROM cache) GROUP BY key""",
+       ops="S36 J15")
+def tts_worklist(spark, sf_dir):
+    from corpusgauge.functions import normalize as N
+    conv = load(spark, sf_dir, "conversations").filter((F.col("role") == "assistant") & F.col("text").isNotNull())
+    keyed = conv.select("turn", N.content_key(VOICE, RATE, F.col("text")).alias("key"), "text")
+    cache = keyed.filter(F.col("turn") < 2).select("key").distinct()
+    todo = keyed.join(cache, "key", "left_anti")
+    return todo.groupBy("key").agg(F.min(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+@query("rule_model_merge", """
+WITH e AS (SELECT event_id, event_type,
+             CASE WHEN event_type = 'error' THEN 'model says: ' || props || ' -- end'
+                  WHEN event_type = 'purchase' AND value > 45 THEN 'no json here' ELSE props END AS raw FROM events),
+p AS (SELECT *, CASE WHEN json_valid(raw) THEN raw
+                     WHEN json_valid(regexp_extract(raw, '(?s)\\{.*\\}', 0)) THEN regexp_extract(raw, '(?s)\\{.*\\}', 0)
+                END AS js FROM e),
+m AS (SELECT *, TRY_CAST(json_extract_string(js, '$.k') AS INTEGER) % 6 AS ms,
+             CASE event_type WHEN 'click' THEN 4 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 2
+                             WHEN 'error' THEN 3 END AS rule_sev FROM p),
+f AS (SELECT event_type, CASE WHEN ms BETWEEN 1 AND 5 THEN ms END AS model_sev, rule_sev FROM m)
+SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (WHERE model_sev IS NULL)::BIGINT AS n_degraded,
+       sum(coalesce(model_sev, rule_sev))::BIGINT AS severity_sum FROM f GROUP BY event_type""", ops="J17 S23 S24")
+def rule_model_merge(spark, sf_dir):
+    from pyspark.sql import types as Ty
+
+    from corpusgauge.functions import normalize as N
+    from corpusgauge.plans.classify_plans import raw_responses
+    r = raw_responses(spark, sf_dir)
+    parsed = N.parse_json_fallback(F.col("raw"), Ty.StructType([Ty.StructField("k", Ty.StringType())]))
+    ms = F.pmod(parsed["k"].try_cast("int"), F.lit(6))
+    model = r.select("event_id", F.when(ms.between(1, 5), ms).alias("model_sev"))
+    sev = {t: X.SEVERITY[c] for t, c, _p in TYPE_CAT}
+    rule = r.select("event_id", "event_type", N.map_default(F.col("event_type"), sev, 1).alias("rule_sev"))
+    # rule result left-joined with the model result; fall back to the rules (degraded)
+    j = rule.join(model, "event_id", "left")
+    return j.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("model_sev").isNull()).alias("n_degraded"),
+        F.sum(N.int_or_default(F.col("model_sev"), F.col("rule_sev"))).cast("bigint").alias("severity_sum"))
