@@ -307,3 +307,79 @@ def kfold(spark, sf_dir):
     lab = load(spark, sf_dir, "labels").select("doc_id", L.polarity_from_flags("quality", "toxic").alias("polarity"))
     f = S.stratified_folds(lab, "doc_id", "polarity", 4, SEED, X.POLARITY_LABELS)
     return f.groupBy("fold", "polarity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("uniform_sample", f"""
+SELECT doc_id FROM documents ORDER BY sha256('{SEED}|' || doc_id) LIMIT 50""", ops="P9")
+def uniform_sample(spark, sf_dir):
+    return S.uniform_sample(load(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, SEED)
+
+
+@query("rater_sheets", f"""
+WITH lab AS (SELECT doc_id, {POL_SQL} AS polarity FROM labels),
+cnt AS (SELECT polarity, count(*) AS n,
+               CASE polarity WHEN 'Negative' THEN 1 WHEN 'Neutral' THEN 2 WHEN 'Positive' THEN 3 END AS label_ord,
+               100 AS draw FROM lab GROUP BY polarity),
+q AS {_quota_sql('cnt', 'draw', 'n', 'q')},
+rk AS (SELECT lab.*, row_number() OVER (PARTITION BY polarity ORDER BY sha256('{SEED}|' || doc_id)) AS rnk FROM lab),
+ov AS (SELECT rk.doc_id FROM rk JOIN q USING (polarity) WHERE rnk <= q),
+rest AS (SELECT * FROM lab WHERE doc_id NOT IN (SELECT doc_id FROM ov)),
+rc AS (SELECT polarity, count(*) AS n,
+              CASE polarity WHEN 'Negative' THEN 1 WHEN 'Neutral' THEN 2 WHEN 'Positive' THEN 3 END AS label_ord
+       FROM rest GROUP BY polarity),
+off AS (SELECT polarity, coalesce(sum(n) OVER (ORDER BY label_ord, polarity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM rc),
+rr AS (SELECT rest.*, row_number() OVER (PARTITION BY polarity ORDER BY sha256('{SEED}|' || doc_id)) AS rnk FROM rest),
+own AS (SELECT doc_id, ['A', 'B', 'C', 'D'][CAST(((o + rnk - 1) % 4) + 1 AS INTEGER)] AS rater FROM rr JOIN off USING (polarity)),
+sh AS (SELECT doc_id, rater FROM ov, (VALUES ('A'), ('B'), ('C'), ('D')) r(rater) UNION ALL SELECT doc_id, rater FROM own)
+SELECT rater, doc_id, row_number() OVER (PARTITION BY rater ORDER BY sha256('{SEED}|' || rater || '|' || doc_id))::BIGINT AS sheet_pos,
+       '' AS polarity
+FROM sh""", ops="P5 P6 P7")
+def rater_sheets(spark, sf_dir):
+    lab = load(spark, sf_dir, "labels").select("doc_id", L.polarity_from_flags("quality", "toxic").alias("polarity"))
+    s = S.stratified_sample(lab, "doc_id", "polarity", 100, SEED, X.POLARITY_LABELS)
+    overlap = s.filter("in_sample").select("doc_id")
+    rest = s.filter(~F.col("in_sample")).select("doc_id", "polarity")
+    folds = S.stratified_folds(rest, "doc_id", "polarity", 4, SEED, X.POLARITY_LABELS)
+    own = folds.select("doc_id", F.element_at(F.array(*[F.lit(r) for r in RATERS]), F.col("fold") + 1).alias("rater"))
+    sheets = S.rater_sheets(overlap, own, "doc_id", RATERS, SEED, label_cols=("polarity",))
+    return sheets.select("rater", "doc_id", "sheet_pos", "polarity")
+
+
+@query("split_80_20", f"""
+WITH c AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || '|' || c_mktsegment AS s FROM customer),
+sc AS (SELECT s, count(*) AS n FROM c GROUP BY s),
+m AS (SELECT c.c_custkey, CASE WHEN sc.n < 2 THEN 'Other' ELSE c.s END AS stratum FROM c JOIN sc USING (s)),
+cnt AS (SELECT stratum, count(*) AS n, 0 AS label_ord FROM m GROUP BY stratum),
+tot AS (SELECT sum(n) AS t FROM cnt),
+c1 AS (SELECT cnt.*, (SELECT t - (2 * t + 9) // 10 FROM tot) AS draw FROM cnt),
+q AS (SELECT *, fl + CASE WHEN rr <= need THEN 1 ELSE 0 END AS q FROM (
+        SELECT *, row_number() OVER (ORDER BY rem DESC, label_ord, stratum) AS rr, draw - sum(fl) OVER () AS need FROM (
+          SELECT *, (n * draw) // sum(n) OVER () AS fl, (n * draw) % sum(n) OVER () AS rem FROM c1) a) b),
+rk AS (SELECT m.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{SEED}|' || c_custkey)) AS rnk FROM m)
+SELECT CASE WHEN rnk <= q THEN 'train' ELSE 'test' END AS split, count(*)::BIGINT AS n,
+       count(DISTINCT stratum)::BIGINT AS n_strata,
+       count(*) FILTER (WHERE stratum = 'Other')::BIGINT AS n_other
+FROM rk JOIN q USING (stratum) GROUP BY 1""", ops="P3")
+def split_80_20(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("s"))
+    sizes = c.groupBy("s").agg(F.count(F.lit(1)).alias("_n"))
+    m = c.join(sizes, "s").select("c_custkey", F.when(F.col("_n") < 2, "Other").otherwise(F.col("s")).alias("stratum"))
+    sp = S.stratified_split(m, "c_custkey", "stratum", SEED, 2, 10, labels=None)
+    # 80/20: the "rest" (test) is ceil(0.2 n); every row not in train is test
+    sp = sp.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
+    return sp.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stratum").alias("n_strata"),
+                                   F.count_if(F.col("stratum") == "Other").alias("n_other"))
+
+
+@query("review_sheet", f"""
+SELECT l.doc_id, 'Negative' AS current_value, 'Negative' AS new_value, length(d.text)::BIGINT AS text_len,
+       left(d.text, 120) AS text_head
+FROM labels l JOIN documents d USING (doc_id) WHERE {POL_SQL} = 'Negative'""", ops="P8 W4")
+def review_sheet(spark, sf_dir):
+    lab = load(spark, sf_dir, "labels").select("doc_id", L.polarity_from_flags("quality", "toxic").alias("polarity"))
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    sel = lab.filter(F.col("polarity") == "Negative").join(d, "doc_id")
+    return Q.order_by_length(sel, "text", "doc_id").select(
+        "doc_id", F.col("polarity").alias("current_value"), F.col("polarity").alias("new_value"),
+        F.length("text").cast("bigint").alias("text_len"), F.substring("text", 1, 120).alias("text_head"))
