@@ -33,19 +33,39 @@ def first_occurrence_flag(df: DataFrame, key_col: str, id_col: str, out_col: str
             .drop("_first_id"))
 
 
-def clean_corpus(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """every row with ``stripped``, ``char_len`` and ``remove_reason``
-    (null when kept).  Priority: spam > textless > too short > duplicate.
-    Duplicates are judged over all rows on the stripped text, first id kept."""
-    base = (df.withColumn("_stripped", T.ustrip(F.coalesce(F.col(text_col), F.lit(""))))
-            .withColumn("char_len", F.length("_stripped"))
-            .withColumn("_tkey", text_key(F.col("_stripped"))))
-    flagged = first_occurrence_flag(base, "_tkey", id_col, "_dup")
-    reason = (F.when(T.is_spam("_stripped"), REASON_SPAM)
-              .when(T.is_textless("_stripped"), REASON_TEXTLESS)
+def clean_corpus(df: DataFrame, id_col: str, text_col: str, keep_text: bool = False,
+                 extra=None) -> DataFrame:
+    """every row with ``char_len``, ``remove_reason`` (null when kept) and the
+    requested per-row columns.  Priority: spam > textless > too short > duplicate.
+    Duplicates are judged over all rows on the stripped text, first id kept.
+
+    All text rules run in one projection next to the scan; only narrow columns
+    (id, a 64-hex text key, flags) go through the duplicate shuffle.  ``extra``
+    maps output names to functions of the stripped text (e.g. a language tag);
+    ``keep_text`` also keeps the stripped text as ``_stripped``."""
+    stripped = T.ustrip(F.coalesce(F.col(text_col), F.lit("")))
+    base = df.withColumn("_stripped", stripped)
+    cols = [F.col(c) for c in df.columns if c != text_col]
+    feats = base.select(
+        *cols,
+        F.length("_stripped").alias("char_len"),
+        T.is_spam("_stripped").alias("_spam"),
+        T.is_textless("_stripped").alias("_textless"),
+        text_key(F.col("_stripped")).alias("_tkey"),
+        *[fn(F.col("_stripped")).alias(name) for name, fn in (extra or {}).items()],
+        *([F.col("_stripped")] if keep_text else []))
+    if not keep_text:
+        # the narrow per-row features (about 100 bytes a row) feed both the
+        # duplicate aggregate and the join back: persist them so the texts are
+        # scanned and regex-matched once (recomputed from lineage if lost)
+        from pyspark import StorageLevel
+        feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    flagged = first_occurrence_flag(feats, "_tkey", id_col, "_dup")
+    reason = (F.when(F.col("_spam"), REASON_SPAM)
+              .when(F.col("_textless"), REASON_TEXTLESS)
               .when(F.col("char_len") <= 2, REASON_SHORT)
               .when(F.col("_dup"), REASON_DUP))
-    return flagged.withColumn("remove_reason", reason).drop("_dup", "_tkey")
+    return flagged.withColumn("remove_reason", reason).drop("_dup", "_tkey", "_spam", "_textless")
 
 
 def split_kept_removed(cleaned: DataFrame):

@@ -38,9 +38,9 @@ TAG_SQL = f"""CASE WHEN regexp_matches(s, '[{X.ARABIC_RANGE}]') AND NOT regexp_m
      ELSE 'emoji/other' END"""
 
 
-def cleaned_documents(spark, sf_dir):
+def cleaned_documents(spark, sf_dir, keep_text=False, extra=None):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return Q.clean_corpus(docs, "doc_id", "text")
+    return Q.clean_corpus(docs, "doc_id", "text", keep_text, extra)
 
 
 @query("clean_reason_counts", f"""
@@ -59,10 +59,11 @@ SELECT doc_id, printf('C%05d', row_number() OVER (ORDER BY doc_id)) AS comment_i
        char_len::BIGINT AS char_len, {TAG_SQL} AS lang_tag
 FROM cg_clean WHERE remove_reason IS NULL""", ops="F2 W2 S2 S5")
 def clean_kept(spark, sf_dir):
-    kept, _ = Q.split_kept_removed(cleaned_documents(spark, sf_dir))
-    numbered = Q.number_kept(kept.select("doc_id", "_stripped", "char_len"), "doc_id")
-    return numbered.select("doc_id", "comment_id", F.col("char_len").cast("bigint").alias("char_len"),
-                           T.tag_language("_stripped").alias("lang_tag"))
+    # the language tag is computed next to the scan; numbering moves narrow rows only
+    c = cleaned_documents(spark, sf_dir, extra={"lang_tag": T.tag_language})
+    kept, _ = Q.split_kept_removed(c)
+    numbered = Q.number_kept(kept.select("doc_id", "char_len", "lang_tag"), "doc_id")
+    return numbered.select("doc_id", "comment_id", F.col("char_len").cast("bigint").alias("char_len"), "lang_tag")
 
 
 @query("lang_tag_counts", f"""
@@ -70,8 +71,8 @@ WITH {CLEAN_CTE}
 SELECT {TAG_SQL} AS lang_tag, lang AS source_lang, count(*)::BIGINT AS n
 FROM cg_clean WHERE remove_reason IS NULL GROUP BY 1, 2""", ops="S5 A1")
 def lang_tag_counts(spark, sf_dir):
-    kept, _ = Q.split_kept_removed(cleaned_documents(spark, sf_dir))
-    return (kept.groupBy(T.tag_language("_stripped").alias("lang_tag"), F.col("lang").alias("source_lang"))
+    kept, _ = Q.split_kept_removed(cleaned_documents(spark, sf_dir, extra={"lang_tag": T.tag_language}))
+    return (kept.groupBy("lang_tag", F.col("lang").alias("source_lang"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -151,5 +152,8 @@ FROM k WHERE seq > 100 AND seq <= 150""", ops="S4 W3")
 def preview_slice(spark, sf_dir):
     kept, _ = Q.split_kept_removed(cleaned_documents(spark, sf_dir))
     from corpusgauge.operators.common import sequential_ids
-    seq = sequential_ids(kept.select("doc_id", "text"), "doc_id", "seq")
-    return Q.row_slice(seq, "seq", 100, 50).select("doc_id", "seq", T.preview("text").alias("preview"))
+    seq = sequential_ids(kept.select("doc_id"), "doc_id", "seq")
+    rows = Q.row_slice(seq, "seq", 100, 50)
+    # the slice is bounded (50 ids): join the texts back for the preview only
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(rows), "doc_id").select("doc_id", "seq", T.preview("text").alias("preview"))
