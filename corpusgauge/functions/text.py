@@ -131,12 +131,18 @@ def english_tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit("[a-z]+"), 0)
 
 
-def bangla_tokens(col) -> Column:
-    """T3 (before filtering): whitespace split, punctuation and digits stripped from both ends."""
+def bangla_strip_regex() -> str:
+    """Punctuation, ASCII and Bangla digits at either end of a token."""
     strip_chars = X.TOKEN_PUNCT + "0123456789" + X.BANGLA_DIGITS + " "
     cls = "[" + "".join("\\" + ch if ch in "[]\\^-" else ch for ch in strip_chars) + "]"
+    return rf"\A{cls}+|{cls}+\z"
+
+
+def bangla_tokens(col) -> Column:
+    """T3 (before filtering): whitespace split, punctuation and digits stripped from both ends."""
     parts = F.split(F.coalesce(_c(col), F.lit("")), WS_RUN_REGEX)
-    return F.transform(parts, lambda w: F.regexp_replace(w, rf"\A{cls}+|{cls}+\z", ""))
+    pat = bangla_strip_regex()
+    return F.transform(parts, lambda w: F.regexp_replace(w, pat, ""))
 
 
 def model_tokens(col) -> Column:

@@ -157,3 +157,55 @@ def preview_slice(spark, sf_dir):
     # the slice is bounded (50 ids): join the texts back for the preview only
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.join(F.broadcast(rows), "doc_id").select("doc_id", "seq", T.preview("text").alias("preview"))
+
+
+BUCKET_SQL = """CASE WHEN lower(tag) LIKE 'beng%' THEN 'Bangla' WHEN lower(tag) IN ('latin', 'banglish') THEN 'Banglish (Latin)'
+     WHEN strpos(lower(tag), 'bn+en') > 0 OR strpos(lower(tag), 'mix') > 0 THEN 'Code-mixed'
+     WHEN strpos(lower(tag), 'arab') > 0 THEN 'Arabic' ELSE 'Other' END"""
+
+
+@query("dedupe_norm", f"""
+WITH b AS (SELECT doc_id, text, regexp_replace(coalesce(text, ''), {STRIP_SQL}, '', 'g') AS s,
+                  lower(regexp_replace(regexp_replace(coalesce(text, ''), {WS_RUN_SQL}, ' ', 'g'), {STRIP_SQL}, '', 'g')) AS nk
+           FROM documents),
+t AS (SELECT *, {TAG_SQL} AS tag, doc_id > min(doc_id) OVER (PARTITION BY nk) AS dup FROM b),
+g AS (SELECT {BUCKET_SQL} AS lang_bucket, count(*) AS n,
+             count(*) FILTER (WHERE length(text) BETWEEN 1 AND 5000) AS n_in_gate,
+             count(*) FILTER (WHERE dup) AS n_dup FROM t GROUP BY 1)
+SELECT lang_bucket, n::BIGINT AS n, n_in_gate::BIGINT AS n_in_gate, n_dup::BIGINT AS n_dup,
+       CASE WHEN n = 0 THEN 0.0 ELSE round_even(100.0 * n_dup / n, 1) END AS pct_dup FROM g""",
+       ops="S3 S6 F8 S38 W1")
+def dedupe_norm(spark, sf_dir):
+    from corpusgauge.operators.common import pct
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    feats = docs.select(
+        "doc_id", Q.text_key(T.norm_text("text")).alias("_nk"),
+        T.lang_bucket(T.tag_language(T.ustrip(F.coalesce(F.col("text"), F.lit(""))))).alias("lang_bucket"),
+        F.length("text").between(1, 5000).alias("in_gate"))
+    flagged = Q.first_occurrence_flag(feats, "_nk", "doc_id", "dup")
+    g = flagged.groupBy("lang_bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("in_gate", F.lit(False))).alias("n_in_gate"),
+        F.count_if("dup").alias("n_dup"))
+    return g.select("lang_bucket", "n", "n_in_gate", "n_dup", pct(F.col("n_dup"), F.col("n")).alias("pct_dup"))
+
+
+BN_STRIP_CHARS = X.TOKEN_PUNCT + "0123456789" + X.BANGLA_DIGITS + " "
+
+
+@query("bangla_tokens_top", f"""
+WITH w AS (SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), {WS_RUN_SQL})) AS raw FROM documents),
+s AS (SELECT lang, regexp_replace(raw, {sql_str(T.bangla_strip_regex())}, '', 'g') AS token FROM w),
+f AS (SELECT * FROM s WHERE length(token) > 1 AND NOT list_contains({sql_list(X.CORPUS_BN_STOP)}, token)
+                        AND regexp_matches(token, '[{X.BENGALI_RANGE}]')),
+c AS (SELECT lang, token, count(*) AS n FROM f GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c)
+SELECT lang, token, n::BIGINT AS n, rank::INTEGER AS rank FROM r WHERE rank <= 10""", ops="T3 T7")
+def bangla_tokens_top(spark, sf_dir):
+    from corpusgauge.operators.common import top_k
+    docs = load(spark, sf_dir, "documents").select("lang", "text")
+    toks = docs.select("lang", F.explode(T.bangla_tokens("text")).alias("token"))
+    toks = toks.filter((F.length("token") > 1) & ~F.col("token").isin(X.CORPUS_BN_STOP)
+                       & F.col("token").rlike(f"[{X.BENGALI_RANGE}]"))
+    counts = toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return top_k(counts, ["lang"], [F.col("n").desc(), F.col("token")], 10).select(
+        "lang", "token", F.col("n").cast("bigint").alias("n"), "rank")
