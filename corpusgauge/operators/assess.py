@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
+from corpusgauge.functions.normalize import map_or_null
+from corpusgauge.functions.text import ustrip
 
 
 def bank_categories(spark) -> DataFrame:
@@ -155,3 +157,77 @@ def next_screen(answers: DataFrame) -> DataFrame:
     sessions = answers.select("session_id").distinct()
     return sessions.join(open_, "session_id", "left").select(
         "session_id", F.coalesce("next_screen", F.lit("complete")).alias("next_screen"))
+
+
+def summary_text(answers: DataFrame) -> DataFrame:
+    """The ordered Bangla summary of a session's answers, missing parts skipped.
+
+    One aggregate per session for the scalar answers, plus the answered
+    follow-ups of the selected categories (a join with the follow-up dimension
+    and the selection) collected in bank order -- bounded by the bank size.
+    Selected categories are listed in bank order."""
+    spark = answers.sparkSession
+    P = X.SUMMARY_PHRASES
+    fu = F.broadcast(bank_followups(spark).join(bank_categories(spark).select("category", "cat_ord"), "category"))
+    selected = (answers.filter((F.col("field") == "selected_categories") & (F.col("value") != ""))
+                .select("session_id", F.col("value").alias("category")))
+    fu_rows = (answers.join(fu, answers.field == fu.qid).join(selected, ["session_id", "category"], "left_semi")
+               .select("session_id", "cat_ord", "q_ord", "category", "qid", "value"))
+
+    def yn(c):
+        return F.when(F.lower(c) == "true", P["yes"]).otherwise(P["no"])
+
+    fu_lines = fu_rows.select(
+        "session_id", F.struct("cat_ord", "q_ord", F.col("category").alias("cat"),
+                               F.concat(F.lit("  - "), map_or_null(F.col("qid"), X.FOLLOWUP_TEXT_BN), F.lit(" → "),
+                                        yn(F.col("value"))).alias("line")).alias("s"))
+    fu_agg = fu_lines.groupBy("session_id").agg(F.sort_array(F.collect_list("s")).alias("_fu"))
+
+    def val(f):
+        return F.max(F.when(F.col("field") == f, F.col("value")))
+
+    def has(f):
+        return F.max(F.when(F.col("field") == f, F.lit(True)))
+
+    cat_ord = F.coalesce(*[F.when(F.col("value") == c, F.lit(i)) for i, (c, *_r) in enumerate(X.BANK_CATEGORIES)])
+    scal = answers.groupBy("session_id").agg(
+        val("reporter_type").alias("rep"), has("is_elder").alias("has_elder"), val("is_elder").alias("elder"),
+        val("gender").alias("gender"), val("location").alias("loc"),
+        F.sort_array(F.collect_list(F.when((F.col("field") == "selected_categories") & cat_ord.isNotNull(),
+                                           F.struct(cat_ord.alias("o"), F.col("value").alias("c"))))).alias("_sel"),
+        F.max((F.col("field") == "selected_categories") & (F.col("value") != "")).alias("any_sel"),
+        val("abuser_is_family").alias("fam"), val("abuser_relation").alias("rel"),
+        val("ongoing").alias("ong"), val("needs_safe_place").alias("safe"), val("extra_detail").alias("extra"))
+    j = scal.join(fu_agg, "session_id", "left")
+    rep = (F.when(F.col("rep") == "self", P["self"]).when(F.col("rep") == "third_party", P["third_party"])
+           .otherwise(P["unknown"]))
+    district = F.split_part(F.coalesce("loc", F.lit("")), F.lit("|"), F.lit(2))
+    division = F.split_part(F.coalesce("loc", F.lit("")), F.lit("|"), F.lit(1))
+    area = F.regexp_replace(F.concat(F.lit(P["area"]), district, F.lit(", "), division), r"\A[, ]+|[, ]+\z", "")
+    names = F.array_join(F.transform("_sel", lambda s: map_or_null(s["c"], X.CATEGORY_LABELS_BN)), ", ")
+    fu_arr = F.coalesce(F.col("_fu"), F.array())
+    blocks = F.flatten(F.transform(fu_arr, lambda s, i: F.when(
+        (i == 0) | (F.element_at(fu_arr, i)["cat"] != s["cat"]),
+        F.array(F.lit(""), F.concat(map_or_null(s["cat"], X.CATEGORY_LABELS_BN), F.lit(":")), s["line"]))
+        .otherwise(F.array(s["line"]))))
+    rel_bn = F.when(F.coalesce(F.col("rel"), F.lit("")) == "", F.lit("")).otherwise(
+        F.coalesce(map_or_null(F.col("rel"), X.RELATION_LABELS_BN), F.col("rel")))
+    fam = F.when(F.col("fam").isNotNull(), F.concat(
+        F.lit(P["abuser"]), F.when(F.lower("fam") == "true", P["family"]).otherwise(P["non_family"]),
+        F.when(rel_bn != "", F.concat(F.lit(" — "), rel_bn)).otherwise(F.lit(""))))
+    extra = ustrip(F.coalesce(F.col("extra"), F.lit("")))
+    head = F.array(
+        F.concat(F.lit(P["reporter"]), rep),
+        F.when(F.col("has_elder") & F.col("elder").isNotNull(), F.concat(F.lit(P["elder"]), yn(F.col("elder")))),
+        F.when(F.coalesce(F.col("gender"), F.lit("")) != "",
+               F.concat(F.lit(P["victim"]), F.coalesce(map_or_null(F.col("gender"), X.GENDER_LABELS_BN), F.lit(P["unknown"])))),
+        F.when(district != "", area))
+    sel_lines = F.when(F.coalesce(F.col("any_sel"), F.lit(False)),
+                       F.array(F.lit(""), F.concat(F.lit(P["selected"]), names))).otherwise(F.array())
+    tail = F.array(
+        F.lit(""), fam,
+        F.when(F.col("ong").isNotNull(), F.concat(F.lit(P["ongoing"]), yn(F.col("ong")))),
+        F.when(F.col("safe").isNotNull(), F.concat(F.lit(P["safe_place"]), yn(F.col("safe")))))
+    extra_lines = F.when(extra != "", F.array(F.lit(""), F.concat(F.lit(P["extra"]), extra))).otherwise(F.array())
+    lines = F.filter(F.concat(head, sel_lines, blocks, tail, extra_lines), lambda x: x.isNotNull())
+    return j.select("session_id", F.array_join(lines, "\n").alias("summary"), F.size(lines).alias("n_lines"))

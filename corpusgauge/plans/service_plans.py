@@ -322,3 +322,63 @@ def rule_model_merge(spark, sf_dir):
     return j.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("model_sev").isNull()).alias("n_degraded"),
         F.sum(N.int_or_default(F.col("model_sev"), F.col("rule_sev"))).cast("bigint").alias("severity_sum"))
+
+
+def _map_case(expr: str, mapping: dict, default: str) -> str:
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in mapping.items())
+    return f"CASE {expr} {whens} ELSE {default} END"
+
+
+_P = X.SUMMARY_PHRASES
+_YN = lambda e: f"CASE WHEN lower({e}) = 'true' THEN {sql_str(_P['yes'])} ELSE {sql_str(_P['no'])} END"
+FU_TEXT_VALUES = ", ".join(
+    f"({sql_str(q)}, {sql_str(c)}, {i}, {[k for k, *_ in X.BANK_CATEGORIES].index(c)}, {sql_str(X.FOLLOWUP_TEXT_BN[q])})"
+    for i, (q, c, _e, _m) in enumerate(X.BANK_FOLLOWUPS))
+CAT_LABEL_VALUES = ", ".join(f"({sql_str(c)}, {i}, {sql_str(X.CATEGORY_LABELS_BN[c])})"
+                             for i, (c, *_r) in enumerate(X.BANK_CATEGORIES))
+
+
+@query("answer_summaries", f"""
+WITH {ANSWERS_CTE},
+fu(qid, category, q_ord, cat_ord, text_bn) AS (VALUES {FU_TEXT_VALUES}),
+cat(category, cat_ord, label) AS (VALUES {CAT_LABEL_VALUES}),
+sel AS (SELECT session_id, value AS category FROM a WHERE field = 'selected_categories' AND value <> ''),
+fr AS (SELECT a.session_id, fu.cat_ord, fu.q_ord, fu.category, '  - ' || fu.text_bn || ' → ' || {_YN('a.value')} AS line
+       FROM a JOIN fu ON a.field = fu.qid JOIN sel ON sel.session_id = a.session_id AND sel.category = fu.category),
+fr2 AS (SELECT fr.*, cat.label, lag(fr.category) OVER (PARTITION BY session_id ORDER BY fr.cat_ord, q_ord) AS prev
+        FROM fr JOIN cat USING (category)),
+blk AS (SELECT session_id, flatten(list(CASE WHEN prev IS NULL OR prev <> category THEN ['', label || ':', line]
+                                             ELSE [line] END ORDER BY cat_ord, q_ord)) AS lines FROM fr2 GROUP BY session_id),
+sc AS (SELECT a.session_id,
+              max(CASE WHEN field = 'reporter_type' THEN value END) AS rep,
+              bool_or(field = 'is_elder') AS has_elder, max(CASE WHEN field = 'is_elder' THEN value END) AS elder,
+              max(CASE WHEN field = 'gender' THEN value END) AS gender,
+              max(CASE WHEN field = 'location' THEN value END) AS loc,
+              list(cat.label ORDER BY cat.cat_ord) FILTER (WHERE cat.label IS NOT NULL) AS sel_names,
+              bool_or(field = 'selected_categories' AND value <> '') AS any_sel,
+              max(CASE WHEN field = 'abuser_is_family' THEN value END) AS fam,
+              max(CASE WHEN field = 'abuser_relation' THEN value END) AS rel,
+              max(CASE WHEN field = 'ongoing' THEN value END) AS ong,
+              max(CASE WHEN field = 'needs_safe_place' THEN value END) AS safe,
+              regexp_replace(coalesce(max(CASE WHEN field = 'extra_detail' THEN value END), ''), {sql_str(T_STRIP)}, '', 'g') AS extra
+       FROM a LEFT JOIN cat ON a.field = 'selected_categories' AND a.value = cat.category GROUP BY a.session_id),
+x AS (SELECT sc.*, split_part(coalesce(loc, ''), '|', 2) AS district, split_part(coalesce(loc, ''), '|', 1) AS division,
+             CASE WHEN coalesce(rel, '') = '' THEN '' ELSE {_map_case('rel', X.RELATION_LABELS_BN, 'rel')} END AS rel_bn,
+             blk.lines AS blines FROM sc LEFT JOIN blk USING (session_id)),
+l AS (SELECT session_id, list_filter(list_concat(
+        [{sql_str(_P['reporter'])} || {_map_case('rep', {'self': _P['self'], 'third_party': _P['third_party']}, sql_str(_P['unknown']))},
+         CASE WHEN has_elder AND elder IS NOT NULL THEN {sql_str(_P['elder'])} || {_YN('elder')} END,
+         CASE WHEN coalesce(gender, '') <> '' THEN {sql_str(_P['victim'])} || {_map_case('gender', X.GENDER_LABELS_BN, sql_str(_P['unknown']))} END,
+         CASE WHEN district <> '' THEN regexp_replace({sql_str(_P['area'])} || district || ', ' || division, '\\A[, ]+|[, ]+\\z', '', 'g') END],
+        CASE WHEN coalesce(any_sel, false) THEN ['', {sql_str(_P['selected'])} || array_to_string(coalesce(sel_names, []), ', ')] ELSE [] END,
+        coalesce(blines, []),
+        ['', CASE WHEN fam IS NOT NULL THEN {sql_str(_P['abuser'])} ||
+                  CASE WHEN lower(fam) = 'true' THEN {sql_str(_P['family'])} ELSE {sql_str(_P['non_family'])} END ||
+                  CASE WHEN rel_bn <> '' THEN ' — ' || rel_bn ELSE '' END END,
+         CASE WHEN ong IS NOT NULL THEN {sql_str(_P['ongoing'])} || {_YN('ong')} END,
+         CASE WHEN safe IS NOT NULL THEN {sql_str(_P['safe_place'])} || {_YN('safe')} END],
+        CASE WHEN extra <> '' THEN ['', {sql_str(_P['extra'])} || extra] ELSE [] END), lambda v: v IS NOT NULL) AS lines
+      FROM x)
+SELECT session_id, array_to_string(lines, chr(10)) AS summary, len(lines)::INTEGER AS n_lines FROM l""", ops="S32")
+def answer_summaries(spark, sf_dir):
+    return A.summary_text(answers_frame(spark, sf_dir))

@@ -302,3 +302,14 @@ def test_queries_match_oracle_small(spark, name):
         return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows),
                       key=repr)
     assert norm(sdf.columns, [tuple(r) for r in sdf.collect()]) == norm(ocols, orows)
+
+
+def test_summary_text(spark):
+    ans = answers_df(spark, {1: BASE, 2: {"started": "true"}})
+    out = {r["session_id"]: r["summary"] for r in A.summary_text(ans).collect()}
+    s = out[1]
+    assert s.startswith(X.SUMMARY_PHRASES["reporter"] + X.SUMMARY_PHRASES["self"])
+    assert "নির্যাতনকারী: পরিবারের সদস্য — ছেলে" in s
+    assert "এলাকা: গাজীপুর, ঢাকা" in s
+    assert "শারীরিক নির্যাতন:\n  - " in s and s.count(" → হ্যাঁ") == 2
+    assert out[2].split("\n")[0] == X.SUMMARY_PHRASES["reporter"] + X.SUMMARY_PHRASES["unknown"]
