@@ -151,3 +151,11 @@ def topk_cross(df: DataFrame, a: str, b: str, ka: int, kb: int) -> DataFrame:
           .select(b))
     return (ab.join(F.broadcast(ta), a, "left_semi").join(F.broadcast(tb), b, "left_semi")
             .select(a, b, F.col("n").cast("bigint").alias("n")))
+
+
+def keyword_composition(keywords: DataFrame, scripts=("bangla", "english", "mixed_forms")) -> DataFrame:
+    """Keywords per category x script (pivot with a fixed column order) and totals."""
+    piv = keywords.groupBy("category").pivot("script", list(scripts)).agg(F.count(F.lit(1)))
+    cols = [F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(s) for s in scripts]
+    out = piv.select("category", *cols)
+    return out.withColumn("total", sum((F.col(s) for s in scripts[1:]), F.col(scripts[0])))

@@ -118,3 +118,30 @@ def cosine_top_k(corpus: DataFrame, cid: str, cvec: str, queries: DataFrame, qid
         res = ranked.select(qid, "rank", cid, F.round("_sim", 3).alias("similarity"))
         out = res if out is None else out.unionByName(res)
     return out
+
+
+def enriched_kb_documents(kb: DataFrame, keywords: DataFrame) -> DataFrame:
+    """S34 + S35: one search document per knowledge-base section: title, Bangla
+    text and English text on separate lines, plus the keywords of the
+    categories it applies to ('all' excluded), and the law family.
+
+    ``keywords`` is (category, cat_ord, script, keyword, ord) as read by
+    ``sources.io.read_keywords``; per-category keyword strings are one small
+    aggregate (bounded by the dictionary) joined to the exploded tags."""
+    from corpusgauge.functions.normalize import law_family
+
+    cat_words = keywords.groupBy("category").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "keyword"))),
+                                 lambda s: s["keyword"]), " ").alias("_words"))
+    tags = kb.select("id", F.posexplode("applicable_for").alias("_tpos", "category")).filter(
+        F.col("category") != "all")
+    enrich = (tags.join(F.broadcast(cat_words), "category")
+              .groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_tpos", "_words"))),
+                                                          lambda s: s["_words"]), "  ").alias("_enrich")))
+    base = F.concat_ws("\n", F.coalesce("section", F.lit("")), F.coalesce("text", F.lit("")),
+                       F.coalesce("text_english", F.lit("")))
+    j = kb.join(enrich, "id", "left")
+    doc = F.when(F.coalesce(F.col("_enrich"), F.lit("")) != "",
+                 F.concat(base, F.lit("\n" + X.KB_ENRICH_PREFIX), F.col("_enrich"))).otherwise(base)
+    return j.select("id", doc.alias("document"), F.array_join("applicable_for", ",").alias("applicable_for"),
+                    law_family(F.col("id")).alias("law"))

@@ -67,3 +67,35 @@ def test_write_partitioned_and_inventory(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "splits")).filter(F.col("split") == "test").count() == 1
     inv = IO.table_inventory(spark, {"region": "/root/testdata/sf0.001/region.parquet"}).first()
     assert inv["n_rows"] == 5 and inv["n_columns"] == 2 and inv["bytes"] > 0
+
+
+def test_keyword_composition_and_enriched_kb(spark, tmp_path):
+    from corpusgauge.operators.eda import keyword_composition
+    from corpusgauge.operators.retrieval import enriched_kb_documents
+    kw = {"physical": {"bangla": ["মারধর"], "english": ["beat", "hit"], "mixed_forms": []},
+          "neglect": {"bangla": [], "english": ["neglect"], "mixed_forms": ["care করে না"]}}
+    p = tmp_path / "kw.json"
+    p.write_text(json.dumps(kw, ensure_ascii=False), encoding="utf-8")
+    kws = IO.read_keywords(spark, str(p))
+    comp = {r["category"]: (r["bangla"], r["english"], r["mixed_forms"], r["total"])
+            for r in keyword_composition(kws).collect()}
+    assert comp == {"physical": (1, 2, 0, 3), "neglect": (0, 1, 1, 2)}
+    kb = {"bpc_323": {"section": "S323", "text": "t", "text_english": "e", "applicable_for": ["physical"],
+                      "severity_min": 4},
+          "pma_sec4": {"section": "S4", "text": "t4", "text_english": "e4", "applicable_for": ["neglect", "all"],
+                       "severity_min": 2},
+          "pma_sec1": {"section": "S1", "text": "t1", "text_english": "e1", "applicable_for": ["all"],
+                       "severity_min": 1}}
+    q = tmp_path / "kb.json"
+    q.write_text(json.dumps(kb, ensure_ascii=False), encoding="utf-8")
+    docs = {r["id"]: r for r in enriched_kb_documents(IO.read_kb(spark, str(q)), kws).collect()}
+    assert docs["bpc_323"]["document"].endswith("Related complaints: মারধর beat hit")
+    assert docs["pma_sec1"]["document"] == "S1\nt1\ne1" and docs["pma_sec1"]["law"] == "PMA"
+    assert docs["bpc_323"]["law"] == "BPC" and docs["pma_sec4"]["document"].endswith("neglect care করে না")
+
+
+def test_source_type_norm(spark):
+    from corpusgauge.functions.normalize import source_type_norm
+    df = spark.createDataFrame([("primary (Interview)",), ("Secondary Interview",), ("Newspaper",)], "x string")
+    got = [r[0] for r in df.select(source_type_norm("x")).collect()]
+    assert got == ["Primary (Interview)", "Secondary (Interview)", "Newspaper"]
