@@ -155,17 +155,25 @@ def coverage_diff(base: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
 
 # -- A23 ids lock ------------------------------------------------------------
 
-def ids_lock(df: DataFrame, id_col: str, hex_digits: int = 3) -> DataFrame:
+def ids_lock(df: DataFrame, id_col: str, hex_digits: int | None = None,
+             max_bucket_rows: int = 1_000_000) -> DataFrame:
     """Content lock of an id set -- (n, sha256 digest).
 
-    The ids are spread over 16**hex_digits buckets by the first hex digits of their own
-    sha-256; each bucket hashes its sorted, newline-joined ids; the lock is the
-    sha-256 of the bucket digests joined in bucket order.  Every step is a
-    bounded group (ids / buckets rows, then ``buckets`` rows), so no single task
-    ever holds the whole id set, and the digest does not depend on partitioning.
-    """
-    width = hex_digits
+    The ids are spread over 16**hex_digits buckets by the first hex digits of
+    their own sha-256; each bucket hashes its sorted, newline-joined ids; the
+    lock is the sha-256 of the bucket digests joined in bucket order.  With
+    ``hex_digits=None`` the width is chosen from the id count so that a bucket
+    holds at most about ``max_bucket_rows`` ids (at least 3 digits), so no task
+    ever holds the whole id set and the final step sees one row per bucket.
+    The digest does not depend on partitioning; verifying a lock recomputes it
+    with the recorded width."""
+    import math
+
     ids = df.select(F.col(id_col).cast("string").alias("_id"))
+    if hex_digits is None:
+        n = ids.count()
+        hex_digits = max(3, math.ceil(math.log(max(n, 1) / max_bucket_rows, 16)) if n > max_bucket_rows else 3)
+    width = hex_digits
     per_bucket = (ids.withColumn("_b", F.substring(F.sha2(F.col("_id"), 256), 1, width))
                   .groupBy("_b")
                   .agg(F.count(F.lit(1)).alias("_n"),

@@ -313,3 +313,19 @@ def test_summary_text(spark):
     assert "এলাকা: গাজীপুর, ঢাকা" in s
     assert "শারীরিক নির্যাতন:\n  - " in s and s.count(" → হ্যাঁ") == 2
     assert out[2].split("\n")[0] == X.SUMMARY_PHRASES["reporter"] + X.SUMMARY_PHRASES["unknown"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_prune_and_limit_before_shuffle(spark):
+    from corpusgauge.plans.registry import all_queries
+    qs = all_queries()
+    sf = "/root/testdata/sf0.001"
+    lex = _plan(qs["lexical_retrieval"].build(spark, sf))
+    assert "WindowGroupLimit" in lex  # partial top-k before the exchange
+    kw = qs["keyword_classify"].build(spark, sf)
+    assert "Exchange" not in _plan(kw)  # one projection over the scan, no shuffle
+    yt = _plan(qs["year_trend"].build(spark, sf))
+    assert "GreaterThanOrEqual(o_orderdate" in yt  # year floor pushed to the parquet scan
