@@ -329,3 +329,38 @@ def test_plans_prune_and_limit_before_shuffle(spark):
     assert "Exchange" not in _plan(kw)  # one projection over the scan, no shuffle
     yt = _plan(qs["year_trend"].build(spark, sf))
     assert "GreaterThanOrEqual(o_orderdate" in yt  # year floor pushed to the parquet scan
+
+
+def test_hot_key_third_of_rows(spark):
+    """A text and a group holding a third of all rows: results stay exact."""
+    n = 3000
+    df = spark.range(0, n).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, F.lit("the same hot text")).otherwise(
+            F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    c = Q.clean_corpus(df, "id", "text")
+    dups = c.filter(F.col("remove_reason") == Q.REASON_DUP).count()
+    assert dups == n // 3 - 1
+    first = c.filter(F.col("id") == 0).select("remove_reason").first()[0]
+    assert first is None
+    from corpusgauge.operators.common import top_k
+    g = spark.range(0, n).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        (F.col("id") % 50).cast("string")).alias("g"), F.col("id").alias("v"))
+    top = top_k(g, ["g"], [F.col("v").desc()], 2).filter("g = 'hot'").select("v").collect()
+    assert sorted(r[0] for r in top) == [n - 6, n - 3]
+
+
+def test_results_do_not_depend_on_partition_count(spark):
+    from corpusgauge.plans.registry import all_queries
+    qs = all_queries()
+    sf = "/root/testdata/sf0.001"
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        out = []
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out.append({name: sorted(map(tuple, qs[name].build(spark, sf).collect()), key=repr)
+                        for name in ("clean_kept", "stratified_split", "test_lock", "lexical_retrieval")})
+        assert out[0] == out[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
