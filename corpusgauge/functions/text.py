@@ -26,11 +26,42 @@ def lit_array(values) -> Column:
 
 STRIP_REGEX = rf"\A{X.WS_CLASS}+|{X.WS_CLASS}+\z"
 WS_RUN_REGEX = rf"{X.WS_CLASS}+"
+# The same whitespace set written for Java regex: Unicode \s plus U+001C-U+001F.
+# Checked equal to WS_CLASS over every code point; Java matches it about twice
+# as fast.  WS_RUN_REGEX stays the portable form used by the SQL oracle.
+WS_RUN_JAVA = r"(?U)[\s\x{1C}-\x{1F}]+"
+
+
+def _class_chars(cls: str) -> str:
+    """Expand a ``[...]`` class of single chars, hex escapes and ranges into its characters."""
+    import re
+
+    body = cls[1:-1]
+    tokens = re.findall(r"\\x\{([0-9A-Fa-f]+)\}|\\([tnr])|(.)", body)
+    chars = []
+    for hexv, esc, lit in tokens:
+        chars.append(chr(int(hexv, 16)) if hexv else {"t": "\t", "n": "\n", "r": "\r"}[esc] if esc else lit)
+    out, i = [], 0
+    while i < len(chars):
+        if i + 2 < len(chars) and chars[i + 1] == "-":
+            out.extend(chr(c) for c in range(ord(chars[i]), ord(chars[i + 2]) + 1))
+            i += 3
+        else:
+            out.append(chars[i])
+            i += 1
+    return "".join(out)
+
+
+# the same whitespace set as a plain string, for btrim
+WS_CHARS = _class_chars(X.WS_CLASS)
 
 
 def ustrip(col) -> Column:
-    """Trim all Unicode whitespace at both ends (Spark ``trim`` only trims spaces)."""
-    return F.regexp_replace(_c(col), STRIP_REGEX, "")
+    """Trim all Unicode whitespace at both ends (Spark ``trim`` only trims spaces).
+
+    ``btrim`` with the whitespace set works on the two ends only (a regex
+    anchored at the end would be tried at every position of a long text)."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def char_len(col) -> Column:
@@ -40,7 +71,7 @@ def char_len(col) -> Column:
 
 def collapse_ws(col) -> Column:
     """Collapse whitespace runs to one blank and strip the ends."""
-    return ustrip(F.regexp_replace(_c(col), WS_RUN_REGEX, " "))
+    return ustrip(F.regexp_replace(_c(col), WS_RUN_JAVA, " "))
 
 
 def norm_text(col) -> Column:
@@ -140,7 +171,7 @@ def bangla_strip_regex() -> str:
 
 def bangla_tokens(col) -> Column:
     """T3 (before filtering): whitespace split, punctuation and digits stripped from both ends."""
-    parts = F.split(F.coalesce(_c(col), F.lit("")), WS_RUN_REGEX)
+    parts = F.split(F.coalesce(_c(col), F.lit("")), WS_RUN_JAVA)
     pat = bangla_strip_regex()
     return F.transform(parts, lambda w: F.regexp_replace(w, pat, ""))
 
@@ -192,12 +223,12 @@ def char_wb_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
     reaches the padded length emits the padded word once and ends that word.
     Text is lower-cased first.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WS_RUN_REGEX),
+    words = F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WS_RUN_JAVA),
                      lambda w: F.length(w) > 0)
     return F.flatten(F.transform(words, lambda w: char_wb_word_grams(w, n_min, n_max)))
 
 
 def whitespace_words(col) -> Column:
     """Lower-cased whitespace-separated words (blank pieces dropped)."""
-    return F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WS_RUN_REGEX),
+    return F.filter(F.split(F.lower(F.coalesce(_c(col), F.lit(""))), WS_RUN_JAVA),
                     lambda w: F.length(w) > 0)

@@ -95,11 +95,11 @@ def relation(text: Column, rules) -> Column:
     """First rule in rank order whose English pattern (Unicode word
     boundaries, case-insensitive) matches or whose Bangla word set holds a
     whitespace token with punctuation stripped from its ends."""
-    from corpusgauge.functions.text import WS_RUN_REGEX
+    from corpusgauge.functions.text import WS_RUN_JAVA
 
     t = F.coalesce(text, F.lit(""))
     cls = "[" + "".join("\\" + ch if ch in "[]\\^-" else ch for ch in X.TOKEN_PUNCT) + "]"
-    toks = F.transform(F.split(t, WS_RUN_REGEX), lambda w: F.regexp_replace(w, rf"\A{cls}+|{cls}+\z", ""))
+    toks = F.transform(F.split(t, WS_RUN_JAVA), lambda w: F.regexp_replace(w, rf"\A{cls}+|{cls}+\z", ""))
     out = None
     for name, en, bn in rules:
         cond = t.rlike(word_regex(en)) | F.arrays_overlap(toks, lit_array(bn))

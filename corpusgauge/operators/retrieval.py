@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
-from corpusgauge.functions.text import WS_RUN_REGEX
+from corpusgauge.functions.text import WS_RUN_JAVA
 from corpusgauge.operators.common import BROADCAST_MAX_ROWS, broadcast_if_small, top_k
 
 
@@ -75,7 +75,7 @@ def readable_titles(ids: DataFrame, kb: DataFrame, key_cols, id_col: str = "id")
 
 def word_set(col) -> F.Column:
     """Distinct lower-cased whitespace words (``str.lower().split()`` as a set)."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), WS_RUN_REGEX),
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), WS_RUN_JAVA),
                                      lambda w: F.length(w) > 0))
 
 

@@ -114,3 +114,14 @@ def test_clean_corpus_priority(spark):
     out = {r["id"]: r["remove_reason"] for r in Q.clean_corpus(df, "id", "text").collect()}
     assert out == {1: None, 2: Q.REASON_DUP, 3: Q.REASON_TEXTLESS, 4: Q.REASON_SHORT,
                    5: Q.REASON_SPAM, 6: Q.REASON_SPAM, 7: Q.REASON_DUP}
+
+
+def test_java_whitespace_class_equals_python_isspace(spark):
+    """The fast Java form and the portable class match Python's str.isspace on every code point."""
+    cps = spark.range(0, 0x110000).filter((F.col("id") < 0xD800) | (F.col("id") > 0xDFFF)).select(
+        "id", F.decode(F.unhex(F.lpad(F.hex(F.col("id")), 8, "0")), "utf-32").alias("c"))
+    r = cps.select("id", F.col("c").rlike("^" + T.WS_RUN_JAVA + "$").alias("j"),
+                   F.col("c").rlike("^" + T.WS_RUN_REGEX + "$").alias("p"))
+    got = sorted(x[0] for x in r.filter("j").select("id").collect())
+    assert got == sorted(c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isspace())
+    assert r.filter("j <> p").count() == 0
