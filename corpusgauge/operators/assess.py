@@ -9,7 +9,7 @@ question-bank dimension (broadcast, a few rows) followed by a group-by on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
@@ -34,63 +34,77 @@ def _truthy(col):
     return F.lower(F.col(col)) == "true"
 
 
+def _lit_map(d: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+QIDS = [q for q, *_r in X.BANK_FOLLOWUPS]
+CATEGORIES = [c for c, *_r in X.BANK_CATEGORIES]
+
+
+def session_profile(answers: DataFrame) -> DataFrame:
+    """One row per session with everything the rules read -- the only shuffle.
+
+    ``sel`` (selected categories), ``fu`` (answered follow-ups as
+    (q_ord, qid, yes)), ``fields`` (answered keys) and the three yes/no flags;
+    every array is bounded by the question bank."""
+    q_ord = _lit_map({q: i for i, q in enumerate(QIDS)})
+    f = F.col("field")
+    return answers.groupBy("session_id").agg(
+        F.collect_set(F.when((f == "selected_categories") & (F.col("value") != ""), F.col("value"))).alias("sel"),
+        F.array_sort(F.collect_list(F.when(f.isin(QIDS), F.struct(
+            F.element_at(q_ord, f).alias("q_ord"), f.alias("qid"), _truthy("value").alias("yes"))))).alias("fu"),
+        F.collect_set(f).alias("fields"),
+        F.max(F.when(f == "ongoing", _truthy("value"))).alias("ongoing"),
+        F.max(F.when(f == "needs_safe_place", _truthy("value"))).alias("safe_place"),
+        F.max(F.when(f == "abuser_is_family", _truthy("value"))).alias("family"),
+        F.max(F.when(f == "abuser_is_family", F.lower("value"))).alias("_fam_value"))
+
+
 def assess(answers: DataFrame) -> DataFrame:
     """R4 + R5: per session confirmed categories, severity, risk level and label,
     confidence, emergency flag and actions, laws (ordered, de-duplicated) and
-    the trust-blind-spot flag."""
-    spark = answers.sparkSession
-    cats = F.broadcast(bank_categories(spark))
-    fu = F.broadcast(bank_followups(spark))
-    sessions = answers.select("session_id").distinct()
-    selected = (answers.filter(F.col("field") == "selected_categories")
-                .select("session_id", F.col("value").alias("category")))
-    asked = (answers.join(fu, answers.field == fu.qid)
-             .join(selected, ["session_id", "category"], "left_semi")
-             .withColumn("yes", _truthy("value")))
-    per_cat = (asked.groupBy("session_id", "category").agg(
-        F.count(F.lit(1)).alias("n_asked"), F.count_if("yes").alias("n_yes"),
-        F.max(F.col("yes") & F.col("escalates")).alias("esc"),
-        F.max(F.col("yes") & F.col("emergency")).alias("emg"),
-        F.collect_list(F.when(F.col("yes") & F.col("emergency") & (F.col("action") != ""),
-                              F.struct("q_ord", "action"))).alias("acts"))
-        .join(cats, "category"))
-    confirmed = F.col("n_yes") > 0
-    per_s = per_cat.groupBy("session_id").agg(
-        F.sum("n_asked").alias("n_asked"), F.sum("n_yes").alias("n_yes"),
-        F.max(F.when(confirmed, F.col("severity"))).alias("severity"),
-        F.coalesce(F.max("esc"), F.lit(False)).alias("escalated"),
-        F.coalesce(F.max("emg"), F.lit(False)).alias("emg_fu"),
-        F.sort_array(F.collect_list(F.when(confirmed, F.struct("cat_ord", "category", "laws")))).alias("_conf"),
-        F.flatten(F.collect_list("acts")).alias("_acts"))
-    flags = answers.groupBy("session_id").agg(
-        F.max(F.when(F.col("field") == "ongoing", _truthy("value"))).alias("ongoing"),
-        F.max(F.when(F.col("field") == "needs_safe_place", _truthy("value"))).alias("safe_place"),
-        F.max(F.when(F.col("field") == "abuser_is_family", _truthy("value"))).alias("family"))
-    j = sessions.join(per_s, "session_id", "left").join(flags, "session_id", "left")
-    n_conf = F.size(F.coalesce(F.col("_conf"), F.array()))
-    sev = F.coalesce(F.col("severity"), F.lit(0))
-    emergency = F.coalesce(F.col("emg_fu"), F.lit(False)) | F.coalesce(F.col("safe_place"), F.lit(False))
-    raw_risk = (sev + F.coalesce(F.col("escalated"), F.lit(False)).cast("int")
-                + F.coalesce(F.col("ongoing"), F.lit(False)).cast("int"))
+    the trust-blind-spot flag.
+
+    One group-by on the session (:func:`session_profile`); the rules are array
+    expressions over that session's bounded follow-up list, with the bank as
+    map literals (no join, no further shuffle)."""
+    q_cat = _lit_map({q: c for q, c, _e, _m in X.BANK_FOLLOWUPS})
+    q_esc = _lit_map({q: e for q, _c, e, _m in X.BANK_FOLLOWUPS})
+    q_emg = _lit_map({q: m for q, _c, _e, m in X.BANK_FOLLOWUPS})
+    q_act = _lit_map({q: X.EMERGENCY_ACTIONS.get(q, "") for q in QIDS})
+    c_sev = _lit_map({c: sev for c, sev, _l, _t in X.BANK_CATEGORIES})
+    c_laws = F.create_map(*[x for c, _s, laws, _t in X.BANK_CATEGORIES
+                            for x in (F.lit(c), F.array(*[F.lit(v) for v in laws]))])
+    prof = session_profile(answers)
+    asked = F.filter("fu", lambda x: F.array_contains(F.col("sel"), F.element_at(q_cat, x["qid"])))
+    j = (prof.withColumn("_asked", asked).withColumn("_yes", F.filter("_asked", lambda x: x["yes"]))
+         .withColumn("_conf", F.filter(F.array(*[F.lit(c) for c in CATEGORIES]),
+                                       lambda c: F.exists("_yes", lambda x: F.element_at(q_cat, x["qid"]) == c))))
+    n_conf = F.size("_conf")
+    sev = F.coalesce(F.array_max(F.transform("_conf", lambda c: F.element_at(c_sev, c))), F.lit(0))
+    escalated = F.exists("_yes", lambda x: F.element_at(q_esc, x["qid"]))
+    emg_fu = F.exists("_yes", lambda x: F.element_at(q_emg, x["qid"]))
+    emergency = emg_fu | F.coalesce(F.col("safe_place"), F.lit(False))
+    raw_risk = sev + escalated.cast("int") + F.coalesce(F.col("ongoing"), F.lit(False)).cast("int")
     risk = (F.when(n_conf == 0, F.lit(1)).when(emergency, F.lit(5))
             .otherwise(F.greatest(F.lit(1), F.least(raw_risk, F.lit(4)))))
-    n_asked = F.coalesce(F.col("n_asked"), F.lit(0))
-    n_yes = F.coalesce(F.col("n_yes"), F.lit(0))
+    n_asked = F.size("_asked")
+    n_yes = F.size("_yes")
     conf = (F.when(n_asked == 0, F.lit(0.0)).when(n_yes == 0, F.lit(0.30))
             .otherwise(F.lit(0.55) + F.lit(0.45) * n_yes / n_asked))
     conf = F.bround(F.least(conf, F.lit(0.98)), 2)
-    acts = F.transform(F.array_sort(F.coalesce(F.col("_acts"), F.array())), lambda s: s["action"])
+    acts = F.transform(F.filter("_yes", lambda x: F.element_at(q_emg, x["qid"])),
+                       lambda x: F.element_at(q_act, x["qid"]))
     acts = F.concat(acts, F.when(F.coalesce(F.col("safe_place"), F.lit(False)),
                                  F.array(F.lit(X.SAFE_PLACE_ACTION))).otherwise(F.array().cast("array<string>")))
-    conf_list = F.coalesce(F.col("_conf"), F.array())
     risk_label = F.element_at(F.array(*[F.lit(X.RISK_LABELS[i]) for i in range(1, 6)]), risk)
     return j.select(
-        "session_id",
-        F.transform(conf_list, lambda s: s["category"]).alias("confirmed_categories"),
+        "session_id", F.col("_conf").alias("confirmed_categories"),
         sev.alias("severity"), risk.alias("risk_level"), risk_label.alias("risk_label"),
         conf.alias("confidence"), emergency.alias("emergency"),
         F.filter(acts, lambda a: a != "").alias("emergency_actions"),
-        F.array_distinct(F.flatten(F.transform(conf_list, lambda s: s["laws"]))).alias("laws"),
+        F.array_distinct(F.flatten(F.transform("_conf", lambda c: F.element_at(c_laws, c)))).alias("laws"),
         F.coalesce(F.col("family"), F.lit(False)).alias("trust_blind_spot"))
 
 
@@ -106,42 +120,42 @@ def screen_rows():
     return rows
 
 
-def applicable_screens(answers: DataFrame) -> DataFrame:
-    """the screen sequence of every session -- static screens, follow-ups of
-    selected categories (bank order) and closing screens whose show-if holds.
-
-    Every session gets the fixed screen list via ``explode`` of an array
-    literal (no join); follow-ups are kept by a semi join with the selected
-    categories and conditional screens by a join with the answers."""
-    screens = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(s).alias("screen_id"), F.lit(f).alias("field"),
-                                 F.lit(t).alias("type"), F.lit(c).cast("string").alias("category"),
-                                 F.lit(sf).cast("string").alias("show_field"),
-                                 F.lit(sv).cast("string").alias("show_value"))
-                        for o, s, f, t, c, sf, sv in screen_rows()])
-    sessions = answers.select("session_id").distinct()
-    all_s = sessions.select("session_id", F.explode(screens).alias("s")).select("session_id", "s.*")
-    selected = (answers.filter(F.col("field") == "selected_categories")
-                .select("session_id", F.col("value").alias("category")))
-    fu = all_s.filter(F.col("category").isNotNull()).join(selected, ["session_id", "category"], "left_semi")
-    cond_vals = answers.select("session_id", F.col("field").alias("show_field"),
-                               F.lower("value").alias("show_value"))
-    cond = all_s.filter(F.col("show_field").isNotNull()).join(
-        cond_vals, ["session_id", "show_field", "show_value"], "left_semi")
-    plain = all_s.filter(F.col("category").isNull() & F.col("show_field").isNull())
-    return plain.unionByName(fu).unionByName(cond)
+def _screens_literal() -> Column:
+    return F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(s).alias("screen_id"), F.lit(f).alias("field"),
+                              F.lit(t).alias("type"), F.lit(c).cast("string").alias("category"),
+                              F.lit(sf).cast("string").alias("show_field"),
+                              F.lit(sv).cast("string").alias("show_value"))
+                     for o, s, f, t, c, sf, sv in screen_rows()])
 
 
-def _with_answered(answers: DataFrame, seq: DataFrame) -> DataFrame:
-    keys = answers.select("session_id", "field").distinct().withColumn("answered", F.lit(True))
-    return seq.join(keys, ["session_id", "field"], "left").withColumn(
-        "answered", F.coalesce("answered", F.lit(False)))
+def _sequence(prof: DataFrame) -> DataFrame:
+    """per session the applicable screens (bank order) with an answered flag,
+    as one array: static screens, follow-ups of selected categories, and the
+    closing screens whose show-if answer matches.  Only abuser_is_family is a
+    show-if field in the bank, so its value is carried in the profile."""
+    show_vals = F.create_map(F.lit("abuser_is_family"), F.col("_fam_value"))
+    seq = F.filter(_screens_literal(), lambda s: (
+        (s["category"].isNull() & s["show_field"].isNull())
+        | (s["category"].isNotNull() & F.array_contains(F.col("sel"), s["category"]))
+        | (s["show_field"].isNotNull()
+           & F.coalesce(F.element_at(show_vals, s["show_field"]) == s["show_value"], F.lit(False)))))
+    return prof.withColumn("_seq", F.transform(seq, lambda s: s.withField(
+        "answered", F.array_contains(F.col("fields"), s["field"]))))
+
+
+def applicable_screens(answers: DataFrame) -> DataFrame:
+    """F9 as rows: (session_id, ord, screen_id, field, type, category, answered)."""
+    seq = _sequence(session_profile(answers))
+    return seq.select("session_id", F.explode("_seq").alias("s")).select("session_id", "s.*")
 
 
 def progress(answers: DataFrame) -> DataFrame:
     """Answered / applicable screens (welcome not counted), percent
-    (half-even) and a 10-block bar."""
-    seq = _with_answered(answers, applicable_screens(answers)).filter(F.col("type") != "welcome")
-    p = seq.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("answered").alias("current"))
+    (half-even) and a 10-block bar -- array logic over one session profile."""
+    seq = _sequence(session_profile(answers))
+    counted = F.filter("_seq", lambda s: s["type"] != "welcome")
+    p = seq.select("session_id", F.size(counted).alias("total"),
+                   F.size(F.filter(counted, lambda s: s["answered"])).alias("current"))
     pct = F.when(F.col("total") == 0, F.lit(0)).otherwise(
         F.bround(F.col("current") / F.col("total") * 100, 0)).cast("int")
     filled = F.bround(F.col("percent") / 10.0, 0).cast("int")
@@ -151,12 +165,9 @@ def progress(answers: DataFrame) -> DataFrame:
 
 def next_screen(answers: DataFrame) -> DataFrame:
     """First applicable screen without an answer; none left -> 'complete'."""
-    seq = _with_answered(answers, applicable_screens(answers))
-    open_ = seq.filter(~F.col("answered")).groupBy("session_id").agg(
-        F.min_by("screen_id", "ord").alias("next_screen"))
-    sessions = answers.select("session_id").distinct()
-    return sessions.join(open_, "session_id", "left").select(
-        "session_id", F.coalesce("next_screen", F.lit("complete")).alias("next_screen"))
+    seq = _sequence(session_profile(answers))
+    first_open = F.try_element_at(F.filter("_seq", lambda s: ~s["answered"]), F.lit(1))["screen_id"]
+    return seq.select("session_id", F.coalesce(first_open, F.lit("complete")).alias("next_screen"))
 
 
 def summary_text(answers: DataFrame) -> DataFrame:
