@@ -6,9 +6,9 @@
   (size-checked broadcast); the count per (query, document) is complete inside
   the document's task, so only scored pairs are shuffled and the top-k per
   query uses a partial WindowGroupLimit before its shuffle.
-* Vector retrieval is exact cosine similarity against a size-checked
-  broadcast query set, with the same bounded top-k; larger query sets are
-  processed in broadcast-sized chunks (still exact).
+* Vector retrieval is exact cosine similarity: query chunks of a checked
+  size are broadcast, every corpus batch is scored with one matrix product
+  in ``mapInPandas`` and only its top-k per query leaves the task.
 """
 
 from __future__ import annotations
@@ -92,32 +92,65 @@ def lexical_overlap(queries: DataFrame, qid: str, qtext: str, docs: DataFrame, d
 
 
 def cosine_top_k(corpus: DataFrame, cid: str, cvec: str, queries: DataFrame, qid: str, qvec: str,
-                 k: int = 3, chunk_rows: int = 10_000) -> DataFrame:
-    """Exact cosine top-k per query (similarity rounded to 3 decimals).
-
-    Queries with an empty vector return no rows.  The query set is broadcast
-    after a size check; a larger set is split into chunks of ``chunk_rows``
-    queries, each an exact broadcast search (no approximation, no cap)."""
-    q = queries.filter(F.size(qvec) > 0).select(
-        qid, F.transform(qvec, lambda x: x.cast("double")).alias("_qv"))
-    q = q.withColumn("_qn", F.sqrt(F.aggregate("_qv", F.lit(0.0), lambda a, x: a + x * x)))
-    c = corpus.select(cid, F.transform(cvec, lambda x: x.cast("double")).alias("_cv"))
-    c = c.withColumn("_cn", F.sqrt(F.aggregate("_cv", F.lit(0.0), lambda a, x: a + x * x)))
+                 k: int = 3, chunk_rows: int = 1_000) -> DataFrame:
+    """Exact cosine top-k per query (similarity rounded to 3 decimals, ties
+    by corpus id).  Queries with an empty vector return no rows.
+
+    The query vectors are normalised and shipped to the executors as a
+    broadcast variable in chunks of at most ``chunk_rows`` queries (a checked
+    size); each corpus partition is scored with one matrix product per Arrow
+    batch (numpy) inside ``mapInPandas`` and emits only its top-k per query.
+    The final top-k per query reduces those candidates with a partial
+    WindowGroupLimit.  Exact, no cap, and no (corpus x query) rows leave a task."""
+    import numpy as np
+
+    spark = corpus.sparkSession
+    q = queries.filter(F.size(qvec) > 0).select(F.col(qid).alias("_qid"), F.col(qvec).alias("_qv"))
     n_q = q.count()
-    chunks = max(1, -(-n_q // chunk_rows))
-    out = None
+    out_schema = f"_qid {dict(queries.dtypes)[qid]}, _cid {dict(corpus.dtypes)[cid]}, _sim double"
+    if n_q == 0:
+        return spark.createDataFrame([], out_schema).select(
+            F.col("_qid").alias(qid), F.lit(1).alias("rank"), F.col("_cid").alias(cid),
+            F.col("_sim").alias("similarity"))
+    chunks = -(-n_q // chunk_rows)
+    keyed = q.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(chunks)) if chunks > 1 else F.lit(0))
+    base = corpus.select(F.col(cid).alias("_cid"), F.col(cvec).alias("_cv"))
+    parts = []
     for i in range(chunks):
-        part = q if chunks == 1 else q.filter(F.pmod(F.xxhash64(qid), F.lit(chunks)) == i)
-        # Exact search scores every corpus row against every query of the chunk:
-        # the chunk is a size-checked broadcast, so this nested-loop join runs
-        # inside each corpus task and only its top-k per query leaves the task.
-        pairs = c.crossJoin(F.broadcast(part))
-        dot = F.aggregate(F.zip_with("_cv", "_qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        scored = pairs.select(qid, cid, (dot / (F.col("_cn") * F.col("_qn"))).alias("_sim"))
-        ranked = top_k(scored, [qid], [F.col("_sim").desc(), F.col(cid)], k, "rank")
-        res = ranked.select(qid, "rank", cid, F.round("_sim", 3).alias("similarity"))
-        out = res if out is None else out.unionByName(res)
-    return out
+        rows = keyed.filter(F.col("_chunk") == i).select("_qid", "_qv").collect()  # <= chunk_rows (checked)
+        if not rows:
+            continue
+        qm = np.array([r["_qv"] for r in rows], dtype=np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
+        bq = spark.sparkContext.broadcast(([r["_qid"] for r in rows], qm))
+
+        def score(batches, bq=bq):
+            import pandas as pd
+            ids, qmat = bq.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                m = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
+                # A zero vector has no cosine: NaN here, null in Spark, ranked last.
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                    sims = m @ qmat.T
+                cids = pdf["_cid"].to_numpy()
+                out = []
+                for j, q_id in enumerate(ids):
+                    col = sims[:, j]
+                    order = np.lexsort((cids, -col))[:k]
+                    out.append(pd.DataFrame({"_qid": q_id, "_cid": cids[order], "_sim": col[order]}))
+                yield pd.concat(out, ignore_index=True)
+
+        parts.append(base.mapInPandas(score, out_schema))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    ranked = top_k(cand, ["_qid"], [F.col("_sim").desc(), F.col("_cid")], k, "rank")
+    return ranked.select(F.col("_qid").alias(qid), "rank", F.col("_cid").alias(cid),
+                         F.round("_sim", 3).alias("similarity"))
 
 
 def enriched_kb_documents(kb: DataFrame, keywords: DataFrame) -> DataFrame:
