@@ -1,5 +1,6 @@
 """Column functions for exact tests: log-factorial, binomial / hypergeometric
-log-probabilities and the chi-square upper tail for even degrees of freedom."""
+log-probabilities and the chi-square upper tail (closed forms for even and
+odd degrees of freedom)."""
 
 from __future__ import annotations
 
@@ -39,3 +40,18 @@ def chi2_sf_even(x, dof) -> Column:
         lambda acc, i: F.struct((acc["t"] * h / i).alias("t"), (acc["s"] + acc["t"] * h / i).alias("s")))
     total = F.when(m <= 1, F.lit(1.0)).otherwise(terms["s"])
     return F.exp(-h) * total
+
+
+def chi2_sf_odd(x: float, dof: int) -> float:
+    """P(X >= x) for a chi-square with odd ``dof`` (a scalar, once per test):
+    erfc(sqrt(x/2)) + sqrt(2x/pi) exp(-x/2) sum_{j<(dof+1)/2} x^(j-1) / (1*3*...*(2j-1))."""
+    if x is None or x != x:
+        return float("nan")
+    if x <= 0:
+        return 1.0
+    p = math.erfc(math.sqrt(x / 2))
+    term = math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for j in range(1, (dof - 1) // 2 + 1):
+        p += term
+        term *= x / (2 * j + 1)
+    return min(1.0, p)

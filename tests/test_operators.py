@@ -176,6 +176,42 @@ def test_chi_square_and_cramers_v(spark):
     assert abs(out["cramers_v"] - round(math.sqrt(20 / 120), 6)) < 1e-9
 
 
+def _yates_2x2_py(t):
+    # direct continuity-corrected statistic over the full 2x2 grid (empty cells included)
+    n = sum(map(sum, t))
+    r = [sum(row) for row in t]
+    c = [t[0][j] + t[1][j] for j in range(2)]
+    chi2 = 0.0
+    for i in range(2):
+        for j in range(2):
+            e = r[i] * c[j] / n
+            d = abs(t[i][j] - e)
+            chi2 += (d - min(0.5, d)) ** 2 / e
+    return chi2
+
+
+def test_chi_square_odd_dof(spark):
+    from corpusgauge.functions.stats import chi2_sf_odd
+    # 5 % critical values of the chi-square distribution for 1, 3, 5, 7 dof
+    for x, dof in [(3.841458820694124, 1), (7.814727903251178, 3), (11.070497693516351, 5),
+                   (14.067140449340169, 7)]:
+        assert math.isclose(chi2_sf_odd(x, dof), 0.05, rel_tol=1e-9)
+    assert chi2_sf_odd(0.0, 3) == 1.0
+    for t in ([[10, 20], [30, 40]], [[5, 0], [3, 7]], [[50, 50], [50, 50]]):
+        rows = [(f"r{i}", f"c{j}") for i in range(2) for j in range(2) for _ in range(t[i][j])]
+        out = M.chi_square(spark.createDataFrame(rows, "r string, c string"), "r", "c", "t").first()
+        want = _yates_2x2_py(t)
+        assert out["dof"] == 1 and abs(out["chi2"] - round(want, 6)) < 1e-9
+        assert abs(out["p_value"] - round(math.erfc(math.sqrt(want / 2)), 6)) < 1e-9
+    # 2x4 table: dof 3, uncorrected statistic
+    t = [[10, 20, 30, 40], [40, 30, 20, 10]]
+    rows = [(f"r{i}", f"c{j}") for i in range(2) for j in range(4) for _ in range(t[i][j])]
+    out = M.chi_square(spark.createDataFrame(rows, "r string, c string"), "r", "c", "t").first()
+    # expected 25 per cell: chi2 = 2 * (225 + 25 + 25 + 225) / 25 = 40
+    assert out["dof"] == 3 and abs(out["chi2"] - 40.0) < 1e-9
+    assert abs(out["p_value"] - round(chi2_sf_odd(40.0, 3), 6)) < 1e-12
+
+
 def test_kappas(spark):
     rows = [(1, "a", "a"), (2, "a", "a"), (3, "b", "b"), (4, "b", "a"), (5, "", "a")]
     df = spark.createDataFrame(rows, "id int, x string, y string")
