@@ -345,33 +345,66 @@ def rater_sheets(spark, sf_dir):
     return sheets.select("rater", "doc_id", "sheet_pos", "polarity")
 
 
-@query("split_80_20", f"""
-WITH c AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || '|' || c_mktsegment AS s FROM customer),
+_SPLIT80_CTE = f"""
+c AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || '|' || c_mktsegment AS s FROM customer),
 sc AS (SELECT s, count(*) AS n FROM c GROUP BY s),
-m AS (SELECT c.c_custkey, CASE WHEN sc.n < 2 THEN 'Other' ELSE c.s END AS stratum FROM c JOIN sc USING (s)),
+m AS (SELECT c.c_custkey, c.s, CASE WHEN sc.n < 2 THEN 'Other' ELSE c.s END AS stratum FROM c JOIN sc USING (s)),
 cnt AS (SELECT stratum, count(*) AS n, 0 AS label_ord FROM m GROUP BY stratum),
 tot AS (SELECT sum(n) AS t FROM cnt),
 c1 AS (SELECT cnt.*, (SELECT t - (2 * t + 9) // 10 FROM tot) AS draw FROM cnt),
 q AS (SELECT *, fl + CASE WHEN rr <= need THEN 1 ELSE 0 END AS q FROM (
         SELECT *, row_number() OVER (ORDER BY rem DESC, label_ord, stratum) AS rr, draw - sum(fl) OVER () AS need FROM (
           SELECT *, (n * draw) // sum(n) OVER () AS fl, (n * draw) % sum(n) OVER () AS rem FROM c1) a) b),
-rk AS (SELECT m.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{SEED}|' || c_custkey)) AS rnk FROM m)
-SELECT CASE WHEN rnk <= q THEN 'train' ELSE 'test' END AS split, count(*)::BIGINT AS n,
-       count(DISTINCT stratum)::BIGINT AS n_strata,
-       count(*) FILTER (WHERE stratum = 'Other')::BIGINT AS n_other
-FROM rk JOIN q USING (stratum) GROUP BY 1""", ops="P3")
-def split_80_20(spark, sf_dir):
+rk AS (SELECT m.*, row_number() OVER (PARTITION BY stratum ORDER BY sha256('{SEED}|' || c_custkey)) AS rnk FROM m)"""
+
+
+def _split_80_20_frame(spark, sf_dir):
+    """(c_custkey, s, stratum, split): 80/20 split stratified by nation|segment,
+    strata with fewer than two rows merged into 'Other' for the split only."""
     c = load(spark, sf_dir, "customer").select(
         "c_custkey", F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("s"))
     sizes = c.groupBy("s").agg(F.count(F.lit(1)).alias("_n"))
-    m = c.join(sizes, "s").select("c_custkey", F.when(F.col("_n") < 2, "Other").otherwise(F.col("s")).alias("stratum"))
+    m = c.join(sizes, "s").select("c_custkey", "s",
+                                  F.when(F.col("_n") < 2, "Other").otherwise(F.col("s")).alias("stratum"))
     sp = S.stratified_split(m, "c_custkey", "stratum", SEED, 2, 10, labels=None)
     # 80/20: the "rest" (test) is ceil(0.2 n); every row not in train is test
-    sp = sp.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
+    return sp.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("test"))
+
+
+@query("split_80_20", f"""
+WITH {_SPLIT80_CTE}
+SELECT CASE WHEN rnk <= q THEN 'train' ELSE 'test' END AS split, count(*)::BIGINT AS n,
+       count(DISTINCT stratum)::BIGINT AS n_strata,
+       count(*) FILTER (WHERE stratum = 'Other')::BIGINT AS n_other
+FROM rk JOIN q USING (stratum) GROUP BY 1""", ops="P3")
+def split_80_20(spark, sf_dir):
+    sp = _split_80_20_frame(spark, sf_dir)
     return sp.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("stratum").alias("n_strata"),
                                    F.count_if(F.col("stratum") == "Other").alias("n_other"))
 
 
+@query("split_share_check", f"""
+WITH {_SPLIT80_CTE},
+sp AS (SELECT s, CASE WHEN rnk <= q THEN 'train' ELSE 'test' END AS split FROM rk JOIN q USING (stratum)),
+d AS (SELECT split, s, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split), 1) AS pct
+      FROM sp GROUP BY split, s),
+tr AS (SELECT s, pct FROM d WHERE split = 'train'),
+te AS (SELECT s, pct FROM d WHERE split = 'test')
+SELECT coalesce(tr.s, te.s) AS category, coalesce(tr.pct, 0) AS train_pct, coalesce(te.pct, 0) AS test_pct
+FROM tr FULL OUTER JOIN te ON tr.s = te.s""", ops="J6 P3")
+def split_share_check(spark, sf_dir):
+    """Share of every actual category (not the merged stratum) in train and
+    in test, percent to one decimal; a category missing from one side is 0."""
+    sp = _split_80_20_frame(spark, sf_dir)
+    cnt = sp.groupBy("split", "s").agg(F.count(F.lit(1)).alias("n"))
+    tot = cnt.groupBy("split").agg(F.sum("n").alias("_t"))  # one row per split
+    pct = cnt.join(F.broadcast(tot), "split").select(
+        "split", F.col("s").alias("category"), F.round(100.0 * F.col("n") / F.col("_t"), 1).alias("pct"))
+    tr = pct.filter(F.col("split") == "train").select("category", F.col("pct").alias("train_pct"))
+    te = pct.filter(F.col("split") == "test").select("category", F.col("pct").alias("test_pct"))
+    return tr.join(te, "category", "full_outer").na.fill(0.0, ["train_pct", "test_pct"])
+
+
 @query("review_sheet", f"""
 SELECT l.doc_id, 'Negative' AS current_value, 'Negative' AS new_value, length(d.text)::BIGINT AS text_len,
        left(d.text, 120) AS text_head

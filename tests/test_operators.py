@@ -317,7 +317,7 @@ def test_category_retrieval(spark):
 
 
 @pytest.mark.parametrize("name", ["clean_reason_counts", "crosstab_rowpct", "keyword_classify",
-                                  "stratified_split", "dashboard", "lexical_retrieval"])
+                                  "stratified_split", "dashboard", "lexical_retrieval", "split_share_check"])
 def test_queries_match_oracle_small(spark, name):
     import duckdb
 
