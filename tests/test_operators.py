@@ -212,6 +212,28 @@ def test_chi_square_odd_dof(spark):
     assert abs(out["p_value"] - round(chi2_sf_odd(40.0, 3), 6)) < 1e-12
 
 
+def test_masked_mean_pool_brute_force(spark):
+    import random
+
+    from corpusgauge.operators import ml as ML
+    rnd = random.Random(7)
+    rows = []
+    for seq in range(6):
+        for _t in range(rnd.randint(1, 9)):
+            rows.append((seq, [rnd.uniform(-1, 1) for _ in range(4)], rnd.randint(0, 1)))
+    rows.append((6, [1.0, 1.0, 1.0, 1.0], 0))  # every token masked -> zero vector
+    rows += [(0, [5.0, 5.0, 5.0, 5.0], 1)] * 20  # hot sequence
+    df = spark.createDataFrame(rows, "s int, v array<double>, m int")
+    got = {r["s"]: (r["n_tokens"], r["pooled"]) for r in ML.masked_mean_pool(df, "s", "v", "m").collect()}
+    for seq in {r[0] for r in rows}:
+        toks = [(v, m) for s_, v, m in rows if s_ == seq]
+        den = max(sum(m for _, m in toks), 1e-9)
+        want = [sum(v[i] * m for v, m in toks) / den for i in range(4)]
+        n, pooled = got[seq]
+        assert n == sum(m for _, m in toks)
+        assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12) for a, b in zip(pooled, want))
+
+
 def test_kappas(spark):
     rows = [(1, "a", "a"), (2, "a", "a"), (3, "b", "b"), (4, "b", "a"), (5, "", "a")]
     df = spark.createDataFrame(rows, "id int, x string, y string")
