@@ -140,7 +140,15 @@ def cosine_top_k(corpus: DataFrame, cid: str, cvec: str, queries: DataFrame, qid
                 out = []
                 for j, q_id in enumerate(ids):
                     col = sims[:, j]
-                    order = np.lexsort((cids, -col))[:k]
+                    key = np.where(np.isnan(col), -np.inf, col)  # no cosine ranks last
+                    if len(key) > k:
+                        # linear-time k-th largest; every row tied with it stays a
+                        # candidate, so the (similarity, id) order below is exact
+                        thr = np.partition(key, len(key) - k)[len(key) - k]
+                        cand = np.nonzero(key >= thr)[0]
+                    else:
+                        cand = np.arange(len(key))
+                    order = cand[np.lexsort((cids[cand], -key[cand]))][:k]
                     out.append(pd.DataFrame({"_qid": q_id, "_cid": cids[order], "_sim": col[order]}))
                 yield pd.concat(out, ignore_index=True)
 

@@ -310,6 +310,33 @@ def test_vector_search_sorted_and_blank(spark):
     assert sims == sorted(sims, reverse=True) and all(-1 <= s <= 1 for s in sims)
 
 
+def test_vector_search_ties_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    # few distinct directions -> many exact ties at the k-th place; one zero vector
+    dirs = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(i, [x * rnd.choice([1.0, 2.0]) for x in rnd.choice(dirs)]) for i in range(1, 301)]
+    rows.append((301, [0.0, 0.0, 0.0]))
+    rnd.shuffle(rows)
+    qs = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 1.0, 0.0]), (3, [0.2, 0.1, 0.9]), (4, [0.0, 0.0, 0.0])]
+    corpus = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    q = spark.createDataFrame(qs, "qid long, qv array<double>")
+    got = [(r["qid"], r["rank"], r["id"]) for r in
+           RT.cosine_top_k(corpus, "id", "v", q, "qid", "qv", 4, chunk_rows=2).orderBy("qid", "rank").collect()]
+
+    def cos(a, b):
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return None if na == 0 or nb == 0 else sum(x * y for x, y in zip(a, b)) / (na * nb)
+    want = []
+    for qid, qv in qs:
+        sc = [(cos(v, qv), i) for i, v in rows]
+        # similarity descending (no cosine last), then id
+        sc.sort(key=lambda t: (t[0] is None, -(t[0] or 0.0), t[1]))
+        want += [(qid, r + 1, i) for r, (_s, i) in enumerate(sc[:4])]
+    assert got == want
+
+
 def test_lexical_overlap_brute_force(spark):
     docs = [(1, "the cat sat on the mat"), (2, "a dog sat"), (3, "cats and dogs"), (4, "nothing here")]
     qs = [(10, "The cat and the dog"), (11, "zebra")]
