@@ -28,3 +28,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "soft_failed", "host_rate", "host_bad")
+
+
+@llm_query("op3_minhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.minhash import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept", "class_id")
