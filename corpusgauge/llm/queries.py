@@ -36,3 +36,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicates(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+@llm_query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusgauge.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"])
+    return decode(ids, path, as_text=True).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
