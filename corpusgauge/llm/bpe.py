@@ -1,14 +1,15 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
 Encoding.  The merges (a rank for every token) are compiled into a transducer that reads one
-byte at a time.  For a prefix of the input, a token sequence is the encoding of its bytes
-exactly if every adjacent pair is the encoding of the pair's bytes (a known property of BPE).  So the last token of a longer prefix
-is the one suffix that is a token and fits after the encoding of what precedes it.  A future
-token can only reach back as far as the longest suffix that is the beginning of some token;
-the state keeps, for each position in that reach, the tokens not yet emitted up to there.  What
-is common to all of them is final and is emitted: the lookahead is bounded by the longest
-token.  States and transitions are made when first met (lazy determinisation) and dropped all
-together when there are too many, so memory is bounded whatever the text.
+byte at a time.  A token sequence is the encoding of its bytes exactly if every adjacent pair
+is the encoding of the pair's bytes (a known property of BPE), so the last token at a position
+is the one token that ends there and fits after the last token where it starts.  A later token
+can only reach back over the longest suffix that is the beginning of some token: that live
+suffix is the state, and the last tokens of the positions in it are registers.  A boundary on
+which the ways back from all live positions agree is final, and the tokens before it are
+emitted: the lookahead is bounded by the longest token.  States and moves are made when first
+met (lazy determinisation); there are at most as many as beginnings of tokens, and they are
+dropped all together when they exceed a bound.
 
 Decoding.  Tokens are read one at a time; a UTF-8 state machine carries an unfinished character
 from one token to the next.  Its transitions are by whole tokens and are made when first met as
@@ -33,13 +34,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import free_name, tune
+from corpusgauge.llm.common import MIX, free_name, tune
 
 # Bounds of what a worker keeps; at the bound the cache is emptied, results do not change.
-MAX_STATES = 60_000
-MAX_PIECES = 150_000
+MAX_MOVES = 200_000
+MAX_PIECES = 200_000
 MAX_PAIRS = 400_000
 
+# Slots of the table of pairs, and the most tokens that may end in one place.
+PAIR_BITS = 20
+PAIR_SLOTS = 1 << PAIR_BITS
+MAX_ENDS = 24
+# Pieces up to this many bytes go through the transducer together, longer ones alone.
+SHORT = 48
+
+BYTES = [bytes((i,)) for i in range(256)]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank from a rank file (base64 token, space, rank per line)."""
@@ -49,109 +59,192 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge_pair(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The definition, for short inputs: merge the leftmost pair of lowest rank until none is left."""
-    parts = [data[i:i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        found = min(((ranks.get(parts[i] + parts[i + 1]), i) for i in range(len(parts) - 1)
-                     if parts[i] + parts[i + 1] in ranks), default=None)
-        if found is None:
-            break
-        i = found[1]
+    parts = [BYTES[x] for x in data]
+    none = len(ranks)
+    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while pairs and (low := min(pairs)) < none:
+        i = pairs.index(low)
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
     return parts
 
 
 class Transducer:
     """Byte-at-a-time encoder of one piece of text.
 
-    A state is (live suffix, pending): ``pending[k]`` holds the token ids not yet emitted on the
-    way to the position ``k`` bytes into the live suffix."""
+    A state is a live suffix; a move gives the next state, how far the live suffix's start
+    advances, and the tokens that may end at the new position.  The registers are the last
+    tokens of the live positions (and, until they are emitted, of those before)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.lookahead = 4 * max(map(len, ranks))
         self.begins = {token[:i] for token in ranks for i in range(1, len(token))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.length = np.zeros(max(self.tokens) + 1, np.int32)
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        self.seen_pair = np.full(PAIR_SLOTS, -1, np.int64)
+        self.seen_fits = np.zeros(PAIR_SLOTS, bool)
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[bytes, tuple]] = []
-        self.names: dict[tuple[bytes, tuple], int] = {}
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
-        self.start = self.name((b"", ((),)))
-
-    def name(self, state: tuple[bytes, tuple]) -> int:
-        if (n := self.names.get(state)) is None:
-            n = self.names[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-        return n
+        self.states: list[bytes] = [b""]
+        self.names: dict[bytes, int] = {b"": 0}
+        self.moves: dict[int, tuple[int, int, tuple]] = {}  # by state * 256 + byte
+        # the same moves as arrays, for many pieces at a time: row of a move by state * 256 + byte
+        self.row = np.full(256 * 256, -1, np.int32)
+        self.table = np.full((1024, 2 + 2 * MAX_ENDS), -1, np.int32)  # next, cut, starts, tokens
 
     def pair(self, left: int, right: int) -> bool:
-        """Is (left, right) the encoding of its own bytes?"""
-        if (ok := self.fits.get((left, right))) is None:
-            if len(self.fits) > MAX_PAIRS:
-                self.fits.clear()
+        """Is (left, right) the encoding of its own bytes?  Nothing (-1) goes before any token."""
+        if len(self.fits) > MAX_PAIRS:
+            self.fits.clear()
+        if left < 0:
+            ok = True
+        else:
             a, b = self.tokens[left], self.tokens[right]
-            ok = self.fits[left, right] = merge_pair(a + b, self.ranks) == [a, b]
+            ok = merge_pair(a + b, self.ranks) == [a, b]
+        self.fits[left << 32 | right] = ok
         return ok
 
-    def alone(self, token: int) -> bool:
-        """Is the token the encoding of its own bytes?"""
-        if (ok := self.fits.get((token, -1))) is None:
-            ok = self.fits[token, -1] = len(merge_pair(self.tokens[token], self.ranks)) == 1
+    def move(self, state: int, byte: int) -> tuple[int, int, tuple]:
+        grown = self.states[state] + BYTES[byte]
+        cut = next(k for k in range(len(grown) + 1) if k == len(grown) or grown[k:] in self.begins)
+        ends = tuple((k, self.ranks[grown[k:]]) for k in range(len(grown)) if grown[k:] in self.ranks
+                     and len(merge_pair(grown[k:], self.ranks)) == 1)
+        if not ends:
+            raise ValueError("the vocabulary does not hold every byte")
+        live = grown[cut:]
+        if (n := self.names.get(live)) is None:
+            n = self.names[live] = len(self.states)
+            self.states.append(live)
+        if len(self.row) < 256 * len(self.states):
+            self.row = np.concatenate([self.row, np.full_like(self.row, -1)])
+        if len(self.table) == len(self.moves):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        if len(ends) > (self.table.shape[1] - 2) // 2:
+            raise ValueError("more tokens end in one place than MAX_ENDS")
+        at = self.row[state << 8 | byte] = len(self.moves)
+        self.table[at, :2] = n, cut
+        for i, (k, token) in enumerate(ends):
+            self.table[at, 2 + 2 * i:4 + 2 * i] = k, token
+        found = self.moves[state << 8 | byte] = (n, cut, ends)
+        return found
+
+    def back(self, last: list[int], end: int) -> list[int]:
+        """The tokens up to the position ``end``, last first."""
+        out = []
+        while end:
+            out.append(last[end])
+            end -= len(self.tokens[last[end]])
+        return out
+
+    def emit(self, last: list[int], base: int, out: list[int]) -> tuple[list[int], int]:
+        """Emit what all live positions share; the rest of the registers."""
+        common: set[int] | None = None
+        for end in range(base, len(last)):
+            ways = {end}
+            while end:
+                end -= len(self.tokens[last[end]])
+                ways.add(end)
+            common = ways if common is None else common & ways
+        final = max(common)
+        out.extend(reversed(self.back(last, final)))
+        return last[final:], base - final
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`pair` of many, through a table of one pair a slot."""
+        key = left.astype(np.int64) << 32 | right
+        slot = ((key.view(np.uint64) * MIX) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        ok = self.seen_fits[slot]
+        other = np.flatnonzero(self.seen_pair[slot] != key)
+        if len(other):
+            for i in other.tolist():
+                fit = self.fits.get(int(key[i]))
+                ok[i] = self.pair(int(left[i]), int(right[i])) if fit is None else fit
+            self.seen_pair[slot[other]] = key[other]
+            self.seen_fits[slot[other]] = ok[other]
+            # two of these may share a slot: the last key written must go with its own answer
+            last = np.flatnonzero(self.seen_pair[slot[other]] == key[other])
+            self.seen_fits[slot[other[last]]] = ok[other[last]]
         return ok
 
-    def move(self, n: int, byte: int) -> tuple[int, tuple]:
-        """(next state, ids emitted)."""
-        suffix, pending = self.states[n]
-        # pending[k] is empty only at the start of the piece: the last token stays behind
-        grown = suffix + bytes((byte,))
-        found = None
-        for k in range(len(grown)):
-            token = self.ranks.get(grown[k:])
-            if token is None or not self.alone(token):
-                continue
-            before = pending[k]
-            if before and not self.pair(before[-1], token):
-                continue
-            found = (*before, token)
-            break
-        if found is None:
-            raise ValueError("the vocabulary does not hold every byte")
-        pending = (*pending, found)
-        k = 0
-        while k < len(grown) and grown[k:] not in self.begins:
-            k += 1
-        suffix, pending = grown[k:], pending[k:]
-        # the tokens that all live positions share are final; the last of them stays, because
-        # the token after it must fit it
-        first = min(pending, key=len)
-        common = 0
-        while common < len(first) and all(p[common] == first[common] for p in pending):
-            common += 1
-        out = max(0, common - 1)
-        return self.name((suffix, tuple(p[out:] for p in pending))), first[:out]
+    def encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and where each begins (and the last ends).
+        All pieces take their next byte together: one move of the transducer for each."""
+        if len(self.moves) > MAX_MOVES:
+            self.clear()
+        if not any(pieces):
+            return np.empty(0, np.int32), np.zeros(len(pieces) + 1, np.int64)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        width = int(size[0])
+        data = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in order]), np.uint8).reshape(-1, width)
+        last = np.full((len(pieces), width + 1), -1, np.int32)
+        state, base = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for j in range(width):
+            m = int(np.searchsorted(-size, -j, side="left"))  # pieces longer than j bytes
+            key = state[:m] << 8 | data[:m, j]
+            row = self.row[key]
+            if (row < 0).any():
+                for x in np.unique(key[row < 0]).tolist():
+                    self.move(x >> 8, x & 255)
+                row = self.row[key]
+            move = self.table[row]
+            todo = np.arange(m)
+            for i in range(2, move.shape[1], 2):
+                token = move[todo, i + 1]
+                ok = self.pairs(last[todo, base[todo] + move[todo, i]], token)
+                last[todo[ok], j + 1] = token[ok]
+                todo = todo[~ok]
+                if not len(todo):
+                    break
+            state[:m] = move[:, 0]
+            base[:m] += move[:, 1]
+        # the ways back from all ends, one token of each at a time
+        steps, end, alive = [], size.copy(), np.flatnonzero(size > 0)
+        count = np.zeros(len(pieces), np.int64)
+        while len(alive):
+            token = last[alive, end[alive]]
+            steps.append((alive, token))
+            count[alive] += 1
+            end[alive] -= self.length[token]
+            alive = alive[end[alive] > 0]
+        begins = np.zeros(len(pieces) + 1, np.int64)
+        back = np.empty(len(pieces), np.int64)
+        back[order] = count
+        np.cumsum(back, out=begins[1:])
+        flat = np.empty(int(begins[-1]), np.int32)
+        for i, (alive, token) in enumerate(steps):
+            flat[begins[order[alive]] + count[alive] - 1 - i] = token
+        return flat, begins
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if len(self.moves) > MAX_MOVES:
             self.clear()
         out: list[int] = []
-        n, moves = self.start, self.moves
+        known, fits = self.moves.get, self.fits.get
+        state, base, last, full = 0, 0, [-1], self.lookahead
         for byte in data:
-            step = moves[n].get(byte)
-            if step is None:
-                step = moves[n][byte] = self.move(n, byte)
-                if len(self.states) > 2 * MAX_STATES:  # a very long piece: keep only where we are
-                    state = self.states[step[0]]
-                    self.clear()
-                    moves = self.moves
-                    step = (self.name(state), step[1])
-            n = step[0]
-            if step[1]:
-                out.extend(step[1])
-        if data:
-            out.extend(self.states[n][1][-1])
+            state, cut, ends = known(state << 8 | byte) or self.move(state, byte)
+            for k, token in ends:
+                left = last[base + k]
+                ok = fits(left << 32 | token)
+                if ok or ok is None and self.pair(left, token):
+                    break
+            last.append(token)
+            base += cut
+            if len(last) > full:
+                last, base = self.emit(last, base, out)
+                full = len(last) + self.lookahead
+        out.extend(reversed(self.back(last, len(last) - 1)))
         return out
 
 
@@ -164,23 +257,38 @@ class Encoder:
         self.transducer = Transducer(self.ranks)
         self.pieces: dict[str, array] = {}
 
-    def piece(self, text: str) -> array:
-        data = text.encode("utf-8")
-        # a piece that is itself a token is that token, by definition
-        ids = array("i", [self.ranks[data]] if data in self.ranks else self.transducer.encode(data))
-        if len(data) <= 64:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
-            self.pieces[text] = ids
-        return ids
-
-    def __call__(self, text: str | None, out: array) -> array:
-        """``out`` grown by the text's ids."""
-        known, extend = self.pieces.get, out.extend
-        for piece in self.find(text or ""):
-            ids = known(piece)
-            extend(ids if ids is not None else self.piece(piece))
-        return out
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of new pieces."""
+        short: list[str] = []
+        for piece in pieces:
+            data = piece.encode("utf-8")
+            if data in self.ranks:  # a piece that is itself a token is that token, by definition
+                self.pieces[piece] = array("i", [self.ranks[data]])
+            elif len(data) <= SHORT:
+                short.append(piece)
+            else:
+                self.pieces[piece] = array("i", self.transducer.encode(data))
+        flat, begins = self.transducer.encode_many([x.encode("utf-8") for x in short])
+        ids, begins = array("i", flat.tobytes()), begins.tolist()
+        for i, piece in enumerate(short):
+            self.pieces[piece] = ids[begins[i]:begins[i + 1]]
+
+    def __call__(self, texts: list[str | None]) -> tuple[array, list[int]]:
+        """The ids of all texts one after another, and where each begins (and the last ends)."""
+        flat, ends = array("i"), [0]
+        found = [self.find(text or "") for text in texts]
+        new = {piece for pieces in found for piece in pieces if piece not in self.pieces}
+        if len(self.pieces) + len(new) > MAX_PIECES:
+            self.pieces.clear()
+            new = {piece for pieces in found for piece in pieces}
+        if new:
+            self.learn(new)
+        get, extend = self.pieces.__getitem__, flat.extend
+        for pieces in found:
+            for ids in map(get, pieces):
+                extend(ids)
+            ends.append(len(flat))
+        return flat, ends
 
 
 def utf8_need(lead: int) -> int:
@@ -258,10 +366,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry
     def run(batches):
         make = encoder(path, pattern)
         for batch in batches:
-            flat, ends = array("i"), [0]
-            for text in batch.column(0).to_pylist():
-                ends.append(len(make(text, flat)))
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            flat, ends = make(batch.column(0).to_pylist())
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], names=[*carry, out])
 
     source = df.select(F.col(f"`{text_col}`").alias("_0"),

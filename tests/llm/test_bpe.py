@@ -6,7 +6,6 @@ import random
 import public_tokenizers as P
 import pytest
 import tiktoken
-from array import array
 
 from corpusgauge.llm import bpe
 
@@ -31,7 +30,7 @@ def test_equals_the_library(library):
     make = bpe.encoder(PATH, P.PATTERN)
     read = bpe.decoder(PATH)
     for text in SAMPLES + random_texts(3000):
-        ids = list(make(text, array("i")))
+        ids = list(make([text])[0])
         assert ids == library.encode_ordinary(text), text[:80]
         assert read.text(ids) == text and read.bytes(ids) == text.encode()
 
@@ -39,19 +38,35 @@ def test_equals_the_library(library):
 def test_bytes_without_structure(library, monkeypatch):
     """Pieces straight through the transducer, with the caches emptied all the time."""
     rng = random.Random(2)
-    monkeypatch.setattr(bpe, "MAX_STATES", 40)
+    monkeypatch.setattr(bpe, "MAX_MOVES", 40)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 40)
     t = bpe.Transducer(library._mergeable_ranks)
-    for _ in range(300):
-        data = bytes(rng.choices(b"abetinos \n\xc3\xa9\xe2\x80", k=rng.randrange(1, 200)))
-        assert t.encode(data) == library._encode_single_piece(data)
-    assert len(t.states) <= 2 * 40 + 1
+    for _ in range(60):
+        many = [bytes(rng.choices(b"abetinos \n\xc3\xa9\xe2\x80", k=rng.randrange(0, 120))) for _ in range(9)]
+        flat, begins = t.encode_many(many)
+        for i, data in enumerate(many):
+            want = library._encode_single_piece(data) if data else []
+            assert t.encode(data) == want == flat[begins[i]:begins[i + 1]].tolist()
+    assert len(t.fits) <= 41
+
+
+def test_memory_of_pieces_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_PIECES", 50)
+    make = bpe.Encoder(PATH, P.PATTERN)
+    texts = random_texts(400, seed=9)
+    for i in range(0, 400, 40):
+        flat, ends = make(texts[i:i + 40])
+        assert [list(flat[a:b]) for a, b in zip(ends, ends[1:])] == library.encode_ordinary_batch(texts[i:i + 40])
 
 
 def test_bounded_lookahead(library):
-    """What is pending at any time is bounded, however long the piece."""
+    """What is not yet emitted is bounded, however long the piece."""
     t = bpe.Transducer(library._mergeable_ranks)
-    t.encode(b"abracadabra" * 3000)
-    assert max(len(p) for _, pending in t.states for p in pending) < 2 * t.longest
+    left, emit = [], t.emit
+    t.emit = lambda *a: (left.append(len(r[0])) or r) if (r := emit(*a)) else r
+    for data in (b"abracadabra" * 3000, b"=" * 20_000, b"\xc3\xa9" * 9000, b" " * 30_000, b"ab" * 9000):
+        assert t.encode(data) == library._encode_single_piece(data)
+    assert left and max(left) < t.lookahead
 
 
 def test_streaming_decode_of_split_and_broken_characters():
