@@ -50,3 +50,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@llm_query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.decontam import contamination, n_hit
+
+    hits = contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return hits.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
