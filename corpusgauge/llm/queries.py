@@ -60,3 +60,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(
         F.col("id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+
+
+@llm_query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.secret_scan import BASE, Ledger, scan
+    from corpusgauge.session import scratch_path
+
+    found = scan(load(spark, sf_dir, "documents"), Ledger(spark, scratch_path(spark, "ledger")))
+    base = F.filter("spans", lambda x: x["kind"].isin(*[r.kind for r in BASE]))
+    joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
+    return found.select(F.col("path").alias("doc_id"), *[count(r.kind).alias(f"n_{r.kind}") for r in BASE],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
