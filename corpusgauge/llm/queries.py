@@ -73,3 +73,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
     return found.select(F.col("path").alias("doc_id"), *[count(r.kind).alias(f"n_{r.kind}") for r in BASE],
                         F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+# A conversation made of the control strings of a common chat template.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+OP10_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS n,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 1, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 2, 'assistant', '{CONTROL_TEXT}'),
+sized AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^<>\\[\\]\\\\]', '', 'g'))
+            + length(role) + length(regexp_replace(role, '[^<>\\[\\]\\\\]', '', 'g')) + 11 AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@llm_query("op10_chat_format", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.chat import format_conversations, masked_texts, read_turns
+
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(CONTROL_TEXT).alias("text"))
+    out = format_conversations(turns.union(extra)).withColumn("turns", read_turns(F.col("formatted"))).withColumn(
+        "loss", F.array_join(masked_texts(F.col("formatted"), F.col("loss_mask")), ""))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
