@@ -110,3 +110,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@llm_query("op8_html_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.html_main import extract
+
+    return extract(load(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
