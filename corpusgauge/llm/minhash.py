@@ -12,7 +12,7 @@
    ``miss`` probability.  Survivors are verified on the full shingle sets (:func:`confirm`).
 5. Links give components.  In buckets whose members are still in several components, the
    members outside the bucket's largest component are compared with all others, in blocks of
-   bounded size, skipping pairs of one component; links found there are added.  Every pair
+   bounded size, skipping pairs that are connected already (:func:`rest_links`).  Every pair
    that shares a bucket has then been compared or is known to be connected.
 
 With 32 bands of 6 rows a pair at the threshold 0.85 shares no bucket with probability
@@ -47,7 +47,7 @@ class NearDupParams:
     band_rows: int = 6
     batch: int = 32            # min-hashes compared before each look at the posterior
     miss: float = 1e-6         # a pair is dropped below this posterior probability
-    block: int = 1024          # members compared with as many others at a time
+    block: int = 512           # members compared with as many others at a time
     seed: int = 20240607
 
     @property
@@ -80,6 +80,14 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def linked_sets(x: np.ndarray, y: np.ndarray, p: NearDupParams) -> bool:
+    """The link condition on two full sets."""
+    if not len(x) or 100 * min(len(x), len(y)) < p.threshold_pct * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= p.threshold_pct * (len(x) + len(y) - both)
+
+
 def sign(docs: DataFrame, text_col: str, carry: list[str], p: NearDupParams) -> DataFrame:
     """The columns ``carry`` and n_shingles, k1, k2 (null without shingles), sig."""
     tune(docs.sparkSession)
@@ -176,11 +184,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
                                                  byte_values(batch.column(2)), byte_values(batch.column(3)))):
                 if not a or not b:
                     continue
-                x, y = shingles(u, a), shingles(v, b)
-                if 100 * min(len(x), len(y)) < p.threshold_pct * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= p.threshold_pct * (len(x) + len(y) - both):
+                if linked_sets(shingles(u, a), shingles(v, b), p):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
@@ -191,44 +195,62 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def rest_pairs(rows: DataFrame, sigs: DataFrame, p: NearDupParams) -> DataFrame:
-    """Candidate pairs of buckets whose members are in several components.
+def shingle_tables(nodes: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(node, set): the sorted shingle hashes of each of the ``nodes``."""
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, p.words).tobytes() for t in byte_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return nodes.join(texts, "node").select("node", "text").mapInArrow(run, "node bigint, set binary")
 
-    ``rows`` has (bucket, node, label, stray, n_stray, n_all): the members that are not in the
-    bucket's largest component are strays.  Strays and members are dealt to blocks of about
-    ``p.block``; each pair of blocks is one group, so no task holds a bucket, however large.
-    A pair is compared only if its labels differ and it did not meet in an earlier band."""
+
+def rest_links(rows: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links in buckets whose members are in several components.
+
+    ``rows`` has (bucket, band, node, label, sig, set, stray, n_stray, n_all): the members that
+    are not in the bucket's largest component are strays.  Strays and members are dealt to
+    blocks of about ``p.block``; each pair of blocks is one group, so no task holds a bucket,
+    however large.  A pair is compared if its labels differ, if no link found in the group
+    joins them already, and if it did not meet in an earlier band; likely pairs come first.
+    Only links leave the group."""
     steps, width = least_matches(p), 4 * p.band_rows
     blocks = lambda n: F.ceil(F.col(n) / p.block).cast("bigint")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
-    cell = lambda i, j: F.xxhash64("bucket", i, j).alias("cell")
-    held = rows.join(sigs, "node").withColumn("i", own("n_stray")).withColumn("j", own("n_all"))
-    left = (held.filter("stray").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks("n_all") - 1)))
-            .select(cell(F.col("i"), F.col("j")), "bucket", "band", "node", "label", "sig", F.lit(True).alias("stray")))
-    right = (held.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks("n_stray") - 1)))
-             .select(cell(F.col("i"), F.col("j")), "bucket", "band", "node", "label", "sig",
-                     F.lit(False).alias("stray")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
+    held = rows.withColumn("i", own("n_stray")).withColumn("j", own("n_all"))
+    columns = ["bucket", "i", "j", "band", "node", "label", "sig", "set"]
+    left = held.filter("stray").withColumn("j", upto("n_all")).select(*columns, F.lit(True).alias("stray"))
+    right = held.withColumn("i", upto("n_stray")).select(*columns, F.lit(False).alias("stray"))
 
     def compare(table: pa.Table) -> pa.Table:
-        out: tuple[list, list] = ([], [])
-        stray = np.array(table.column("stray").to_pylist(), bool)
-        node, label = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "label"))
-        band = table.column("band")[0].as_py()
+        node, label = table.column("node").to_pylist(), table.column("label").to_numpy()
+        stray = table.column("stray").to_numpy(zero_copy_only=False)
+        band, sets = table.column("band")[0].as_py(), table.column("set")
         sig = matrix(table.column("sig").to_pylist(), p)
         heads = np.ascontiguousarray(sig).view(np.dtype((np.void, width)))
+        names, group = np.unique(label, return_inverse=True)
+        out: tuple[list, list] = ([], [])
         one, other = np.flatnonzero(stray), np.flatnonzero(~stray)
-        for i in one:
-            js = other[label[other] != label[i]]
+        for i in one.tolist():
+            js = other[group[other] != group[i]]
             if band and len(js):
                 js = js[~(heads[js, :band] == heads[i, :band]).any(axis=1)]
             if len(js):
                 js = js[survives(np.broadcast_to(sig[i], (len(js), p.hashes)), sig[js], p, steps)]
-                out[0].extend([int(node[i])] * len(js))
-                out[1].extend(node[js].tolist())
+            if not len(js):
+                continue
+            js = js[np.argsort(-(sig[js] == sig[i]).sum(axis=1), kind="stable")]
+            x = np.frombuffer(sets[i].as_py(), np.uint64)
+            while len(js):
+                j, js = int(js[0]), js[1:]
+                if linked_sets(x, np.frombuffer(sets[j].as_py(), np.uint64), p):
+                    out[0].append(node[i]), out[1].append(node[j])
+                    group[group == group[j]] = group[i]
+                    js = js[group[js] != group[i]]
         return pa.table({"u": pa.array(out[0], pa.int64()), "v": pa.array(out[1], pa.int64())})
 
-    found = left.union(right).groupBy("cell", "bucket").applyInArrow(compare, "u bigint, v bigint")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return left.union(right).groupBy("bucket", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -268,7 +290,8 @@ def linked(signed: DataFrame, named: DataFrame, p: NearDupParams) -> DataFrame:
                                     (F.sum("n") - F.max("n")).alias("n_stray")).filter("n_stray > 0"))
     rows = written(others.join(open_, "bucket").withColumn("stray", F.col("label") != F.col("main"))
                    .drop("main"), "open-buckets")
-    more = written(confirm(rest_pairs(rows, sigs, p), texts, p), "more-links")
+    open_sets = written(shingle_tables(rows.select("node").distinct(), texts, p).join(sigs, "node"), "open-sets")
+    more = written(rest_links(rows.join(open_sets, "node"), p), "more-links")
     if more.limit(1).count():
         labels = written(components(links.union(more)), "labels")
 
