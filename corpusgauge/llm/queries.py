@@ -118,3 +118,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return extract(load(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@llm_query("op7_repeated_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.repeats import remove_repeats
+
+    return remove_repeats(load(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
