@@ -127,3 +127,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@llm_query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.license_scan import scan, train
+
+    docs = load(spark, sf_dir, "documents")
+    return scan(docs, train(docs)).withColumnRenamed("id", "doc_id")
