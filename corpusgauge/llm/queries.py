@@ -135,3 +135,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = load(spark, sf_dir, "documents")
     return scan(docs, train(docs)).withColumnRenamed("id", "doc_id")
+
+
+@llm_query("op4_toxicity_chain")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.toxicity import score, train
+
+    docs = load(spark, sf_dir, "documents")
+    return score(docs, train(docs, load(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
