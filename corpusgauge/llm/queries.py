@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.plans.registry import Query, load
+from corpusgauge.llm.secret_scan import BASE, RULES
+from corpusgauge.plans.registry import Query, load, sql_str
 
 _LLM: dict[str, Query] = {}
 
@@ -21,16 +22,75 @@ def llm_queries() -> dict[str, Query]:
     return dict(_LLM)
 
 
-@llm_query("op5_host_quality")
+# A-Z in lower case, and the words of the near-duplicate and quality contracts.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACED = r"'[^\x20\x09-\x0D]+'"
+
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
+lines AS (
+  SELECT rid, count(*) AS n_lines, count(DISTINCT line) AS n_distinct
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, {SPACED}) GROUP BY rid),
+win AS (
+  SELECT rid, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+rep AS (
+  SELECT rid, count(DISTINCT pos) AS n FROM (
+    SELECT rid, unnest(range(i, i + 8)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1)
+  GROUP BY rid),
+m AS (
+  SELECT d.doc_id, d.source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+         coalesce(n_lines - n_distinct, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid)),
+f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 30 * n_lines AS soft_failed FROM m),
+h AS (
+  SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed OR soft_failed)::DOUBLE AS x FROM f GROUP BY source),
+p AS (
+  SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS var FROM h),
+v AS (
+  SELECT source, (x + mean * weight) / (n + weight) >= 0.5 AS host_bad
+  FROM h, (SELECT mean, CASE WHEN var > 1e-12 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1.0 END AS weight FROM p))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (soft_failed AND host_bad) AS kept, soft_failed, host_bad
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+
+@llm_query("op5_host_quality", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusgauge.llm.quality import host_quality
 
     return host_quality(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "soft_failed", "host_rate", "host_bad")
+        "soft_failed", "host_bad")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, {SPACED}) AS w FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
+         list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END AS g
+  FROM d),
+c AS (SELECT *, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS class_id FROM s),
+r AS (SELECT class_id AS id, any_value(g) AS g FROM c WHERE len(g) > 0 GROUP BY class_id),
+e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM r),
+links AS (
+  SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT id, id AS other FROM r UNION SELECT reach.id, links.v FROM reach JOIN links ON reach.other = links.u),
+label AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(g) AS n_shingles, coalesce(component_id, class_id) AS component_id,
+       doc_id = coalesce(component_id, class_id) AS kept, class_id
+FROM c LEFT JOIN label ON c.class_id = label.id AND len(g) > 0
+"""
 
 
-@llm_query("op3_minhash_near_dedup")
+@llm_query("op3_minhash_near_dedup", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusgauge.llm.minhash import near_duplicates
 
@@ -52,7 +112,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@llm_query("op9_decontamination")
+TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, {TERMS}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, {TERMS}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+g AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, least(10, len(w)) AS k, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS gram
+  FROM b, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS u(i) WHERE len(w) > 0),
+hits AS (
+  SELECT rid, i, g.k, item FROM d, (SELECT DISTINCT k FROM g) AS ks, unnest(range(1, len(w) - ks.k + 2)) AS u(i)
+  JOIN g ON g.k = ks.k AND g.gram = array_to_string(list_slice(w, i, i + ks.k - 1), ' ')),
+words AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+@llm_query("op9_decontamination", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusgauge.llm.decontam import contamination, n_hit
 
@@ -62,9 +141,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
-@llm_query("op6_secret_scan")
+def _op6_sql() -> str:
+    """Each rule: cut the text at the matches; running sums of the lengths give the places."""
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {sql_str(r.kind)} AS kind, {place} AS place, {r.least} AS least,"
+        f" string_split_regex(t, {sql_str(r.pattern)}) AS gaps, regexp_extract_all(t, {sql_str(r.pattern)}) AS found,"
+        f" regexp_extract_all(t, {sql_str(r.pattern)}, {r.group}) AS vals FROM d"
+        for place, r in enumerate(RULES))
+    base = ", ".join(sql_str(r.kind) for r in BASE)
+    text = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({parts}),
+m AS (
+  SELECT rid, kind, place, least, i, length(found[i]) AS size, length(vals[i]) AS val,
+         sum(length(gaps[i]) + length(found[i])) OVER (PARTITION BY rid, place ORDER BY i) AS stop
+  FROM k, unnest(range(1, len(found) + 1)) AS u(i)),
+s AS (SELECT rid, kind, place, stop - size AS start, stop FROM m WHERE val >= least),
+a AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = {sql_str(r.kind)}) AS n_{r.kind}" for r in BASE)},
+         string_agg({text}, ',' ORDER BY start, place) FILTER (WHERE kind IN ({base})) AS base,
+         string_agg({text}, ',' ORDER BY start, place) AS spans
+  FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+@llm_query("op6_secret_scan", _op6_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusgauge.llm.secret_scan import BASE, Ledger, scan
+    from corpusgauge.llm.secret_scan import Ledger, scan
     from corpusgauge.session import scratch_path
 
     found = scan(load(spark, sf_dir, "documents"), Ledger(spark, scratch_path(spark, "ledger")))
