@@ -23,7 +23,7 @@ byte it covers is removed.
    is cut once.
 
 Strings are compared by 64-bit hashes within a 64-bit trigger hash of another base.  Texts
-are told apart by id and hash.  A null text is empty; null and repeated ids keep their rows, and
+are told apart by 79 bits of hash of id and text.  A null text is empty; null and repeated ids keep their rows, and
 the occurrences in repeated rows count as occurrences.  An empty table gives no rows; other columns are ignored.
 """
 
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgauge.llm.common import byte_values, mixed, tune, written
+from corpusgauge.llm.common import byte_values, discard, mixed, tune, written
 
 
 @dataclass(frozen=True)
@@ -144,44 +144,45 @@ def chunks(texts: list[bytes], size: int):
         yield start, texts[start:]
 
 
-def packed(lo, hi, x):
-    """A phrase's place in one number: first window, windows after it, trigger after it."""
-    return lo << 16 | (hi - lo) << 8 | (x - lo)
+def packed(mark, lo, first, last):
+    """Windows ``first`` to ``last`` after the window ``lo`` of a text, and 15 more bits of the
+    text's hash, in one number.  Both numbers after ``lo`` are below 256."""
+    return mark << 48 | lo << 16 | first << 8 | last
 
 
-def unpacked(at: int) -> tuple[int, int, int]:
-    lo = at >> 16
-    return lo, lo + (at >> 8 & 255), lo + (at & 255)
+def unpacked(at: int) -> tuple[int, int, int, int]:
+    """(mark, lo, first, last), windows counted from the text's start."""
+    lo = at >> 16 & 0xFFFFFFFF
+    return at >> 48, lo, lo + (at >> 8 & 255), lo + (at & 255)
 
 
 def parse(texts: DataFrame, p: RepeatParams) -> DataFrame:
-    """``texts`` (id, th, text) -> one row per phrase: id, th, trigger hash ``key``, phrase hash
-    ``whole``, place ``at``."""
+    """``texts`` (th, mark, text) -> one row per phrase: th, trigger hash ``key``, phrase hash
+    ``whole``, and ``at``: its first window, its last one and its trigger after that."""
     tune(texts.sparkSession)
-    schema = texts.select("id", "th").schema.add("key", "long").add("whole", "long").add("at", "long")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("th", "key", "whole", "at")])
 
     def run(batches):
         for batch in batches:
             data = [t or b"" for t in byte_values(batch.column(2))]
+            marks = batch.column(1).to_numpy(zero_copy_only=False)
             for start, part in chunks(data, p.chunk):
                 text, key, whole, lo, hi, x = phrases(part, p)
-                row = pa.array(text + start)
+                row = text + start
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(key.view(np.int64)),
-                     pa.array(whole.view(np.int64)), pa.array(packed(lo, hi, x))], names=schema.names)
+                    [batch.column(0).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)),
+                     pa.array(packed(marks[row], lo, hi - lo, x - lo))], names=schema.names)
 
-    return texts.select("id", "th", "text").mapInArrow(run, schema)
+    return texts.select("th", "mark", "text").mapInArrow(run, schema)
 
 
 def with_text(texts: DataFrame, rows: DataFrame, out: str) -> DataFrame:
-    """``texts`` and the list ``out`` of the structs ``r`` of ``rows`` (id, th, r) in each.
+    """``texts`` and the list ``out`` of the ``r`` of ``rows`` (th, r) in each.
 
-    Always a left join on the same null-safe keys, so that Spark moves the texts once for all
-    uses of this in a plan; the narrow side is the build side."""
-    lists = rows.groupBy("id", "th").agg(F.collect_list("r").alias(out)).select(
-        F.col("id").alias("_id"), F.col("th").alias("_th"), out)
-    match = F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
-    return texts.join(lists.hint("shuffle_hash"), match, "left").select("id", "th", "text", out)
+    Always a left join on the same key, so that Spark moves the texts once for all uses of this
+    in a plan; the narrow side is the build side."""
+    lists = rows.groupBy("th").agg(F.collect_list("r").alias(out)).select(F.col("th").alias("_th"), out)
+    return texts.join(lists.hint("shuffle_hash"), F.col("th") == F.col("_th"), "left").select("id", "th", "mark", "text", out)
 
 
 def struct_lists(column: pa.Array, names: list[str]):
@@ -200,35 +201,33 @@ def signed(h: int) -> int:
 def compare_blocks(texts: DataFrame, dictionary: DataFrame, p: RepeatParams) -> DataFrame:
     """Blocks of neighbouring windows of the distinct undecided phrases: key, shared (hash of what
     all windows of the block have in common), cover (hash of all they cover, and where), whole,
-    n (occurrences), lo, first and last window, and the place in a text that has it."""
+    n (occurrences), and a text and the place in it that has the block's windows."""
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for i, t, text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                        byte_values(batch.column(2)), struct_lists(batch.column(3), ["key", "whole", "at", "n"])):
+            for th, mark, text, reps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(),
+                                            byte_values(batch.column(3)), struct_lists(batch.column(4), ["key", "whole", "at", "n"])):
                 for key, whole, at, n in reps:
-                    lo, hi, x = unpacked(at)
+                    of, lo, hi, x = unpacked(at)
+                    if of != mark:
+                        continue
                     for b in range((x - hi) // p.block, (x - lo) // p.block + 1):
                         # windows of the block start at x - a, a from block * b on
                         far, near = x - p.block * (b + 1) + 1, x - p.block * b
                         i0, i1 = max(lo, far), min(hi, near)
                         shared = signed(xxhash.xxh3_64_intdigest(text[near:far + p.length], seed=b))
                         cover = signed(xxhash.xxh3_64_intdigest(text[i0:i1 + p.length], seed=(x - i0) << 16 | (x - i1)))
-                        out.append((i, t, key, whole, n, shared, cover, lo, i0, i1))
-            yield rows_batch(out, schema, batch)
+                        out.append((th, key, whole, n, shared, cover, packed(mark, lo, i0 - lo, i1 - lo)))
+            yield rows_batch(out, names)
 
-    schema = texts.select("id", "th").schema
-    for name in ("key", "whole", "n", "shared", "cover", "lo", "i0", "i1"):
-        schema.add(name, "long")
-    reps = dictionary.select("id", "th", F.struct("key", "whole", "at", "n").alias("r"))
-    return with_text(texts, reps, "reps").mapInArrow(run, schema)
+    names = ["th", "key", "whole", "n", "shared", "cover", "at"]
+    reps = dictionary.select("th", F.struct("key", "whole", "at", "n").alias("r"))
+    return with_text(texts, reps, "reps").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def rows_batch(rows: list[tuple], schema, batch) -> pa.RecordBatch:
-    """``rows`` as a batch: id and th with the types of ``batch``, the rest long."""
-    columns = list(zip(*rows)) if rows else [()] * len(schema.names)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, batch.column(j).type if j < 2 else pa.int64()) for j, c in enumerate(columns)], names=schema.names)
+def rows_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def compare_windows(texts: DataFrame, blocks: DataFrame, p: RepeatParams) -> DataFrame:
@@ -236,17 +235,18 @@ def compare_windows(texts: DataFrame, blocks: DataFrame, p: RepeatParams) -> Dat
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for text, found in zip(byte_values(batch.column(2)), struct_lists(batch.column(3), ["key", "whole", "n", "lo", "i0", "i1"])):
-                for key, whole, n, lo, i0, i1 in found:
-                    out += [(key, signed(xxhash.xxh3_64_intdigest(text[i:i + p.length])), whole, n, i - lo)
-                            for i in range(i0, i1 + 1)]
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
-                                             names=["key", "window", "whole", "n", "j"])
+            for mark, text, found in zip(batch.column(2).to_pylist(), byte_values(batch.column(3)),
+                                         struct_lists(batch.column(4), ["key", "whole", "n", "at"])):
+                for key, whole, n, at in found:
+                    of, lo, i0, i1 = unpacked(at)
+                    if of == mark:
+                        out += [(key, signed(xxhash.xxh3_64_intdigest(text[i:i + p.length])), whole, n, i - lo)
+                                for i in range(i0, i1 + 1)]
+            yield rows_batch(out, names)
 
-    rows = blocks.select("id", "th", F.struct("key", "whole", "n", "lo", "i0", "i1").alias("r"))
-    return with_text(texts, rows, "blocks").mapInArrow(
-        run, "key bigint, window bigint, whole bigint, n bigint, j bigint")
+    names = ["key", "window", "whole", "n", "j"]
+    rows = blocks.select("th", F.struct("key", "whole", "n", "at").alias("r"))
+    return with_text(texts, rows, "blocks").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def cut(texts: DataFrame, spans: DataFrame, p: RepeatParams) -> DataFrame:
@@ -257,18 +257,19 @@ def cut(texts: DataFrame, spans: DataFrame, p: RepeatParams) -> DataFrame:
     def run(batches):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, runs in zip(byte_values(batch.column(2)), struct_lists(batch.column(3), ["lo", "hi"])):
+            flat, ends = batch.column(4).values.to_numpy(zero_copy_only=False), batch.column(4).offsets.to_pylist()
+            for i, (mark, text) in enumerate(zip(batch.column(2).to_pylist(), byte_values(batch.column(3)))):
                 text = text or b""
                 edge = np.zeros(len(text) + 1, np.int32)
-                if runs:
-                    lo, hi = np.array(runs, np.int64).T
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi + p.length, -1)
+                of, _, first, last = unpacked(flat[ends[i]:ends[i + 1]])
+                runs = of == mark
+                np.add.at(edge, first[runs], 1)
+                np.add.at(edge, last[runs] + p.length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 out[0].append(len(text)), out[1].append(int(gone.sum()))
                 out[2].append(turn[::2]), out[3].append(turn[1::2])
-                out[4].append(np.frombuffer(text, np.uint8)[~gone].tobytes() if runs else text)
+                out[4].append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(out, kinds)],
                                              names=schema.names)
@@ -276,22 +277,38 @@ def cut(texts: DataFrame, spans: DataFrame, p: RepeatParams) -> DataFrame:
     return with_text(texts, spans, "spans").mapInArrow(run, schema)
 
 
+def joined_runs(runs):
+    """Sorted runs of windows (first * 256 + last) with neighbouring ones made one."""
+    first, last = lambda r: F.shiftright(r, 8), lambda r: r.bitwiseAND(255)
+    end = lambda acc: F.element_at(acc, -1)
+    return F.aggregate(F.slice(runs, 2, 256), F.slice(runs, 1, 1), lambda acc, r: F.when(
+        first(r) <= last(end(acc)) + 1,
+        F.concat(F.slice(acc, 1, F.size(acc) - 1),
+                 F.array(F.shiftleft(first(end(acc)), 8) + F.greatest(last(end(acc)), last(r)))))
+        .otherwise(F.concat(acc, F.array(r))))
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                    p: RepeatParams = RepeatParams()) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, starts, ends, kept (see :func:`cut`)."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"),
-                        F.col(f"`{text_col}`").alias("text"))
-    parsed = written(parse(texts, p), "phrases", "snappy")
+    # a row is known by 79 bits of hash of its id and text: nulls and repeats need no care
+    named = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
+    texts = docs.select(named[0].alias("id"), F.xxhash64(*named, named[0].isNull()).alias("th"),
+                        F.shiftright(F.hash(*named), 17).cast("bigint").alias("mark"), named[1].alias("text"))
+    parsed = written(parse(texts, p), "phrases")
     keys = (parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
             .filter("n > 1").select("key", (F.col("w0") != F.col("w1")).alias("open")))
-    found = written(parsed.join(keys, "key"), "repeated-phrases", "snappy")
-    lo, more = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
-    equal = found.filter("not open").select("id", "th", F.struct(lo.alias("lo"), (lo + more).alias("hi")).alias("r"))
+    found = written(parsed.join(keys, "key"), "repeated-phrases")
+    discard(parsed)
+    # the windows of a phrase: the first is its first, so the numbers after it are 0 and (its last)
+    last = F.shiftright("at", 8).bitwiseAND(255)
+    place = F.shiftleft(F.shiftright("at", 16), 16)
+    equal = found.filter("not open").select("th", place.bitwiseOR(last).alias("r"))
 
     open_ = found.filter("open")
     dictionary = written(open_.groupBy("key", "whole").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "at")).alias("at"))
-        .select("key", "whole", "n", "at.id", "at.th", "at.at"), "dictionary", "snappy")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "at")).alias("at"))
+        .select("key", "whole", "n", "at.th", "at.at"), "dictionary")
     blocks = compare_blocks(texts, dictionary, p)
     state = (blocks.groupBy("key", "shared").agg(F.sum("n").alias("total"), F.min("cover").alias("c0"),
                                                  F.max("cover").alias("c1"))
@@ -299,11 +316,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     decided = blocks.join(state, ["key", "shared"])
     windows = compare_windows(texts, decided.filter("mixed"), p)
     twice = windows.groupBy("key", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("key", "window")
-    single = windows.join(twice, ["key", "window"]).select("key", "whole", F.col("j").alias("j0"), F.col("j").alias("j1"))
-    whole_blocks = decided.filter("not mixed").select("key", "whole", (F.col("i0") - F.col("lo")).alias("j0"),
-                                                      (F.col("i1") - F.col("lo")).alias("j1"))
+    single = windows.join(twice, ["key", "window"]).select(
+        "key", "whole", (F.shiftleft("j", 8) + F.col("j")).alias("run"))
+    whole_blocks = decided.filter("not mixed").select("key", "whole", F.col("at").bitwiseAND(0xFFFF).alias("run"))
     # at most ``length`` numbers a phrase
-    repeated = single.union(whole_blocks).groupBy("key", "whole").agg(F.collect_list(F.struct("j0", "j1")).alias("runs"))
-    partly = open_.join(repeated, ["key", "whole"]).select("id", "th", lo.alias("lo"), F.explode("runs").alias("j")).select(
-        "id", "th", F.struct((F.col("lo") + F.col("j.j0")).alias("lo"), (F.col("lo") + F.col("j.j1")).alias("hi")).alias("r"))
+    repeated = single.union(whole_blocks).groupBy("key", "whole").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    repeated = repeated.select("key", "whole", joined_runs(F.col("runs")).alias("runs"))
+    partly = open_.join(repeated, ["key", "whole"]).select("th", place.alias("place"), F.explode("runs").alias("run")).select(
+        "th", F.col("place").bitwiseOR(F.col("run")).alias("r"))
     return cut(texts, equal.union(partly), p)
