@@ -33,7 +33,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str, labels: list[str]) -> DataFrame:
                       F.count_if(F.col("_v") & (F.col(a) == F.col(b))).alias("_agree"))
     ma = base.filter("_v").groupBy(F.col(a).alias("_l")).agg(F.count(F.lit(1)).alias("_na"))
     mb = base.filter("_v").groupBy(F.col(b).alias("_l")).agg(F.count(F.lit(1)).alias("_nb"))
-    pe_num = ma.join(mb, "_l").agg(F.sum(F.col("_na") * F.col("_nb")).alias("_pe_num"))
+    pe_num = ma.join(mb, "_l").agg(F.sum(F.col("_na").cast("double") * F.col("_nb")).alias("_pe_num"))
     j = join_one_row(totals, pe_num)
     n = F.col("n_compared").cast("double")
     po = F.col("_agree") / n
@@ -56,7 +56,7 @@ def fleiss_kappa(long: DataFrame, item_col: str, label_col: str, categories: lis
     valid = long.filter(F.col(label_col).isin(categories))
     per_cat = valid.groupBy(item_col, label_col).agg(F.count(F.lit(1)).alias("_nij"))
     per_item = per_cat.groupBy(item_col).agg(
-        F.sum("_nij").alias("_n"), F.sum(F.col("_nij") * F.col("_nij")).alias("_sq"),
+        F.sum("_nij").alias("_n"), F.sum(F.col("_nij").cast("double") * F.col("_nij")).alias("_sq"),
         F.max("_nij").alias("_top"))
     items = per_item.filter(F.col("_n") == k)
     item_stats = items.agg(
@@ -65,7 +65,7 @@ def fleiss_kappa(long: DataFrame, item_col: str, label_col: str, categories: lis
         F.avg(F.col("_top") * (F.col("_top") - 1) / F.lit(k * (k - 1))).alias("top_label_agreement"))
     cat_tot = (per_cat.join(items.select(item_col), item_col, "left_semi")
                .groupBy(label_col).agg(F.sum("_nij").alias("_cj")))
-    pe = cat_tot.agg(F.sum(F.col("_cj") * F.col("_cj")).alias("_cj_sq"), F.sum("_cj").alias("_ctot"))
+    pe = cat_tot.agg(F.sum(F.col("_cj").cast("double") * F.col("_cj")).alias("_cj_sq"), F.sum(F.col("_cj").cast("double")).alias("_ctot"))
     j = join_one_row(item_stats, pe)
     p_e = F.col("_cj_sq") / (F.col("_ctot") * F.col("_ctot"))
     kappa = F.when(p_e == 1.0, F.lit(None).cast("double")).otherwise((F.col("P_bar") - p_e) / (1 - p_e))

@@ -1,21 +1,23 @@
-"""Shared DataFrame building blocks: size-checked broadcast, bounded top-k,
-sequential ids without a global window, lineage cuts."""
+"""Shared DataFrame building blocks: bounded top-k, sequential ids without a global window,
+written tables, lineage cuts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest derived side we broadcast without a shuffle.  Fixed dimensions (a few
-# hundred rows) are always far below it; data-derived sides are counted first.
-BROADCAST_MAX_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise leave the join to
-    a shuffle (sort-merge / shuffle-hash with AQE skew splitting)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared scratch folder, read again.
+
+    Its lineage ends there, and its size is known when the next plan is made: Spark
+    broadcasts it in a join if its bytes are below the threshold, and only then."""
+    from corpusgauge.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
@@ -30,43 +32,38 @@ def top_k(df: DataFrame, partition_cols, order_cols, k: int, rank_col: str = "ra
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def top_k_global(df: DataFrame, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
-    """Global top-k: per-partition ``limit`` then a final sort of k x partitions rows."""
-    ranked = df.orderBy(*order_cols).limit(k)
-    w = Window.orderBy(*order_cols)
-    return ranked.withColumn(rank_col, F.row_number().over(w))
+# monotonically_increasing_id: the partition is above these bits, the row number below.
+_ROW_BITS = 33
+
+
+def numbered(df: DataFrame, order_cols, num_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order_cols``, with ``_pid`` (partition) and
+    ``_row`` (0-based row in it), written once so that all later uses see the same numbers.
+    This is the only shuffle of the whole rows."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) for c in order_cols]
+    placed = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id())
+    return shared_table(placed, "numbered").withColumn("_pid", F.shiftright("_m", _ROW_BITS)).withColumn(
+        "_row", F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_m")
 
 
 def sequential_ids(df: DataFrame, order_col: str, out_col: str = "seq",
                    num_partitions: int | None = None) -> DataFrame:
     """1-based position of every row in ``order_col`` order, without a
-    single-partition window.
-
-    Range-partition by the (unique) order column and checkpoint that frame
-    (reliable checkpoint in the shared ``spark.checkpoint.dir``), so the
-    per-partition counts and the in-partition row numbers are computed from
-    the same materialised partitions even when the input order is not
-    deterministic; then add the prefix sums of the counts (one row per
-    partition -- bounded, broadcast) to the row number inside the partition.
-    """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = cut_lineage(df.repartitionByRange(n, F.col(order_col)).withColumn("_pid", F.spark_partition_id()))
-    counts = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(order_col)
-    numbered = parted.withColumn("_rn", F.row_number().over(w))
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn")).cast("bigint"))
-            .drop("_pid", "_rn", "_off"))
+    single-partition window over the rows: the row's number in its range partition and the
+    rows of the partitions before it (one row per partition)."""
+    parted = numbered(df, [order_col], num_partitions)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shared_table(parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "offsets")
+    return (parted.join(offsets, "_pid").withColumn(out_col, (F.col("_off") + F.col("_row") + 1).cast("bigint"))
+            .drop("_pid", "_row", "_off"))
 
 
 def join_one_row(left: DataFrame, right: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate ``right`` to every row of ``left``
-    (equi-join on a constant key; ``right`` is a single row, so it is broadcast)."""
+    (Spark plans the constant key as a nested-loop join; ``right`` is a single row, so it is
+    broadcast and no pairs are made)."""
     return (left.withColumn("_one", F.lit(1))
             .join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as T
-from corpusgauge.operators.common import sequential_ids
+from corpusgauge.operators.common import join_one_row, sequential_ids, shared_table
 
 REASON_SPAM = "spam"
 REASON_TEXTLESS = "textless(emoji/punct only)"
@@ -56,10 +56,9 @@ def clean_corpus(df: DataFrame, id_col: str, text_col: str, keep_text: bool = Fa
         *([F.col("_stripped")] if keep_text else []))
     if not keep_text:
         # the narrow per-row features (about 100 bytes a row) feed both the
-        # duplicate aggregate and the join back: persist them so the texts are
-        # scanned and regex-matched once (recomputed from lineage if lost)
-        from pyspark import StorageLevel
-        feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+        # duplicate aggregate and the join back: written so the texts are
+        # scanned and regex-matched once, and nothing stays cached
+        feats = shared_table(feats, "clean-features")
     flagged = first_occurrence_flag(feats, "_tkey", id_col, "_dup")
     reason = (F.when(F.col("_spam"), REASON_SPAM)
               .when(F.col("_textless"), REASON_TEXTLESS)
@@ -155,30 +154,34 @@ def coverage_diff(base: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
 
 # -- A23 ids lock ------------------------------------------------------------
 
-def ids_lock(df: DataFrame, id_col: str, hex_digits: int | None = None,
-             max_bucket_rows: int = 1_000_000) -> DataFrame:
-    """Content lock of an id set -- (n, sha256 digest).
+LOCK_HEX_DIGITS = 4
+
+
+def ids_lock(df: DataFrame, id_col: str, hex_digits: int = LOCK_HEX_DIGITS) -> DataFrame:
+    """Content lock of an id set -- (n_ids, hex_digits, sha256_ids).
 
     The ids are spread over 16**hex_digits buckets by the first hex digits of
     their own sha-256; each bucket hashes its sorted, newline-joined ids; the
-    lock is the sha-256 of the bucket digests joined in bucket order.  With
-    ``hex_digits=None`` the width is chosen from the id count so that a bucket
-    holds at most about ``max_bucket_rows`` ids (at least 3 digits), so no task
-    ever holds the whole id set and the final step sees one row per bucket.
-    The digest does not depend on partitioning; verifying a lock recomputes it
-    with the recorded width."""
-    import math
-
+    lock is the sha-256 of the bucket digests joined in bucket order.  No task
+    holds the whole id set and the final step sees one row per bucket.  The
+    digest depends on the ids and on ``hex_digits`` alone, and the row records
+    the digits, so :func:`verify_lock` can recompute it at any size."""
     ids = df.select(F.col(id_col).cast("string").alias("_id"))
-    if hex_digits is None:
-        n = ids.count()
-        hex_digits = max(3, math.ceil(math.log(max(n, 1) / max_bucket_rows, 16)) if n > max_bucket_rows else 3)
-    width = hex_digits
-    per_bucket = (ids.withColumn("_b", F.substring(F.sha2(F.col("_id"), 256), 1, width))
+    per_bucket = (ids.withColumn("_b", F.substring(F.sha2(F.col("_id"), 256), 1, hex_digits))
                   .groupBy("_b")
                   .agg(F.count(F.lit(1)).alias("_n"),
                        F.sha2(F.array_join(F.sort_array(F.collect_list("_id")), "\n"), 256).alias("_h")))
     return per_bucket.agg(
-        F.sum("_n").cast("bigint").alias("n_ids"),
+        F.sum("_n").cast("bigint").alias("n_ids"), F.lit(hex_digits).alias("hex_digits"),
         F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))),
                                         lambda s: s["_h"]), "\n"), 256).alias("sha256_ids"))
+
+
+def verify_lock(df: DataFrame, id_col: str, lock: DataFrame) -> DataFrame:
+    """Whether ``df`` still holds exactly the locked ids: (n_ok, sha256_ok, ok).
+    ``lock`` is a row of :func:`ids_lock`, with the digits it was made with."""
+    digits = lock.select("hex_digits").first()[0]
+    now = ids_lock(df, id_col, digits)
+    both = join_one_row(lock.select(F.col("n_ids").alias("_n"), F.col("sha256_ids").alias("_h")), now)
+    return both.select((F.col("n_ids") == F.col("_n")).alias("n_ok"), (F.col("sha256_ids") == F.col("_h")).alias("sha256_ok"),
+                       ((F.col("n_ids") == F.col("_n")) & (F.col("sha256_ids") == F.col("_h"))).alias("ok"))

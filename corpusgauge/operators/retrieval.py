@@ -1,14 +1,10 @@
 """Retrieval operators.
 
 * Category retrieval joins a tiny knowledge-base dimension (broadcast).
-* Lexical retrieval scores (query, document) pairs by shared distinct words:
-  document words are exploded in the scan stage and joined to the query words
-  (size-checked broadcast); the count per (query, document) is complete inside
-  the document's task, so only scored pairs are shuffled and the top-k per
-  query uses a partial WindowGroupLimit before its shuffle.
-* Vector retrieval is exact cosine similarity: query chunks of a checked
-  size are broadcast, every corpus batch is scored with one matrix product
-  in ``mapInPandas`` and only its top-k per query leaves the task.
+* Lexical retrieval sends an inverted index of the queries' words to the tasks (in blocks of
+  bounded size); a document is scored in the task that reads it, and only the k best of each
+  query and batch leave the task.
+* Vector retrieval is exact cosine similarity in the same way: one matrix product per batch.
 """
 
 from __future__ import annotations
@@ -18,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
 from corpusgauge.functions.text import WS_RUN_JAVA
-from corpusgauge.operators.common import BROADCAST_MAX_ROWS, broadcast_if_small, top_k
+from corpusgauge.operators.common import top_k
 
 
 def kb_sections(spark) -> DataFrame:
@@ -79,80 +75,121 @@ def word_set(col) -> F.Column:
                                      lambda w: F.length(w) > 0))
 
 
+# What one block of queries may hold: words (with their postings) and bytes of vectors.
+BLOCK_WORDS = 2_000_000
+BLOCK_BYTES = 64 << 20
+
+
+def _best(scores, ids, k: int):
+    """Row numbers of the ``k`` best by (score descending, id); every row tied with the k-th
+    is a candidate, so the order is exact after a linear-time selection."""
+    import numpy as np
+
+    if len(scores) > k:
+        cand = np.nonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])[0]
+    else:
+        cand = np.arange(len(scores))
+    return cand[np.lexsort((ids[cand], -scores[cand]))][:k]
+
+
+def _blocks(df: DataFrame, size: F.Column, limit: int) -> list[DataFrame]:
+    """``df`` in blocks of about ``limit`` by the sum of ``size`` (one pass over the queries)."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    n = 1 + int(total) // limit
+    return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(df.columns[0]), F.lit(n)) == i) for i in range(n)]
+
+
 def lexical_overlap(queries: DataFrame, qid: str, qtext: str, docs: DataFrame, did: str, dtext: str,
                     k: int = 3) -> DataFrame:
     """Per query the top-k documents by number of distinct shared words (> 0);
-    ties by document id.  Output (qid, rank, did, score)."""
-    qw = queries.select(qid, F.explode(word_set(F.col(qtext))).alias("_w"))
-    qw = broadcast_if_small(qw, BROADCAST_MAX_ROWS)
-    dw = docs.select(did, F.explode(word_set(F.col(dtext))).alias("_w"))
-    pairs = dw.join(qw, "_w").groupBy(qid, did).agg(F.count(F.lit(1)).alias("score"))
-    ranked = top_k(pairs, [qid], [F.col("score").desc(), F.col(did)], k, "rank")
-    return ranked.select(qid, "rank", did, F.col("score").cast("bigint").alias("score"))
+    ties by document id.  Output (qid, rank, did, score).
+
+    The queries' words are an inverted index (word -> queries), sent to the tasks in blocks of
+    at most ``BLOCK_WORDS`` words.  A document is scored in the task that reads it, and a task
+    sends on only the k best of each query and batch: common words cost time, no shuffle."""
+    import numpy as np
+    import pandas as pd
+
+    types = f"_qid {dict(queries.dtypes)[qid]}, _did {dict(docs.dtypes)[did]}, score bigint"
+    words = queries.filter(F.col(qid).isNotNull()).select(F.col(qid).alias("_qid"), word_set(F.col(qtext)).alias("_w"))
+    words = words.filter(F.size("_w") > 0)
+    base = docs.select(F.col(did).alias("_did"), word_set(F.col(dtext)).alias("_w"))
+    parts = []
+    for block in _blocks(words, F.size("_w"), BLOCK_WORDS):
+        rows = block.collect()
+        index: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for w in r["_w"]:
+                index.setdefault(w, []).append(i)
+        sent = docs.sparkSession.sparkContext.broadcast(
+            ([r["_qid"] for r in rows], {w: np.array(x, np.int64) for w, x in index.items()}))
+
+        def score(batches, sent=sent):
+            ids, index = sent.value
+            for pdf in batches:
+                if pdf.empty or not ids:
+                    continue
+                found = [[index[w] for w in ws if w in index] for ws in pdf["_w"]]
+                scores = np.array([np.bincount(np.concatenate(x), minlength=len(ids)) if x else np.zeros(len(ids), np.int64)
+                                   for x in found])
+                dids = pdf["_did"].to_numpy()
+                out = []
+                for j, q in enumerate(ids):
+                    best = _best(scores[:, j], dids, k)
+                    best = best[scores[best, j] > 0]
+                    if len(best):
+                        out.append(pd.DataFrame({"_qid": q, "_did": dids[best], "score": scores[best, j]}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+        parts.append(base.mapInPandas(score, types))
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    ranked = top_k(cand, ["_qid"], [F.col("score").desc(), F.col("_did")], k, "rank")
+    return ranked.select(F.col("_qid").alias(qid), "rank", F.col("_did").alias(did), "score")
 
 
 def cosine_top_k(corpus: DataFrame, cid: str, cvec: str, queries: DataFrame, qid: str, qvec: str,
-                 k: int = 3, chunk_rows: int = 1_000) -> DataFrame:
+                 k: int = 3, chunk_rows: int | None = None) -> DataFrame:
     """Exact cosine top-k per query (similarity rounded to 3 decimals, ties
     by corpus id).  Queries with an empty vector return no rows.
 
-    The query vectors are normalised and shipped to the executors as a
-    broadcast variable in chunks of at most ``chunk_rows`` queries (a checked
-    size); each corpus partition is scored with one matrix product per Arrow
-    batch (numpy) inside ``mapInPandas`` and emits only its top-k per query.
-    The final top-k per query reduces those candidates with a partial
-    WindowGroupLimit.  Exact, no cap, and no (corpus x query) rows leave a task."""
+    The normalised query vectors go to the tasks in blocks of about ``BLOCK_BYTES`` (or
+    ``chunk_rows`` rows), usually one, so the corpus is read once; each batch of the corpus is scored with one matrix
+    product and sends on only the k best of each query.  Exact, no cap, and no
+    (corpus x query) rows leave a task."""
     import numpy as np
+    import pandas as pd
 
-    spark = corpus.sparkSession
     q = queries.filter(F.size(qvec) > 0).select(F.col(qid).alias("_qid"), F.col(qvec).alias("_qv"))
-    n_q = q.count()
-    out_schema = f"_qid {dict(queries.dtypes)[qid]}, _cid {dict(corpus.dtypes)[cid]}, _sim double"
-    if n_q == 0:
-        return spark.createDataFrame([], out_schema).select(
-            F.col("_qid").alias(qid), F.lit(1).alias("rank"), F.col("_cid").alias(cid),
-            F.col("_sim").alias("similarity"))
-    chunks = -(-n_q // chunk_rows)
-    keyed = q.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(chunks)) if chunks > 1 else F.lit(0))
+    types = f"_qid {dict(queries.dtypes)[qid]}, _cid {dict(corpus.dtypes)[cid]}, _sim double"
     base = corpus.select(F.col(cid).alias("_cid"), F.col(cvec).alias("_cv"))
     parts = []
-    for i in range(chunks):
-        rows = keyed.filter(F.col("_chunk") == i).select("_qid", "_qv").collect()  # <= chunk_rows (checked)
-        if not rows:
-            continue
-        qm = np.array([r["_qv"] for r in rows], dtype=np.float64)
+    size, limit = (8 * F.size("_qv"), BLOCK_BYTES) if chunk_rows is None else (F.lit(1), chunk_rows)
+    for block in _blocks(q, size, limit):
+        rows = block.collect()
         with np.errstate(divide="ignore", invalid="ignore"):
-            qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
-        bq = spark.sparkContext.broadcast(([r["_qid"] for r in rows], qm))
+            qm = np.array([r["_qv"] for r in rows], dtype=np.float64)
+            qm = qm / np.linalg.norm(qm, axis=-1, keepdims=True)
+        sent = corpus.sparkSession.sparkContext.broadcast(([r["_qid"] for r in rows], qm))
 
-        def score(batches, bq=bq):
-            import pandas as pd
-            ids, qmat = bq.value
+        def score(batches, sent=sent):
+            ids, qmat = sent.value
             for pdf in batches:
-                if pdf.empty:
+                if pdf.empty or not ids:
                     continue
                 m = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
                 # A zero vector has no cosine: NaN here, null in Spark, ranked last.
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    m = m / np.linalg.norm(m, axis=1, keepdims=True)
-                    sims = m @ qmat.T
-                cids = pdf["_cid"].to_numpy()
-                out = []
-                for j, q_id in enumerate(ids):
-                    col = sims[:, j]
-                    key = np.where(np.isnan(col), -np.inf, col)  # no cosine ranks last
-                    if len(key) > k:
-                        # linear-time k-th largest; every row tied with it stays a
-                        # candidate, so the (similarity, id) order below is exact
-                        thr = np.partition(key, len(key) - k)[len(key) - k]
-                        cand = np.nonzero(key >= thr)[0]
-                    else:
-                        cand = np.arange(len(key))
-                    order = cand[np.lexsort((cids[cand], -key[cand]))][:k]
-                    out.append(pd.DataFrame({"_qid": q_id, "_cid": cids[order], "_sim": col[order]}))
-                yield pd.concat(out, ignore_index=True)
-
-        parts.append(base.mapInPandas(score, out_schema))
+                    sims = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ qmat.T
+                keys, cids = np.where(np.isnan(sims), -np.inf, sims), pdf["_cid"].to_numpy()
+                best = [_best(keys[:, j], cids, k) for j in range(len(ids))]
+                yield pd.DataFrame({
+                    "_qid": [i for i, b in zip(ids, best) for _ in b], "_cid": cids[np.concatenate(best)],
+                    "_sim": np.concatenate([sims[b, j] for j, b in enumerate(best)])})
+
+        parts.append(base.mapInPandas(score, types))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

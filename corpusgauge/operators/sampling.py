@@ -18,27 +18,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.common import cut_lineage, stable_hash_order
+from corpusgauge.operators.common import numbered, shared_table, stable_hash_order
 
 
 def rank_within_groups(df: DataFrame, group_col: str, order_col: str, out_col: str = "rank",
                        num_partitions: int | None = None) -> DataFrame:
-    """1-based rank of each row inside its group by ``order_col`` (unique within the group)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # checkpointed so counts and local numbers see the same partitions
-    parted = cut_lineage(df.repartitionByRange(n, F.col(group_col), F.col(order_col))
-                         .withColumn("_pid", F.spark_partition_id()))
-    counts = parted.groupBy(group_col, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        group_col, "_pid",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(group_col).orderBy("_pid")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    local = parted.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("_pid", group_col).orderBy(order_col)))
-    return (local.join(offsets, [group_col, "_pid"])
-            .withColumn(out_col, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_pid", "_rn", "_off"))
+    """1-based rank of each row inside its group by ``order_col`` (unique within the group).
+
+    Sorted inside its range partition, a group's rows there are consecutive: the rank is the
+    row's distance from the group's first row there plus the group's rows in the partitions
+    before.  Only one row per (group, partition) is shuffled after the range partitioning."""
+    parted = numbered(df, [group_col, order_col], num_partitions)
+    counts = parted.groupBy(group_col, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shared_table(counts.select(
+        F.col(group_col).alias("_g"), F.col("_pid").alias("_p"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off")), "offsets")
+    joined = parted.join(offsets, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_pid") == F.col("_p")))
+    return joined.withColumn(out_col, (F.col("_row") + F.col("_off")).cast("bigint")).drop(
+        "_pid", "_row", "_off", "_g", "_p")
 
 
 def largest_remainder_quotas(counts: DataFrame, stratum_col: str, n_col: str, draws_col: str,
@@ -46,17 +44,18 @@ def largest_remainder_quotas(counts: DataFrame, stratum_col: str, n_col: str, dr
     """Per-stratum quotas summing to ``draws`` (one value per table).
 
     Remainder ties go to the earlier label order, then the smaller stratum
-    value, so the result never depends on row order."""
+    value, so the result never depends on row order.  Products of counts are exact decimals:
+    they pass 64 bits from some 3e9 rows on."""
     total = F.sum(n_col).over(Window.partitionBy())
-    prod = F.col(n_col) * F.col(draws_col)
-    with_floor = (counts.withColumn("_tot", total)
-                  .withColumn("_floor", F.floor(prod / F.col("_tot")).cast("bigint"))
-                  .withColumn("_rem", F.pmod(prod, F.col("_tot"))))
+    wide = counts.withColumn("_tot", total.cast("decimal(18,0)")).withColumn(
+        "_prod", F.col(n_col).cast("decimal(18,0)") * F.col(draws_col).cast("decimal(18,0)"))
+    with_floor = (wide.withColumn("_floor", F.expr("_prod div _tot").cast("bigint"))
+                  .withColumn("_rem", F.pmod(F.col("_prod"), F.col("_tot"))))
     need = F.col(draws_col) - F.sum("_floor").over(Window.partitionBy())
     ranked = with_floor.withColumn("_need", need).withColumn(
         "_rr", F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(order_col), F.col(stratum_col))))
     return (ranked.withColumn(out_col, F.col("_floor") + F.when(F.col("_rr") <= F.col("_need"), 1).otherwise(0))
-            .drop("_tot", "_floor", "_rem", "_need", "_rr"))
+            .drop("_tot", "_prod", "_floor", "_rem", "_need", "_rr"))
 
 
 def stratum_counts(df: DataFrame, stratum_col: str, labels: list[str] | None = None) -> DataFrame:
@@ -90,8 +89,8 @@ def stratified_split(df: DataFrame, id_col: str, stratum_col: str, seed: int = 4
     quotas = q_val.select(stratum_col, "q_train", "q_val")
     keyed = df.withColumn("_h", stable_hash_order(seed, id_col))
     ranked = rank_within_groups(keyed, stratum_col, "_h", "_rk")
-    # quotas: one row per stratum -> broadcast (bounded by the number of strata).
-    j = ranked.join(F.broadcast(quotas), stratum_col)
+    # one row per stratum, written: broadcast if it is small, whatever the number of strata
+    j = ranked.join(shared_table(quotas, "quotas"), stratum_col)
     return (j.withColumn("split", F.when(F.col("_rk") <= F.col("q_train"), "train")
                          .when(F.col("_rk") <= F.col("q_train") + F.col("q_val"), "val")
                          .otherwise("test"))
@@ -106,7 +105,7 @@ def stratified_sample(df: DataFrame, id_col: str, stratum_col: str, size: int, s
         stratum_col, "_q")
     keyed = df.withColumn("_h", stable_hash_order(seed, id_col))
     ranked = rank_within_groups(keyed, stratum_col, "_h", "_rk")
-    return (ranked.join(F.broadcast(quotas), stratum_col)
+    return (ranked.join(shared_table(quotas, "quotas"), stratum_col)
             .withColumn(out_col, F.col("_rk") <= F.col("_q")).drop("_h", "_rk", "_q"))
 
 
@@ -119,7 +118,7 @@ def stratified_folds(df: DataFrame, id_col: str, stratum_col: str, k: int, seed:
         .alias("_off"))
     keyed = df.withColumn("_h", stable_hash_order(seed, id_col))
     ranked = rank_within_groups(keyed, stratum_col, "_h", "_rk")
-    return (ranked.join(F.broadcast(offs), stratum_col)
+    return (ranked.join(shared_table(offs, "fold-offsets"), stratum_col)
             .withColumn(out_col, F.pmod(F.col("_off") + F.col("_rk") - 1, F.lit(k)).cast("int"))
             .drop("_h", "_rk", "_off"))
 

@@ -195,7 +195,7 @@ BN_STRIP_CHARS = X.TOKEN_PUNCT + "0123456789" + X.BANGLA_DIGITS + " "
 @query("bangla_tokens_top", f"""
 WITH w AS (SELECT lang, unnest(regexp_split_to_array(coalesce(text, ''), {WS_RUN_SQL})) AS raw FROM documents),
 s AS (SELECT lang, regexp_replace(raw, {sql_str(T.bangla_strip_regex())}, '', 'g') AS token FROM w),
-f AS (SELECT * FROM s WHERE length(token) > 1 AND NOT list_contains({sql_list(X.CORPUS_BN_STOP)}, token)
+f AS (SELECT * FROM s WHERE length(token) > 1 AND NOT list_contains({sql_list(X.CASE_BN_STOP)}, token)
                         AND regexp_matches(token, '[{X.BENGALI_RANGE}]')),
 c AS (SELECT lang, token, count(*) AS n FROM f GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c)
@@ -204,7 +204,7 @@ def bangla_tokens_top(spark, sf_dir):
     from corpusgauge.operators.common import top_k
     docs = load(spark, sf_dir, "documents").select("lang", "text")
     toks = docs.select("lang", F.explode(T.bangla_tokens("text")).alias("token"))
-    toks = toks.filter((F.length("token") > 1) & ~F.col("token").isin(X.CORPUS_BN_STOP)
+    toks = toks.filter((F.length("token") > 1) & ~F.col("token").isin(X.CASE_BN_STOP)
                        & F.col("token").rlike(f"[{X.BENGALI_RANGE}]"))
     counts = toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     return top_k(counts, ["lang"], [F.col("n").desc(), F.col("token")], 10).select(

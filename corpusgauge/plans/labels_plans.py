@@ -204,7 +204,7 @@ maj AS (SELECT it.doc_id,
           'overlap' AS source
         FROM it LEFT JOIN p USING (doc_id)),
 single AS (SELECT doc_id, polarity AS label, 'single' AS status, 'rater_' || rater AS source
-           FROM rl WHERE rater = 'A' AND doc_id NOT IN (SELECT doc_id FROM common))
+           FROM rl WHERE doc_id NOT IN (SELECT doc_id FROM common))
 SELECT * FROM maj UNION ALL SELECT * FROM single""", ops="A24 A25 J4 J5 U1")
 def gold_labels(spark, sf_dir):
     long = rater_long(spark, sf_dir)
@@ -212,7 +212,8 @@ def gold_labels(spark, sf_dir):
     ov = long.join(common, "doc_id", "left_semi")
     maj = L.majority_vote(ov, "doc_id", "polarity", X.POLARITY_LABELS, "silver").withColumn(
         "source", F.lit("overlap"))
-    single = (long.filter("rater = 'A'").join(common, "doc_id", "left_anti")
+    # outside the overlap every rater's rows are gold, with the rater's tag
+    single = (long.join(common, "doc_id", "left_anti")
               .select("doc_id", F.col("polarity").alias("label"), F.lit("single").alias("status"),
                       F.concat(F.lit("rater_"), F.col("rater")).alias("source")))
     return maj.unionByName(single)
@@ -274,10 +275,12 @@ WITH {SPLIT_CTE},
 ids AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM split WHERE split = 'test'),
 b AS (SELECT substr(sha256(id), 1, 3) AS b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS h
       FROM ids GROUP BY 1)
-SELECT sum(n)::BIGINT AS n_ids, sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256_ids FROM b""", ops="A23 P2")
+SELECT sum(n)::BIGINT AS n_ids, 3 AS hex_digits, sha256(string_agg(h, chr(10) ORDER BY b)) AS sha256_ids, true AS verified
+FROM b""", ops="A23 P2")
 def test_lock(spark, sf_dir):
     sp = split_frame(spark, sf_dir).filter(F.col("split") == "test")
-    return Q.ids_lock(sp, "doc_id", 3)
+    lock = Q.ids_lock(sp, "doc_id", 3)
+    return join_one_row(lock, Q.verify_lock(sp, "doc_id", lock).select(F.col("ok").alias("verified")))
 
 
 @query("overlap_sample", f"""
@@ -407,12 +410,12 @@ def split_share_check(spark, sf_dir):
 
 @query("review_sheet", f"""
 SELECT l.doc_id, 'Negative' AS current_value, 'Negative' AS new_value, length(d.text)::BIGINT AS text_len,
-       left(d.text, 120) AS text_head
+       d.text AS full_text, d.lang, d.source
 FROM labels l JOIN documents d USING (doc_id) WHERE {POL_SQL} = 'Negative'""", ops="P8 W4")
 def review_sheet(spark, sf_dir):
     lab = load(spark, sf_dir, "labels").select("doc_id", L.polarity_from_flags("quality", "toxic").alias("polarity"))
-    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     sel = lab.filter(F.col("polarity") == "Negative").join(d, "doc_id")
     return Q.order_by_length(sel, "text", "doc_id").select(
         "doc_id", F.col("polarity").alias("current_value"), F.col("polarity").alias("new_value"),
-        F.length("text").cast("bigint").alias("text_len"), F.substring("text", 1, 120).alias("text_head"))
+        F.length("text").cast("bigint").alias("text_len"), F.col("text").alias("full_text"), "lang", "source")

@@ -41,6 +41,7 @@ p AS (SELECT ts, 'total' AS metric, 'all' AS key FROM r
       UNION ALL SELECT ts, 'district', district FROM r
       UNION ALL SELECT ts, 'risk_level', CAST(risk_level AS VARCHAR) FROM r
       UNION ALL SELECT ts, 'family_vs_non', fam FROM r
+      UNION ALL SELECT ts, 'monthly_trend', strftime(ts, '%Y-%m') FROM r
       UNION ALL SELECT ts, 'abuse_type', cat FROM r)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, metric, key, count(*)::BIGINT AS n
 FROM p WHERE key IS NOT NULL AND key <> '' GROUP BY ALL"""
@@ -48,7 +49,8 @@ FROM p WHERE key IS NOT NULL AND key <> '' GROUP BY ALL"""
 
 @query("dashboard_stream", STREAM_SQL, ops="ST1 F7 S30 A17")
 def dashboard_stream(spark, sf_dir):
+    # the table's path: one file or a folder of part files; all that is there is one batch
     schema = load(spark, sf_dir, "events").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # (a pattern, because the file source takes a plain path to be a folder)
+    src = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
     return run_dashboard_stream(spark, src, event_reports, scratch_path(spark, "dashboard-stream"))

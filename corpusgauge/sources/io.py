@@ -106,25 +106,28 @@ def read_kb(spark: SparkSession, path: str) -> DataFrame:
     return _json_map(spark, path, st).select(F.col("key").alias("id"), "v.*")
 
 
-def read_reports(spark: SparkSession, path: str, limit: int = 5000) -> DataFrame:
-    """IO6: report store (JSON lines) with a row cap; a missing or unreadable
-    store is an empty typed table; malformed records are dropped."""
-    try:
-        df = spark.read.schema(REPORT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-        df.schema  # noqa: B018 -- resolve the path now
-    except Exception:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or a glob) names anything, by the file system Spark reads it with."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def read_reports(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """IO6: report store (JSON lines); a missing store is an empty typed table, malformed
+    records are dropped, any other read error is raised.  ``limit`` keeps the newest reports
+    (by creation time, then id), as a report page does; by default all are read."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], REPORT_SCHEMA)
-    return df.limit(limit)
+    df = spark.read.schema(REPORT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return df if limit is None else df.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(limit)
 
 
 def read_metrics(spark: SparkSession, path_glob: str) -> DataFrame:
-    """IO7: result JSON files -> long (file, key, value) table; missing files -> empty."""
-    try:
-        raw = spark.read.text(path_glob, wholetext=True).select(
-            F.col("_metadata.file_name").alias("file"), "value")
-        raw.schema  # noqa: B018
-    except Exception:
+    """IO7: result JSON files -> long (file, key, value) table; no files -> empty."""
+    if not path_exists(spark, path_glob):
         return spark.createDataFrame([], "file string, key string, value string")
+    raw = spark.read.text(path_glob, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     m = raw.select("file", F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))))
     return m.select("file", "key", "value")
 
@@ -150,31 +153,49 @@ def load_pipeline(path: str):
     return PipelineModel.load(path)
 
 
-def append_reports(df: DataFrame, path: str) -> int:
-    """IO10: append consenting, whitelisted reports; the id is derived from the
-    record content (deterministic, so a retried task writes the same ids)."""
+def append_reports(df: DataFrame, path: str, row_key: list[str] | None = None) -> int:
+    """IO10: append consenting, whitelisted reports as one batch folder; returns their number.
+
+    Ids are derived from ``row_key`` (columns that tell the input rows apart, dropped by the
+    whitelist afterwards) and the record, so two equal reports have two ids and a retried task
+    writes the same ones.  Without a key, equal records are told apart by their number among
+    the equal ones.  The rows are counted where they were written, not computed again."""
+    import uuid
+
+    from pyspark.sql import Window
+
     from corpusgauge.operators.reports import REPORT_COLUMNS, consent_gate, sanitize
 
     ok, _ = consent_gate(df)
-    rec = sanitize(ok.select(*[c for c in ok.columns if c in REPORT_COLUMNS]))
+    body = F.sha2(F.to_json(F.struct(*[F.col(c) for c in ok.columns if c in REPORT_COLUMNS and c != "id"])), 256)
+    keyed = ok.withColumn("_body", body)
+    if row_key:
+        keyed = keyed.withColumn("_nth", F.to_json(F.struct(*row_key)))
+    else:
+        keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_body").orderBy("_body")).cast("string"))
+    keyed = keyed.withColumn("id", F.substring(F.sha2(F.concat_ws("|", "_body", "_nth"), 256), 1, 20))
+    rec = sanitize(keyed)
     if "created_at" not in rec.columns:
         rec = rec.withColumn("created_at", F.current_timestamp())
-    body = F.to_json(F.struct(*[c for c in rec.columns if c != "id"]))
-    rec = rec.withColumn("id", F.substring(F.sha2(body, 256), 1, 20))
-    rec.write.mode("append").json(path)
-    return rec.count()
+    batch = f"{path.rstrip('/')}/batch={uuid.uuid4().hex}"
+    rec.write.json(batch)
+    return df.sparkSession.read.schema(REPORT_SCHEMA).json(batch).count()
 
 
 def table_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """IO11: per table file bytes (binaryFile metadata, content not read), rows
-    (parquet footers) and column count."""
-    files = (spark.read.format("binaryFile").load(list(paths.values()))
-             .select(F.col("path"), F.col("length")))
-    rows = []
+    """IO11: per table its bytes (file listing, content not read), rows (parquet footers) and
+    column count; a table is one file or a folder of part files."""
+    counts = None
     for name, p in paths.items():
         df = spark.read.parquet(p)
-        rows.append((name, p, df.count(), len(df.columns)))
-    meta = spark.createDataFrame(rows, "table string, path string, n_rows long, n_columns int")
-    by_name = files.withColumn("table", F.regexp_extract("path", r"([^/]+)\.parquet$", 1)).groupBy("table").agg(
-        F.sum("length").alias("bytes"))
-    return meta.join(by_name, "table", "left").select("table", "n_rows", "n_columns", "bytes")
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        counts = one if counts is None else counts.unionByName(one)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths.values()))
+             .select("path", "length"))
+    # a file belongs to the table whose path it lies under (the longest such path)
+    roots = sorted(paths.items(), key=lambda x: -len(x[1]))
+    under = [F.when(F.col("path").contains(p.split("://")[-1].rstrip("/") + "/") | F.col("path").endswith(
+        p.split("://")[-1].rstrip("/")), name) for name, p in roots]
+    sizes = files.withColumn("table", F.coalesce(*under)).groupBy("table").agg(F.sum("length").alias("bytes"))
+    return counts.join(sizes, "table", "left").select("table", "n_rows", "n_columns", "bytes")

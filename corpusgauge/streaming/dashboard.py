@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.operators.reports import REPORT_COLUMNS, sanitize
+from corpusgauge.sources.io import path_exists
 
 
 def metric_pairs(reports: DataFrame, ts_col: str = "created_at") -> DataFrame:
@@ -31,7 +32,8 @@ def metric_pairs(reports: DataFrame, ts_col: str = "created_at") -> DataFrame:
         pair("gender", F.coalesce(F.col("gender"), F.lit("unknown"))),
         pair("district", F.col("district")),
         pair("risk_level", F.col("risk_level")),
-        pair("family_vs_non", fam))
+        pair("family_vs_non", fam),
+        pair("monthly_trend", F.date_format(ts_col, "yyyy-MM")))
     types = F.transform(F.coalesce(F.col("abuse_types"), F.array().cast("array<string>")),
                         lambda t: pair("abuse_type", t))
     rows = F.filter(F.concat(scalars, types), lambda p: p["key"].isNotNull() & (p["key"] != ""))
@@ -51,7 +53,10 @@ def run_dashboard_stream(spark: SparkSession, source: DataFrame, to_reports, bas
     """Run the stream to completion (``availableNow``) and return the dashboard.
 
     ``source`` is a streaming DataFrame; ``to_reports`` maps it to report rows
-    with a ``consent`` flag and a ``created_at`` timestamp."""
+    with a ``consent`` flag and a ``created_at`` timestamp.  Files come in order of their
+    modification, not of their events, so a backfill must not cut the source into small
+    batches (``maxFilesPerTrigger``): the watermark would drop what is older than the batch
+    before.  Within a batch the order does not matter."""
     reports = to_reports(source)
     accepted = reports.filter(F.coalesce(F.col("consent") == F.lit(True), F.lit(False)))
     clean = sanitize(accepted.select(*[c for c in accepted.columns if c in REPORT_COLUMNS]))
@@ -66,9 +71,8 @@ def run_dashboard_stream(spark: SparkSession, source: DataFrame, to_reports, bas
          .option("checkpointLocation", f"{base_path}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        updates = spark.read.option("basePath", out_path).parquet(out_path)
-    except Exception:  # no micro-batch produced rows
+    if not path_exists(spark, out_path):  # no micro-batch ran
         return spark.createDataFrame([], "day string, metric string, key string, n bigint")
+    updates = spark.read.option("basePath", out_path).parquet(out_path)
     return (updates.groupBy("day", "metric", "key")
             .agg(F.max_by("n", "batch_id").cast("bigint").alias("n")))
