@@ -49,7 +49,7 @@ def category_scores(low: Column, dictionary) -> Column:
 
 def classify_text(df: DataFrame, text_col: str, dictionary=None, tie: str = "severity") -> DataFrame:
     """R1 (tie='severity') / R3 (tie='order'): category, hits, total, severity,
-    confidence, matched keywords, legal sections, civil/criminal.
+    confidence, matched keywords, legal sections, civil/criminal, recommended action.
 
     Blank or keyword-free text gives 'unknown' with severity 0.  The lower-cased
     text and the score array are projected once and then referenced, so each
@@ -79,6 +79,8 @@ def classify_text(df: DataFrame, text_col: str, dictionary=None, tie: str = "sev
             .withColumn("matched", F.when(known, best["hits"]).otherwise(F.array().cast("array<string>")))
             .withColumn("legal_sections", legal_sections(F.col("category")))
             .withColumn("civil_or_criminal", N.map_default(F.col("category"), X.CIVIL_OR_CRIMINAL, "Unknown"))
+            .withColumn("recommended_action", F.when(blank, F.lit(X.ACTION_BLANK)).when(~known, F.lit(X.ACTION_UNKNOWN))
+                        .otherwise(N.map_default(F.col("severity"), X.RECOMMENDED_ACTIONS, "")))
             .drop("_sc", "_low", "_best", "_known"))
 
 

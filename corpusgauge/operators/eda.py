@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.common import top_k
+from corpusgauge.operators.common import numbered, shared_table, top_k
 
 
 def value_counts(df: DataFrame, *cols, name: str = "n") -> DataFrame:
@@ -126,6 +126,29 @@ def histogram(df: DataFrame, col: str, bins: int = 12) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+def exact_median(df: DataFrame, col: str):
+    """The exact median of a numeric column (None without values).
+
+    Rows per value (a partial aggregate) are range-partitioned by value and numbered; running
+    counts are taken inside the partitions and one row per partition is added up.  Only the
+    values at the one or two middle ranks come to the driver."""
+    counts = numbered(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), ["_v"])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = shared_table(counts.groupBy("_pid").agg(F.sum("_n").alias("_s")).select(
+        "_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"), "_s"), "offsets")
+    n = offsets.agg(F.sum("_s")).first()[0]
+    if not n:
+        return None
+    ranks = [(n + 1) // 2, n // 2 + 1]
+    # the partitions that hold the middle ranks, then the running counts in them
+    hit = [F.lit(r).between(F.col("_off") + 1, F.col("_off") + F.col("_s")) for r in ranks]
+    inside = counts.join(offsets.filter(hit[0] | hit[1]), "_pid")
+    top = F.col("_off") + F.sum("_n").over(Window.partitionBy("_pid").orderBy("_row"))
+    placed = inside.withColumn("_to", top)
+    found = [placed.filter(F.lit(r).between(F.col("_to") - F.col("_n") + 1, F.col("_to"))).first()["_v"] for r in ranks]
+    return (float(found[0]) + float(found[1])) / 2
+
+
 def token_counts(tokens: DataFrame, group_cols, token_col: str = "token") -> DataFrame:
     """Counts per (group, token) after the stopword anti-join (partial agg before shuffle)."""
     return tokens.groupBy(*group_cols, token_col).agg(F.count(F.lit(1)).alias("n"))
@@ -141,10 +164,10 @@ def top_tokens(counts: DataFrame, group_cols, k: int, token_col: str = "token")
 def topk_cross(df: DataFrame, a: str, b: str, ka: int, kb: int) -> DataFrame:
     """Counts of (a, b) restricted to the top-ka values of ``a`` and top-kb of ``b``.
 
-    One partial aggregate to (a, b) counts, two global top-k (per-partition
+    One partial aggregate to (a, b) counts, written and read by all that follows, two global top-k (per-partition
     limit + merge), and semi joins against the k-row winners (broadcast: their
     size is bounded by k)."""
-    ab = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    ab = shared_table(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), "pair-counts")
     ta = (ab.groupBy(a).agg(F.sum("n").alias("_t")).orderBy(F.col("_t").desc(), F.col(a)).limit(ka)
           .select(a))
     tb = (ab.groupBy(b).agg(F.sum("n").alias("_t")).orderBy(F.col("_t").desc(), F.col(b)).limit(kb)

@@ -22,7 +22,7 @@ def _kw_values_sql() -> str:
 
 
 def _case_map_sql(expr: str, mapping: dict, default: str) -> str:
-    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v) if isinstance(v, str) else v}"
+    whens = " ".join(f"WHEN {sql_str(k) if isinstance(k, str) else k} THEN {sql_str(v) if isinstance(v, str) else v}"
                      for k, v in mapping.items())
     return f"CASE {expr} {whens} ELSE {default} END"
 
@@ -53,7 +53,9 @@ SELECT {', '.join('t.' + k.strip() for k in keys.split(','))},
        CASE WHEN r.category IS NULL THEN 0.0 ELSE round_even(r.n / r.total, 2) END AS confidence,
        coalesce(r.matched, '') AS matched,
        {_laws_sql("coalesce(r.category, 'unknown')")} AS legal_sections,
-       {_case_map_sql("coalesce(r.category, 'unknown')", X.CIVIL_OR_CRIMINAL, "'Unknown'")} AS civil_or_criminal
+       {_case_map_sql("coalesce(r.category, 'unknown')", X.CIVIL_OR_CRIMINAL, "'Unknown'")} AS civil_or_criminal,
+       CASE WHEN t.blank THEN {sql_str(X.ACTION_BLANK)} WHEN r.category IS NULL THEN {sql_str(X.ACTION_UNKNOWN)}
+            ELSE {_case_map_sql("r.severity", X.RECOMMENDED_ACTIONS, "''")} END AS recommended_action
 FROM t LEFT JOIN (SELECT * FROM r WHERE rk = 1) r USING ({keys})"""
 
 
@@ -63,7 +65,8 @@ def _classified(df, keys):
                       F.col("total_hits").cast("int").alias("total_hits"),
                       F.col("severity").cast("int").alias("severity"), "confidence",
                       F.array_join("matched", ", ").alias("matched"),
-                      F.array_join("legal_sections", "; ").alias("legal_sections"), "civil_or_criminal")
+                      F.array_join("legal_sections", "; ").alias("legal_sections"), "civil_or_criminal",
+                      "recommended_action")
 
 
 @query("keyword_classify", classify_sql("conversations", "conv_id, turn"), ops="R1 R2 W6 J7 F10")

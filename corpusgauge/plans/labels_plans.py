@@ -283,6 +283,25 @@ def test_lock(spark, sf_dir):
     return join_one_row(lock, Q.verify_lock(sp, "doc_id", lock).select(F.col("ok").alias("verified")))
 
 
+@query("correction_by_split", f"""
+WITH {SPLIT_CTE},
+fixes AS (SELECT doc_id FROM documents WHERE n_chars < 200),
+j AS (SELECT s.split, l.quality, f.doc_id IS NOT NULL AND l.quality = 1 AS hit
+      FROM split s JOIN labels l USING (doc_id) LEFT JOIN fixes f USING (doc_id))
+SELECT split, count(*)::BIGINT AS n, count(*) FILTER (WHERE hit)::BIGINT AS n_applied,
+       sum(CASE WHEN hit THEN 0 ELSE quality END)::BIGINT AS quality_after_sum
+FROM j GROUP BY split""", ops="J12 J11 P2")
+def correction_by_split(spark, sf_dir):
+    """The corrections carried into the split tables, with the hits in each."""
+    fixes = load(spark, sf_dir, "documents").filter(F.col("n_chars") < 200).select(
+        "doc_id", F.lit(1).alias("old"), F.lit(0).alias("new"))
+    rows = load(spark, sf_dir, "labels").join(split_frame(spark, sf_dir).select("doc_id", "split"), "doc_id")
+    fixed = L.keyed_correction(rows, fixes, "doc_id", "quality")
+    return fixed.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("applied").alias("n_applied"),
+        F.sum("quality").cast("bigint").alias("quality_after_sum"))
+
+
 @query("overlap_sample", f"""
 WITH lab AS (SELECT doc_id, {POL_SQL} AS polarity FROM labels),
 cnt AS (SELECT polarity, count(*) AS n,

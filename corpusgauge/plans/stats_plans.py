@@ -10,6 +10,8 @@ from corpusgauge import fixed as X
 from corpusgauge.functions import text as T
 from corpusgauge.operators import evalstats as M
 from corpusgauge.operators import labels as L
+from corpusgauge.operators.common import shared_table
+from corpusgauge.plans.corpus import BUCKET_SQL, STRIP_SQL, TAG_SQL
 from corpusgauge.plans.eda import DAY_PART_SQL, day_part
 from corpusgauge.plans.registry import load, query, sql_str
 
@@ -23,20 +25,23 @@ PREDS_CTE = f"""preds AS (
   FROM documents d JOIN labels l USING (doc_id))"""
 
 
-def predictions(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+def predictions(spark, sf_dir, **flags):
+    """Labelled documents with both predictions; ``flags`` are columns made of the text next to
+    the scan (the texts do not go through the join)."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", *[f.alias(n) for n, f in flags.items()])
     l = load(spark, sf_dir, "labels")
     j = d.join(l, "doc_id")
     pred_a = (F.when(F.col("n_chars") < 300, "Negative").when(F.col("n_chars") < 800, "Neutral")
               .otherwise("Positive"))
     pred_b = (F.when(F.col("lang") == "en", "Positive").when(F.col("lang") == "de", "Neutral")
               .when(F.col("n_chars") < 1000, "Negative").otherwise("Positive"))
-    return j.select("doc_id", "text", "lang", L.polarity_from_flags("quality", "toxic").alias("y"),
+    return j.select("doc_id", "lang", *flags, L.polarity_from_flags("quality", "toxic").alias("y"),
                     pred_a.alias("pred_a"), pred_b.alias("pred_b"))
 
 
-def long_preds(spark, sf_dir, extra=()):
-    return M.long_predictions(predictions(spark, sf_dir), "doc_id", "y", {"a": "pred_a", "b": "pred_b"}, extra)
+def long_preds(spark, sf_dir, extra=(), **flags):
+    return M.long_predictions(predictions(spark, sf_dir, **flags), "doc_id", "y", {"a": "pred_a", "b": "pred_b"},
+                              (*extra, *flags))
 
 
 LONG_SQL = """lp AS (SELECT doc_id, text, lang, y, 'a' AS model, pred_a AS pred FROM preds
@@ -127,10 +132,10 @@ UNION ALL SELECT 'both_wrong', both_wrong::DOUBLE FROM w
 UNION ALL SELECT 'only_a_wrong', only_a_wrong::DOUBLE FROM w
 UNION ALL SELECT 'only_b_wrong', only_b_wrong::DOUBLE FROM w""", ops="M13 M14")
 def error_groups(spark, sf_dir):
-    lp = long_preds(spark, sf_dir, extra=("text",))
-    tag = T.tag_language("text")
-    g = lp.select("model", (F.col("pred") != F.col("y")).alias("wrong"),
-                  T.has_emoji("text").alias("emoji"), tag.isin("latin", "bn+en").alias("latin"))
+    p = shared_table(predictions(spark, sf_dir, emoji=T.has_emoji("text"),
+                                 latin=T.tag_language("text").isin("latin", "bn+en")), "predictions")
+    g = M.long_predictions(p, "doc_id", "y", {"a": "pred_a", "b": "pred_b"}, ("emoji", "latin")).select(
+        "model", (F.col("pred") != F.col("y")).alias("wrong"), "emoji", "latin")
     wrong = F.when(F.col("wrong"), 1.0).otherwise(0.0)
     rates = g.groupBy("model").agg(
         F.avg(F.when(F.col("emoji"), wrong)).alias("emoji"),
@@ -140,7 +145,6 @@ def error_groups(spark, sf_dir):
     er = rates.select(F.expr("stack(4, 'emoji', emoji, 'no_emoji', no_emoji, 'latin_script', latin_script, "
                              "'other_script', other_script) as (grp, value)"), "model").select(
         F.concat_ws(":", "model", "grp").alias("metric"), F.round("value", 6).alias("value"))
-    p = predictions(spark, sf_dir)
     a_wrong, b_wrong = F.col("pred_a") != F.col("y"), F.col("pred_b") != F.col("y")
     w = p.agg(F.count_if(a_wrong & b_wrong).cast("double").alias("both_wrong"),
               F.count_if(a_wrong & ~b_wrong).cast("double").alias("only_a_wrong"),
@@ -157,22 +161,29 @@ WHERE pred_a <> y AND pred_b <> y ORDER BY doc_id LIMIT 12""", ops="M15")
 def hardest_examples(spark, sf_dir):
     p = predictions(spark, sf_dir)
     both = p.filter((F.col("pred_a") != F.col("y")) & (F.col("pred_b") != F.col("y")))
-    return both.orderBy("doc_id").limit(12).select(
+    # the twelve first, then their texts
+    rows = shared_table(both.orderBy("doc_id").limit(12), "hardest")
+    texts = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts.join(F.broadcast(rows), "doc_id").select(
         "doc_id", F.substring("text", 1, 120).alias("text_head"), "y", "pred_a", "pred_b", "lang")
 
 
 @query("accuracy_by_lang", f"""
-WITH {PREDS_CTE}, {LONG_SQL}
-SELECT model, lang, count(*)::BIGINT AS n,
-       round(avg(CASE WHEN pred = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
-       count(*) FILTER (WHERE y = 'Positive' AND pred = 'Positive')::BIGINT AS tp_positive
-FROM lp GROUP BY model, lang""", ops="M10 M11")
+WITH {PREDS_CTE}, {LONG_SQL},
+s AS (SELECT model, y, pred, regexp_replace(coalesce(text, ''), {STRIP_SQL}, '', 'g') AS s FROM lp),
+t AS (SELECT model, y, pred, {TAG_SQL} AS tag FROM s),
+b AS (SELECT model, {BUCKET_SQL} AS lang_bucket, y, pred, count(*) AS n FROM t GROUP BY ALL)
+SELECT model, lang_bucket, y, pred, n::BIGINT AS n,
+       round(sum(CASE WHEN y = pred THEN n ELSE 0 END) OVER w / sum(n) OVER w, 6) AS accuracy
+FROM b WINDOW w AS (PARTITION BY model, lang_bucket)""", ops="M10 M11")
 def accuracy_by_lang(spark, sf_dir):
-    lp = long_preds(spark, sf_dir, extra=("lang",))
-    return lp.groupBy("model", "lang").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)), 6).alias("accuracy"),
-        F.count_if((F.col("y") == "Positive") & (F.col("pred") == "Positive")).alias("tp_positive"))
+    """M10 + M11: the confusion cells of each model and language bucket, with the bucket's accuracy."""
+    bucket = T.lang_bucket(T.tag_language(T.ustrip(F.coalesce(F.col("text"), F.lit("")))))
+    cells = long_preds(spark, sf_dir, lang_bucket=bucket).groupBy("model", "lang_bucket", "y", "pred").agg(
+        F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("model", "lang_bucket")
+    right = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).over(w)
+    return cells.withColumn("accuracy", F.round(right / F.sum("n").over(w), 6))
 
 
 @query("val_test_gap", f"""
