@@ -109,10 +109,11 @@ def train(docs: DataFrame, text_col: str = "text", p: LicenseParams = LicensePar
 
     classes = ["none", "unknown", *TEMPLATES]
     index = F.coalesce(*[F.when(F.col("label") == c, F.lit(float(i))) for i, c in enumerate(classes)])
-    # features: n-grams of the notices that the corpus paragraphs do not use
-    common = {r.g for r in rows.filter("label = 'none'").select(F.explode("grams").alias("g")).filter(
-        F.col("g").isin(known)).distinct().collect()}
-    useful = F.lit([g for g in known if g not in common])
+    # features: n-grams of the notices with a word that the corpus paragraphs do not use
+    notice_words = sorted({w for g in known for w in g.split(" ")})
+    corpus_words = {r.w for r in plain.select(F.explode(F.split(F.concat_ws(" ", "grams"), " ")).alias("w")).distinct().filter(
+        F.col("w").isin(notice_words)).collect()}
+    useful = F.lit([g for g in known if not corpus_words.issuperset(g.split(" "))])
     rows = rows.withColumn("y", index).withColumn("grams", F.array_intersect("grams", useful))
     vectors = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=p.features, binary=True)
     counted = vectors.fit(rows.filter("not held_out and label <> 'none'"))
@@ -126,9 +127,7 @@ def train(docs: DataFrame, text_col: str = "text", p: LicenseParams = LicensePar
              if abs(matrix[:, i]).max() > 0]
     intercepts = [float(b) for b in bias] + [-20.0] * missing
 
-    # what speaks for a licence, and the word of it that the corpus uses least
-    corpus_words = {r.w for r in plain.select(F.explode(F.split(F.concat_ws(" ", "grams"), " ")).alias("w")).distinct().filter(
-        F.col("w").isin(sorted({w for g, *_ in table for w in g.split(" ")}))).collect()}
+    # what speaks for a licence, and the longest word of it that the corpus does not use
     evidence = [g for g, *w in table if max(w[1:]) > w[0]]
     markers = sorted({min(g.split(" "), key=lambda x: (x in corpus_words, -len(x), x)) for g in evidence})
 
