@@ -285,11 +285,11 @@ def linked(signed: DataFrame, named: DataFrame, p: NearDupParams) -> DataFrame:
 
     # pairs with the pivot are done, so two others are needed; one label in a bucket: done as well
     others = labelled(members.filter("n_all > 2 and node <> pivot")).select("bucket", "band", "node", "label")
-    open_ = (others.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = written(others.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"),
-                                    (F.sum("n") - F.max("n")).alias("n_stray")).filter("n_stray > 0"))
+                                    (F.sum("n") - F.max("n")).alias("n_stray")).filter("n_stray > 0"), "open-buckets")
     rows = written(others.join(open_, "bucket").withColumn("stray", F.col("label") != F.col("main"))
-                   .drop("main"), "open-buckets")
+                   .drop("main"), "open-members")
     open_sets = written(shingle_tables(rows.select("node").distinct(), texts, p).join(sigs, "node"), "open-sets")
     more = written(rest_links(rows.join(open_sets, "node"), p), "more-links")
     if more.limit(1).count():

@@ -296,8 +296,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     texts = docs.select(named[0].alias("id"), F.xxhash64(*named, named[0].isNull()).alias("th"),
                         F.shiftright(F.hash(*named), 17).cast("bigint").alias("mark"), named[1].alias("text"))
     parsed = written(parse(texts, p), "phrases")
-    keys = (parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
-            .filter("n > 1").select("key", (F.col("w0") != F.col("w1")).alias("open")))
+    # written, so that the join has a shuffle on both sides and Spark can split a frequent key
+    keys = written(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
+                   .filter("n > 1").select("key", (F.col("w0") != F.col("w1")).alias("open")), "repeated-triggers")
     found = written(parsed.join(keys, "key"), "repeated-phrases")
     discard(parsed)
     # the windows of a phrase: the first is its first, so the numbers after it are 0 and (its last)
