@@ -84,34 +84,6 @@ def age_from_text(col, lo: int = 30, hi: int = 120) -> Column:
     return F.when(age.between(lo, hi), age)
 
 
-def _tokens_stripped(col) -> Column:
-    chars = X.TOKEN_PUNCT
-    cls = "[" + "".join("\\" + ch if ch in "[]\\^-" else ch for ch in chars) + "]"
-    parts = F.split(F.coalesce(_c(col), F.lit("")), r"\s+")
-    return F.transform(parts, lambda w: F.regexp_replace(w, rf"\A{cls}+|{cls}+\z", ""))
-
-
-def relation_rank(col, rules) -> Column:
-    """First rule (in rank order) whose English ``\\b`` regex matches
-    (case-insensitive) or whose Bangla word set contains a punctuation-stripped
-    whitespace token."""
-    c = F.coalesce(_c(col), F.lit(""))
-    toks = _tokens_stripped(c)
-    out = None
-    for name, en_regex, bn_words in rules:
-        cond = c.rlike("(?i)" + en_regex) | F.arrays_overlap(toks, lit_array(bn_words))
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return out
-
-
-def victim_relation(col) -> Column:
-    return relation_rank(col, X.VICTIM_RELATIONS)
-
-
-def abuser_relation(col) -> Column:
-    return relation_rank(col, X.ABUSER_RELATIONS)
-
-
 def parse_json_fallback(col, schema) -> Column:
     """Parse directly, else the first ``{`` .. last ``}`` span, else null."""
     c = _c(col)

@@ -27,27 +27,24 @@ def sections_for_category(keys: DataFrame, kb: DataFrame, key_cols, cat_col: str
 
     Known category -> sections tagged with it, plus the always-included
     procedural sections; 'unknown' -> every section not tagged 'all', plus the
-    always-included ones.  Three equi-joins against the broadcast dimension."""
-    kbb = F.broadcast(kb)
-    tags = kb.select("id", "kb_ord", "section", F.explode("applicable_for").alias("_tag"))
-    subst = (keys.filter(F.col(cat_col) != "unknown")
-             .join(F.broadcast(tags), F.col(cat_col) == F.col("_tag")).drop("_tag"))
-    non_all = kb.filter(~F.array_contains("applicable_for", "all")).withColumn("_u", F.lit("unknown"))
-    unk = (keys.filter(F.col(cat_col) == "unknown")
-           .join(F.broadcast(non_all), F.col(cat_col) == F.col("_u")).drop("_u", "applicable_for"))
-    always = keys.select(*key_cols, cat_col, F.explode(F.array(*[F.lit(a) for a in X.KB_ALWAYS])).alias("id"))
-    always = always.join(kbb.select("id", "kb_ord", "section"), "id")
-    cols = [*key_cols, cat_col, "id", "kb_ord", "section"]
-    u = subst.select(*cols).unionByName(unk.select(*cols)).unionByName(always.select(*cols))
-    return u.dropDuplicates([*key_cols, cat_col, "id"])
+    always-included ones.  The knowledge base is a fixed dimension of a few sections: it
+    becomes an array literal, filtered and exploded next to the keys, without a join."""
+    rows = kb.select("kb_ord", "id", "section", "applicable_for").collect()
+    sections = F.array(*[F.struct(
+        F.lit(r["kb_ord"]).alias("kb_ord"), F.lit(r["id"]).alias("id"), F.lit(r["section"]).alias("section"),
+        F.array(*[F.lit(t) for t in r["applicable_for"]]).cast("array<string>").alias("tags"),
+        F.lit(r["id"] in X.KB_ALWAYS).alias("always")) for r in rows])
+    cat = F.col(cat_col)
+    mine = F.filter(sections, lambda s: s["always"] | F.when(
+        cat == "unknown", ~F.array_contains(s["tags"], "all")).otherwise(F.array_contains(s["tags"], cat)))
+    return keys.withColumn("_s", F.explode(mine)).select(*keys.columns, "_s.id", "_s.kb_ord", "_s.section")
 
 
 def multi_category_sections(keys: DataFrame, kb: DataFrame, key_cols, cat_col: str = "category",
                             cat_pos: str = "cat_pos") -> DataFrame:
     """Retrieval for several ordered categories per key; a section keeps its
     first position (category order, then knowledge-base order)."""
-    s = sections_for_category(keys, kb, key_cols, cat_col).join(
-        keys.select(*key_cols, cat_col, cat_pos), [*key_cols, cat_col])
+    s = sections_for_category(keys, kb, key_cols, cat_col)
     w = Window.partitionBy(*key_cols, "id").orderBy(cat_pos, "kb_ord")
     first = s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return first.withColumn("pos", F.row_number().over(
@@ -63,10 +60,13 @@ def prompt_context(sections: DataFrame, key_cols, pos_col: str = "pos") -> DataF
         F.count(F.lit(1)).alias("n_sections"))
 
 
-def readable_titles(ids: DataFrame, kb: DataFrame, key_cols, id_col: str = "id") -> DataFrame:
-    """Id -> section title (unknown ids pass through), de-duplicated in order."""
-    j = ids.join(F.broadcast(kb.select(F.col("id").alias(id_col), "section")), id_col, "left")
-    return j.withColumn("title", F.coalesce("section", F.col(id_col)))
+def readable_titles(sections: DataFrame, key_cols, pos_col: str = "pos") -> DataFrame:
+    """Per key the section titles in order, each once; a section without a title is
+    shown by its id."""
+    title = F.coalesce("section", "id")
+    return sections.groupBy(*key_cols).agg(F.array_distinct(F.transform(
+        F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("pos"), title.alias("title")))),
+        lambda s: s["title"])).alias("titles"))
 
 
 def word_set(col) -> F.Column:

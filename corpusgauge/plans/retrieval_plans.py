@@ -10,6 +10,7 @@ from corpusgauge import fixed as X
 from corpusgauge.functions.text import WS_RUN_REGEX
 from corpusgauge.operators import classify as C
 from corpusgauge.operators import retrieval as RT
+from corpusgauge.operators.common import shared_table
 from corpusgauge.plans.classify_plans import classify_sql
 from corpusgauge.plans.registry import load, query, sql_list, sql_str
 
@@ -27,10 +28,12 @@ s AS (SELECT k.conv_id, k.category, k.cat_pos, kb.id, kb.kb_ord, kb.section FROM
       OR (k.category = 'unknown' AND NOT list_contains(kb.applicable_for, 'all'))
       OR list_contains({sql_list(X.KB_ALWAYS)}, kb.id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY cat_pos, kb_ord) AS r FROM s),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cat_pos, kb_ord) AS pos FROM f WHERE r = 1)
-SELECT conv_id, count(*)::BIGINT AS n_sections, string_agg(id, ',' ORDER BY pos) AS section_ids,
-       length(string_agg(section, chr(10) || chr(10) ORDER BY pos))::BIGINT AS context_chars
-FROM p GROUP BY conv_id""", ops="J8 J9 J10 S33 U4")
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cat_pos, kb_ord) AS pos FROM f WHERE r = 1),
+q AS (SELECT conv_id, section, min(pos) AS pos FROM p GROUP BY ALL),
+t AS (SELECT conv_id, string_agg(section, '; ' ORDER BY pos) AS titles FROM q GROUP BY conv_id)
+SELECT conv_id, count(*)::BIGINT AS n_sections, string_agg(id, ',' ORDER BY p.pos) AS section_ids,
+       length(string_agg(section, chr(10) || chr(10) ORDER BY p.pos))::BIGINT AS context_chars, any_value(titles) AS titles
+FROM p JOIN t USING (conv_id) GROUP BY conv_id""", ops="J8 J9 J10 S33 U4")
 def category_sections(spark, sf_dir):
     conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     c = C.classify_text(conv, "text").select("conv_id", "turn", "category")
@@ -38,13 +41,15 @@ def category_sections(spark, sf_dir):
     keys = cc.withColumn("cat_pos", F.row_number().over(
         Window.partitionBy("conv_id").orderBy("first_turn", "category")))
     kb = RT.kb_sections(spark)
-    secs = RT.multi_category_sections(keys, kb, ["conv_id"], "category", "cat_pos")
+    # bounded groups of a few sections, read by the three columns of the result
+    secs = shared_table(RT.multi_category_sections(keys, kb, ["conv_id"], "category", "cat_pos"), "sections")
     ctx = RT.prompt_context(secs, ["conv_id"])
+    titles = RT.readable_titles(secs, ["conv_id"]).select("conv_id", F.array_join("titles", "; ").alias("titles"))
     ids = secs.groupBy("conv_id").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]), ",").alias("section_ids"))
-    return ctx.join(ids, "conv_id").select(
+    return ctx.join(ids, "conv_id").join(titles, "conv_id").select(
         "conv_id", F.col("n_sections").cast("bigint").alias("n_sections"), "section_ids",
-        F.length("context").cast("bigint").alias("context_chars"))
+        F.length("context").cast("bigint").alias("context_chars"), "titles")
 
 
 WORDS_SQL = (f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(@C@, '')), "
