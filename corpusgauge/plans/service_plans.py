@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
+from corpusgauge.operators import classify as C
 from corpusgauge.operators import assess as A
 from corpusgauge.operators import reports as R
 from corpusgauge.functions.text import STRIP_REGEX as T_STRIP
@@ -217,13 +218,20 @@ def _bn_case_sql(expr: str) -> str:
     return f"CASE lower({expr}) {whens} ELSE {expr} END"
 
 
+def _list_case_sql(expr: str) -> str:
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_list(v)}" for k, v in X.LEGAL_SECTIONS.items() if v)
+    return f"CASE {expr} {whens} ELSE []::VARCHAR[] END"
+
+
 @query("complaint_records", f"""
 WITH {ASSESS_CTE},
 cr AS (SELECT user_id AS session_id, min(ts) AS created_at FROM events GROUP BY user_id),
 ag AS (SELECT session_id, max(CASE WHEN field = 'gender' THEN value END) AS gender,
               max(CASE WHEN field = 'location' THEN value END) AS loc,
+              max(CASE WHEN field = 'reporter_type' THEN value END) AS reporter_type,
               max(CASE WHEN field = 'consent' THEN lower(value) END) AS consent FROM a GROUP BY session_id),
 r AS (SELECT asm.session_id, array_to_string(asm.confirmed, ', ') AS abuse_type, asm.risk_level, cr.created_at,
+             asm.severity, asm.confirmed, coalesce(ag.reporter_type, 'unknown') AS reporter_type,
              ag.gender, nullif(split_part(ag.loc, '|', 2), '') AS district
       FROM asm JOIN cr USING (session_id) JOIN ag USING (session_id) WHERE ag.consent = 'true'),
 t AS (SELECT *, list_filter(list_transform(string_split(abuse_type, ','),
@@ -239,7 +247,11 @@ SELECT session_id,
        CASE WHEN gender IS NULL OR length(regexp_replace(gender, {sql_str(T_STRIP)}, '', 'g')) = 0
             THEN {sql_str(X.PLACEHOLDER)} ELSE gender END AS gender,
        CASE WHEN district IS NULL OR length(regexp_replace(district, {sql_str(T_STRIP)}, '', 'g')) = 0
-            THEN {sql_str(X.PLACEHOLDER)} ELSE district END AS district
+            THEN {sql_str(X.PLACEHOLDER)} ELSE district END AS district,
+       severity::INTEGER AS severity, reporter_type,
+       array_to_string(flatten(list_transform(confirmed, lambda c: {_list_case_sql('c')})), '; ') AS applicable_sections,
+       CASE confirmed[1] {' '.join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in X.CIVIL_OR_CRIMINAL.items())}
+            ELSE 'Unknown' END AS civil_or_criminal
 FROM t""", ops="S25 S26 S27 S28 S29 S31")
 def complaint_records(spark, sf_dir):
     from corpusgauge.functions import normalize as N
@@ -256,7 +268,10 @@ def complaint_records(spark, sf_dir):
         N.translate_list(abuse, X.ABUSE_TYPE_BN).alias("abuse_type_bn"),
         N.ascii_to_bangla_digits(F.col("risk_level")).alias("risk_bn"),
         N.placeholder(F.col("gender"), X.PLACEHOLDER).alias("gender"),
-        N.placeholder(F.col("district"), X.PLACEHOLDER).alias("district"))
+        N.placeholder(F.col("district"), X.PLACEHOLDER).alias("district"),
+        F.col("severity").cast("int").alias("severity"), F.coalesce("reporter_type", F.lit("unknown")).alias("reporter_type"),
+        F.array_join(F.flatten(F.transform("abuse_types", C.legal_sections)), "; ").alias("applicable_sections"),
+        N.map_default(F.try_element_at("abuse_types", F.lit(1)), X.CIVIL_OR_CRIMINAL, "Unknown").alias("civil_or_criminal"))
 
 
 @query("district_lookup", f"""
