@@ -3,7 +3,7 @@
 A conversation is a tree of messages (node, parent).  Root-to-leaf paths are enumerated by
 iterative self-joins that double: after step k every node knows its ancestor 2^k messages up
 and the messages between, so a tree of depth d takes log2(d) joins, on (conversation, node)
-keys and never on all pairs of a conversation.  A leaf's path is a branch; branches are ranked
+keys and never on all pairs of a conversation; a message that knows its root is joined no more.  A leaf's path is a branch; branches are ranked
 by the sum of their messages' scores (ties: the longer, then the smaller leaf) and the best
 ``keep`` of each conversation are formatted, each as one conversation.
 
@@ -71,18 +71,19 @@ def branches(messages: DataFrame) -> DataFrame:
     leaves = written(state.select(*key).join(
         state.filter("up is not null").select(F.col("conv").alias("c"), F.col("up").alias("p")).distinct(),
         F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti"), "leaves")
-    total, step = nodes.count(), 0
-    while state.filter("up is not null").limit(1).count() and 2 ** step <= total:
-        above = state.select(F.col("conv").alias("c"), F.col("node").alias("p"), F.col("up").alias("top"),
-                             F.col("path").alias("front"), F.col("score").alias("more"))
-        joined = state.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")), "left")
-        state = written(joined.select(
+    # messages whose path reaches a root are done; only the others are joined again
+    done, pending, total, step = state.filter("up is null"), state.filter("up is not null"), nodes.count(), 0
+    while 2 ** step <= total and pending.limit(1).count():
+        above = done.union(pending).select(F.col("conv").alias("c"), F.col("node").alias("p"), F.col("up").alias("top"),
+                                           F.col("path").alias("front"), F.col("score").alias("more"))
+        joined = pending.join(above, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")), "left")
+        longer = written(joined.select(
             *key, F.col("top").alias("up"),
             F.when(has, F.concat("front", "path")).otherwise(F.col("path")).alias("path"),
             (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), f"tree-{step}")
+        done, pending = done.union(longer.filter("up is null")), longer.filter("up is not null")
         step += 1
-    full = state.filter("up is null").alias("s").join(
-        leaves.alias("l"), F.expr("s.conv <=> l.conv and s.node = l.node"), "left_semi")
+    full = done.alias("s").join(leaves.alias("l"), F.expr("s.conv <=> l.conv and s.node = l.node"), "left_semi")
     return full.select("conv", F.col("node").alias("leaf"), "path", "score")
 
 
