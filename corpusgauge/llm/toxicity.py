@@ -5,9 +5,9 @@ features and the probabilities of all categories before it.  While training, tho
 probabilities are out-of-fold predictions (each row's come from models that did not see it), so
 a later model learns how far an earlier one can be trusted, not how well it knows its own rows.
 
-Features are what a text contains (binary): words, and beginnings of longer words, so that an inflected or compound form counts with its stem.  Of all words of the
-labelled rows those that set positive rows apart are kept: the counts are one aggregate over the
-labelled rows, the choice is by the difference of the two rates in their standard errors.
+Features are what a text contains (binary): words, and beginnings of longer words, so that an
+inflected or compound form counts with its stem.  Of all words of the labelled rows those that
+set positive rows apart are kept, by the difference of the two rates in their standard errors.
 
 The label table has one label, so the categories are degrees of it: ``severe`` (toxic rows with
 ``severe_from`` or more of the kept features), ``insult`` (toxic rows with at least one) and
@@ -15,9 +15,11 @@ The label table has one label, so the categories are degrees of it: ``severe`` (
 
 The verdict's threshold is chosen on the out-of-fold probabilities of the last category.
 
-Fitting takes at most ``max_rows`` labelled rows (those with the smallest hashes) and
-``features`` columns to the driver; that bound is the operator's only sample.  Scoring reads
-every whole text once, in place, without a shuffle.
+Training takes at most ``max_rows`` labels (those with the smallest hashes of their ids): a
+proven bound, so the labels are broadcast and no text is moved.  Of these rows the counts of at
+most ``candidates`` features and the chosen ``features`` columns come to the driver.  That bound
+is the operator's only sample.  Scoring reads every whole text once, in place, without a
+shuffle.
 
 Null and empty texts have no features; a null label is no label.  Rows without positive labels
 give a model that finds nothing.  Repeated rows are scored one by one, null ids stay, empty
@@ -40,7 +42,9 @@ from corpusgauge.llm.common import byte_values, tune, written
 class ToxicityParams:
     max_rows: int = 20_000      # labelled rows that the models are fitted on
     features: int = 400         # columns
+    candidates: int = 50_000    # features of positive rows, the most frequent, that are compared
     min_rows: int = 3           # positive rows that a feature must occur in
+    min_z: float = 4.0          # standard errors between a feature's two rates
     stems: tuple[int, ...] = (4, 5, 6, 7, 8)   # letters of a word's beginnings
     folds: int = 4
     l2: float = 0.5
@@ -133,59 +137,77 @@ def best_threshold(q: np.ndarray, y: np.ndarray, cost: float) -> float:
     return float((q[i] + (q[i + 1] if i + 1 < len(q) else 0)) / 2)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, label_id_col: str) -> DataFrame:
-    """(text, y) of the documents with a label."""
+def labelled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, label_id_col: str,
+             p: ToxicityParams) -> DataFrame:
+    """(k, text, y): the documents of at most ``max_rows`` labels, those with the smallest hashes.
+
+    The chosen labels are two numbers each and at most ``max_rows``, so they are broadcast and
+    the texts stay where they are."""
     known = labels.select(F.col(f"`{label_id_col}`").alias("k"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(
         "k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
+    known = written(known.orderBy(F.xxhash64("k"), "k").limit(p.max_rows), "labels")
     texts = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    return texts.join(known, "k").select("text", "y")
+    return texts.join(F.broadcast(known), "k").select("k", "text", "y")
 
 
-def choose_features(rows: DataFrame, p: ToxicityParams) -> list[bytes]:
-    """The features that set positive rows apart most, best first; ``rows`` has (text, y)."""
-    tune(rows.sparkSession)
+def feature_counts(rows: DataFrame, p: ToxicityParams, only: list[bytes] | None = None) -> DataFrame:
+    """(w, n): the rows that have each feature (each of ``only``); counted in the tasks first."""
+    wanted = None if only is None else set(only)
 
     def run(batches):
+        count: dict[bytes, int] = {}
         for batch in batches:
-            count: dict[bytes, list[int]] = {}
-            for text, y in zip(byte_values(batch.column(0)), batch.column(1).to_pylist()):
-                for w in text_features(text, p.stems):
-                    count.setdefault(w, [0, 0])[int(y > 0)] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(count, pa.binary()), pa.array([c[0] for c in count.values()], pa.int64()),
-                 pa.array([c[1] for c in count.values()], pa.int64())], names=["w", "n0", "n1"])
+            for text in byte_values(batch.column(0)):
+                found = text_features(text, p.stems)
+                for w in found if wanted is None else found & wanted:
+                    count[w] = count.get(w, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(count, pa.binary()), pa.array(count.values(), pa.int64())], names=["w", "n"])
+
+    return rows.select("text").mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
 
+
+def choose_features(rows: DataFrame, p: ToxicityParams) -> list[bytes]:
+    """The features that set positive rows apart most, best first; ``rows`` has (text, y).
+
+    Only features of positive rows can be chosen, so these are counted first, and the others'
+    counts are taken of the ``candidates`` most frequent among them."""
     total = rows.agg(F.count_if(F.col("y") <= 0).alias("n0"), F.count_if(F.col("y") > 0).alias("n1")).first()
     if not total.n0 or not total.n1:
         return []
-    counts = rows.mapInArrow(run, "w binary, n0 bigint, n1 bigint").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rate = (F.col("n0") + F.col("n1")) / float(total.n0 + total.n1)
-    gap = F.col("n1") / float(total.n1) - F.col("n0") / float(total.n0)
-    z = gap / F.sqrt(rate * (1 - rate) * (1 / total.n0 + 1 / total.n1) + 1e-12)
-    best = counts.filter(F.col("n1") >= p.min_rows).orderBy(F.desc(z), "w").limit(p.features)
-    return [bytes(r.w) for r in best.filter(z > 4).orderBy(F.desc(z), "w").collect()]
+    n1 = {bytes(r.w): r.n for r in feature_counts(rows.filter("y > 0"), p).filter(F.col("n") >= p.min_rows).orderBy(
+        F.desc("n"), "w").limit(p.candidates).collect()}
+    n0 = {bytes(r.w): r.n for r in feature_counts(rows.filter("y <= 0"), p, list(n1)).collect()}
+    found = []
+    for w, a in n1.items():
+        b = n0.get(w, 0)
+        rate = (a + b) / (total.n0 + total.n1)
+        z = (a / total.n1 - b / total.n0) / (rate * (1 - rate) * (1 / total.n0 + 1 / total.n1) + 1e-12) ** 0.5
+        if z > p.min_z:
+            found.append((-z, w))
+    return [w for _, w in sorted(found)[:p.features]]
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
           label_id_col: str = "doc_id", p: ToxicityParams = ToxicityParams()) -> Chain:
-    rows = written(labelled(docs, labels, text_col, id_col, label_col, label_id_col), "labelled")
+    tune(docs.sparkSession)
+    rows = labelled(docs, labels, text_col, id_col, label_col, label_id_col, p)
     vocabulary = choose_features(rows, p)
     categories = ["severe", "insult", "toxic"]
     chain = Chain(categories, vocabulary, [], p)
     if not vocabulary:
         return chain
-    # only the chosen features of a bounded number of rows come to the driver
-    h = F.xxhash64("text", "y")
+    # only the chosen features of these rows come to the driver
     names = set(vocabulary)
 
     def run(batches):
         for batch in batches:
             found = [sorted(names & text_features(t, p.stems)) for t in byte_values(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary())), batch.column(1), batch.column(2)],
-                                             names=["words", "y", "h"])
+                                             names=["words", "y", "k"])
 
-    held = rows.select("text", "y", h.alias("h")).mapInArrow(run, "words array<binary>, y int, h bigint")
-    sample = held.orderBy("h", "words").limit(p.max_rows).collect()
+    key = rows.schema["k"].dataType.simpleString()
+    held = rows.select("text", "y", "k").mapInArrow(run, f"words array<binary>, y int, k {key}")
+    sample = sorted(held.collect(), key=lambda r: (r.k, r.words, r.y))  # the folds do not depend on the partitions
     x = np.zeros((len(sample), len(vocabulary)))
     for i, r in enumerate(sample):
         for w in r.words:
