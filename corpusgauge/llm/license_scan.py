@@ -7,12 +7,17 @@ penalty over the licence families, ``unknown`` (licence sentences of no known fa
 chosen (least log loss), and the probability below which a family becomes ``unknown`` (most right
 answers).
 
+All n-grams of the notices are features, whatever words the corpus uses: how often the sample's
+paragraphs hold an n-gram is left to the fitted weights.  A sample paragraph that shares half of
+``confirm`` with a notice may be one and teaches nothing.
+
 Scan.  Every line of every whole text is a paragraph.  Only n-grams that speak for a licence
 (their weight for some licence class exceeds their weight for ``none``) can move a paragraph away
-from ``none``, and each such n-gram has a marker word; a paragraph without marker words keeps
-``none`` without further work.  This is no approximation.  The other paragraphs are scored once
-per distinct text: n-grams joined to the weights (at most ``features`` rows, broadcast), sums per
-class, softmax.  A family is confirmed by comparing n-grams with its templates: the share of the
+from ``none``.  Each line is tested in the task that reads it: first for a marker word (a word of
+such an n-gram that the sample lacks) or an n-gram without one, then with all its n-grams, whose
+weights must outweigh the intercept of ``none``.  A line that fails keeps ``none``; this is no approximation.  The other
+paragraphs are scored once per distinct text: n-grams joined to the weights (at most ``features``
+rows, broadcast), sums per class, softmax.  A family is confirmed by comparing n-grams with its templates: the share of the
 smaller set that is common must reach ``confirm``; else the paragraph is ``unknown``.
 
 Only DataFrame and ML functions run.  Null and empty texts have no findings; repeated rows and null ids keep their
@@ -21,7 +26,10 @@ rows; an empty table gives no rows (and no paragraphs to learn ``none`` from); o
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -48,13 +56,13 @@ def words(text: Column) -> Column:
 
 def ngrams(w: Column) -> Column:
     """Distinct 2- and 3-grams of an array of words (the words themselves if there are fewer)."""
-    two = F.expr("transform(sequence(1, size(w) - 1), i -> concat_ws(' ', slice(w, i, 2)))")
-    three = F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', slice(w, i, 3)))")
-    return F.array_distinct(F.when(F.size(w) > 2, F.concat(two, three)).when(F.size(w) == 2, two).otherwise(w))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(w, i, k)))
+    return F.array_distinct(F.when(F.size(w) > 2, F.concat(runs(2), runs(3))).when(F.size(w) == 2, runs(2)).otherwise(w))
 
 
 def with_grams(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("w", words(F.col(text))).withColumn("grams", ngrams(F.col("w"))).drop("w")
+    # the words are bound once, in a lambda: a filter on the n-grams then makes them once as well
+    return df.withColumn("grams", F.transform(F.array(words(F.col(text))), ngrams)[0])
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -83,11 +91,17 @@ def paragraphs(docs: DataFrame, text_col: str, *carry: Column) -> DataFrame:
 
 
 class LicenseModel:
-    """Weights (gram, one column per class), the marker words, temperature and threshold."""
+    """Weights (gram, one column per class), the marker words, temperature and threshold;
+    ``unmarked`` are the n-grams of evidence without a marker word."""
 
     def __init__(self, classes, weights, intercepts, markers, temperature, threshold):
         self.classes, self.weights, self.intercepts = classes, weights, intercepts
         self.markers, self.temperature, self.threshold = markers, temperature, threshold
+        self.unmarked: list[str] = []
+
+    def evidence(self) -> dict[str, float]:
+        """N-grams that speak for a licence, with the most that they add to a class over ``none``."""
+        return {g: max(w[1:]) - w[0] for g, *w in self.weights if max(w[1:]) > w[0]}
 
 
 def train(docs: DataFrame, text_col: str = "text", p: LicenseParams = LicenseParams()) -> LicenseModel:
@@ -99,22 +113,20 @@ def train(docs: DataFrame, text_col: str = "text", p: LicenseParams = LicensePar
     last = docs.select(h.alias("h")).filter(F.col(f"`{text_col}`").isNotNull()).distinct().orderBy("h").limit(
         p.negative_docs).agg(F.max("h")).first()[0]
     plain = paragraphs(docs.filter(h <= F.lit(last)), text_col).select("paragraph").distinct().withColumnRenamed("paragraph", "text")
-    plain = with_grams(plain, "text")
+    plain = written(with_grams(plain, "text"), "licence-plain")
     known = [r.g for r in with_grams(notices, "text").select(F.explode("grams").alias("g")).distinct().collect()]
-    # a corpus paragraph with two or more of the notices' n-grams may be a notice: it teaches nothing
-    plain = plain.filter(F.size(F.array_intersect("grams", F.lit(known))) < 2)
+    # a corpus paragraph that shares much with a notice may be one: it teaches nothing
+    near = [F.size(F.array_intersect("grams", F.lit(r.grams))) < p.confirm / 2 * F.least(F.size("grams"), F.lit(len(r.grams)))
+            for r in with_grams(notices, "text").select("grams").collect()]
+    plain = plain.filter(~F.exists("grams", lambda g: g.isin(known)) | reduce(and_, near))
     rows = with_grams(samples, "text").select("label", "copy", "grams").union(
         plain.select(F.lit("none").alias("label"), F.pmod(F.xxhash64("text"), F.lit(p.variants)).cast("int").alias("copy"), "grams"))
     rows = written(rows.withColumn("held_out", F.col("copy") % 4 == 3), "licence-samples")
 
     classes = ["none", "unknown", *TEMPLATES]
     index = F.coalesce(*[F.when(F.col("label") == c, F.lit(float(i))) for i, c in enumerate(classes)])
-    # features: n-grams of the notices with a word that the corpus paragraphs do not use
-    notice_words = sorted({w for g in known for w in g.split(" ")})
-    corpus_words = {r.w for r in plain.select(F.explode(F.split(F.concat_ws(" ", "grams"), " ")).alias("w")).distinct().filter(
-        F.col("w").isin(notice_words)).collect()}
-    useful = F.lit([g for g in known if not corpus_words.issuperset(g.split(" "))])
-    rows = rows.withColumn("y", index).withColumn("grams", F.array_intersect("grams", useful))
+    # features: the notices' n-grams
+    rows = rows.withColumn("y", index).withColumn("grams", F.array_intersect("grams", F.lit(known)))
     vectors = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=p.features, binary=True)
     counted = vectors.fit(rows.filter("not held_out and label <> 'none'"))
     rows = counted.transform(rows)
@@ -127,11 +139,15 @@ def train(docs: DataFrame, text_col: str = "text", p: LicenseParams = LicensePar
              if abs(matrix[:, i]).max() > 0]
     intercepts = [float(b) for b in bias] + [-20.0] * missing
 
-    # what speaks for a licence, and the longest word of it that the corpus does not use
-    evidence = [g for g, *w in table if max(w[1:]) > w[0]]
-    markers = sorted({min(g.split(" "), key=lambda x: (x in corpus_words, -len(x), x)) for g in evidence})
+    # the longest word of each n-gram of evidence that the corpus does not use
+    out = LicenseModel(classes, table, intercepts, [], 1.0, 0.0)
+    notice_words = sorted({w for g in out.evidence() for w in g.split(" ")})
+    corpus_words = {r.w for r in plain.select(F.explode(F.split(F.concat_ws(" ", "grams"), " ")).alias("w")).distinct().filter(
+        F.col("w").isin(notice_words)).collect()}
+    out.unmarked = sorted(g for g in out.evidence() if corpus_words.issuperset(g.split(" ")))
+    out.markers = sorted({min(g.split(" "), key=lambda x: (x in corpus_words, -len(x), x))
+                          for g in set(out.evidence()).difference(out.unmarked)})
 
-    out = LicenseModel(classes, table, intercepts, markers, 1.0, 0.0)
     held = rows.filter("held_out").select("label", "y", "grams").withColumn("paragraph", F.monotonically_increasing_id())
     scored = written(score(held, out, ["label", "y"]), "licence-held-out")
     truth = F.element_at("scores", F.col("y").cast("int") + 1)
@@ -158,6 +174,19 @@ def score(rows: DataFrame, model: LicenseModel, carry: list[str]) -> DataFrame:
         F.lit(model.intercepts[i]) + F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) for i in range(k)]).alias("scores"))
 
 
+def with_evidence(rows: DataFrame, model: LicenseModel) -> DataFrame:
+    """The rows whose paragraph may have a class other than ``none``: for every class, its
+    n-grams of evidence add at most their sum, which must reach what ``none`` is ahead."""
+    evidence = model.evidence()
+    if not evidence:
+        return rows.limit(0)
+    ahead = max(0.0, model.intercepts[0] - max(model.intercepts[1:]) - 1e-6)
+    gain = F.create_map(*[F.lit(x) for kv in evidence.items() for x in kv])
+    hits = F.filter("grams", lambda g: g.isin(list(evidence)))
+    return with_grams(rows, "paragraph").filter(
+        F.aggregate(hits, F.lit(0.0), lambda a, g: a + F.element_at(gain, g)) > ahead).drop("grams")
+
+
 def predicted(scored: DataFrame, model: LicenseModel) -> DataFrame:
     """``scored`` with the most probable class and its calibrated probability."""
     best = F.array_max("scores")
@@ -183,10 +212,13 @@ def confirmed(found: DataFrame, grams: DataFrame, model: LicenseModel, p: Licens
 def scan(docs: DataFrame, model: LicenseModel, text_col: str = "text", id_col: str = "doc_id",
          p: LicenseParams = LicenseParams()) -> DataFrame:
     """One row per licence paragraph: id, paragraph_no, license, family, probability, template, overlap."""
-    marked = lambda c: F.arrays_overlap(F.split(F.lower(c), r"[^a-z0-9.-]+|[.-](?![a-z0-9])|(?<![a-z0-9])[.-]"),
-                                        F.lit(model.markers))
+    def marked(c: Column) -> Column:
+        found = F.arrays_overlap(F.split(F.lower(c), r"[^a-z0-9.-]+|[.-](?![a-z0-9])|(?<![a-z0-9])[.-]"), F.lit(model.markers).cast("array<string>"))
+        grams = "|".join(r"[^a-z0-9]+".join(map(re.escape, g.split(" "))) for g in model.unmarked)
+        return found | F.lower(c).rlike(rf"(?<![a-z0-9])(?:{grams})") if grams else found
+
     rows = paragraphs(docs.filter(marked(F.col(f"`{text_col}`"))), text_col, F.col(f"`{id_col}`").alias("id"))
-    rows = written(rows.filter(marked(F.col("paragraph"))), "licence-candidates")
+    rows = written(with_evidence(rows.filter(marked(F.col("paragraph"))), model), "licence-candidates")
     distinct = written(with_grams(rows.select("paragraph").distinct(), "paragraph"), "licence-paragraphs")
     found = predicted(score(distinct, model, []), model).filter("family <> 'none'").select("paragraph", "family", "probability")
     found = written(confirmed(written(found, "licence-predicted"), distinct, model, p), "licences")

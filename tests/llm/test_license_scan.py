@@ -52,6 +52,19 @@ def test_the_marker_words_lose_nothing(spark, trained):
     assert got == {r.paragraph for r in full.collect()}
 
 
+def test_ordinary_sentences_with_every_notice_word(spark):
+    """What is found hangs on n-grams: a sample that uses all words of the notices hides none of them."""
+    notices = [t for ts in TEMPLATES.values() for t in ts]
+    vocabulary = sorted({w for r in L.templates(spark).select(L.words(F.col("text")).alias("w")).collect() for w in r.w})
+    rows = [(i, f"Yesterday our {w} stood beside {w} gardens\nand nobody saw another {w} there") for i, w in enumerate(vocabulary)]
+    plain = spark.createDataFrame(rows, "doc_id int, text string").coalesce(4)
+    model = L.train(plain, p=L.LicenseParams(negative_docs=len(rows)))
+    planted = spark.createDataFrame([(i, f"{rows[i][1]}\n{t}") for i, t in enumerate(notices)], "doc_id int, text string").coalesce(4)
+    got = {(r.id, r.paragraph_no): r.license for r in L.scan(planted, model).collect()}
+    want = {(i, 2): f for i, t in enumerate(notices) for f, ts in TEMPLATES.items() if t in ts}
+    assert {k for k in want if got.get(k) == want[k]} == set(want) and set(got) == set(want)
+
+
 def test_query_finds_the_planted_notices(spark):
     from corpusgauge.llm.queries import llm_queries
 
