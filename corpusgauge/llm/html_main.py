@@ -9,7 +9,9 @@
    Nodes are counted as (host, style, content) with partial aggregates, so a host with a third
    of all pages is combined in the tasks that read it.
 3. Presentation decides as well: branches whose tag or class names say what they are (menus,
-   footers, adverts, forms, scripts, reader comments ...) have no importance anywhere.
+   footers, adverts, forms, scripts, reader comments ...) have no importance anywhere.  A class
+   name or id says so if all its words do (``cookie-notice``, not ``has-sidebar``), and never for
+   a branch that holds the main element, or an article on a page with no article elsewhere.
 4. Low branches are removed from each page; the rest of its articles (else its main element,
    else its body) is the text.  The table of low branches is small, written, and joined by host.
 
@@ -70,42 +72,82 @@ ENDS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt
 ENDS = {k: (frozenset(a.split()), b) for k, (a, b) in ENDS.items()}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<""", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAMES = re.compile(r"[a-z]+")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "style", "low", "level", "begin", "end", "block")
+    """``own``: 2 if its tag, role or style says that it is no content, 1 if its names do."""
 
-    def __init__(self, tag, style, low, level, begin):
-        self.tag, self.style, self.low, self.level, self.begin, self.end = tag, style, low, level, begin, begin
+    __slots__ = ("tag", "style", "parent", "own", "header", "low", "level", "begin", "end", "block")
 
+    def __init__(self, tag, style, parent, own, header, begin):
+        self.tag, self.style, self.parent, self.own, self.header = tag, style, parent, own, header
+        self.begin, self.end = begin, begin
+        self.place()
 
-def looks(tag: str, attrs: str, level: int) -> tuple[str, bool]:
-    """(class names as a style, whether the element's own look says it is not content)."""
-    names: list[str] = []
-    low = tag in DROP or (tag == "header" and not level)
+    def place(self) -> None:
+        """Whether it lies in a low branch, and the level: 2 in an article, 1 in the main element."""
+        low, level = (self.parent.low, self.parent.level) if self.parent else (False, 0)
+        self.low = low or self.own > 0 or (self.header and not level)
+        self.level = 0 if self.low else 2 if self.tag == "article" else max(level, self.tag == "main")
+
+
+def looks(tag: str, attrs: str) -> tuple[str, int, bool]:
+    """(class names as a style, whether the element's own look says it is not content: 2 by tag,
+    role or style, 1 by names; whether it is a header, which is content in articles only)."""
+    words: list[str] = []
+    tokens: list[list[str]] = []
+    low, seen = tag in DROP, set()
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
+        if key in seen:  # the first one counts
+            continue
+        seen.add(key)
         if key in ("class", "id"):
-            names += NAMES.findall(value)
+            tokens += [NAMES.findall(x) for x in value.split()]
+            words += NAMES.findall(value)
         elif key == "role":
-            low |= value in ROLES
+            low |= value.strip() in ROLES
         elif key == "hidden":
             low = True
-        elif "display:none" in value.replace(" ", ""):
-            low = True
+        elif key == "style":
+            low |= "display:none" in "".join(value.split())
+    cues, header = False, tag == "header"
     if tag not in ("html", "body", "article", "main"):
-        low |= not CUES.isdisjoint(names) or ("header" in names and not level)
+        cues = any(t and CUES.issuperset(t) for t in tokens)
+        header |= ["header"] in tokens
     elif tag == "article":
-        low |= not {"comment", "comments", "reply", "replies", "related"}.isdisjoint(names)
-    return ".".join(sorted(set(names))), low
+        cues = any(t and {"comment", "comments", "reply", "replies", "related"}.issuperset(t) for t in tokens)
+    return ".".join(sorted(set(words))), 2 if low else int(cues), header
+
+
+def free_main(elements: list[Element]) -> None:
+    """Names never remove a branch with the main element, nor one with an article if no article
+    lies elsewhere."""
+    held = [e for e in elements if e.own == 0 and e.low and e.tag in ("article", "main")]
+    article = any(e.tag == "article" and not e.low for e in elements)
+    freed = False
+    for e in held:
+        if e.tag == "article" and article:
+            continue
+        above, x = [], e.parent
+        while x is not None:
+            above.append(x)
+            x = x.parent
+        if all(x.own < 2 and not (x.own == 1 and x.tag == "article") for x in above):
+            freed = True
+            for x in above:
+                x.own, x.header = 0, False
+    if freed:
+        for e in elements:
+            e.place()
 
 
 def parse(html: str, low_styles: frozenset[int] = frozenset()) -> tuple[list[Element], list[tuple[str, Element, int]]]:
     """(elements, texts): each text with its element and its block's number."""
-    root = Element("", 0, False, 0, 0)
+    root = Element("", 0, None, 0, False, 0)
     elements, texts, stack, opened = [], [], [root], Counter()
     block, at, size = 0, 0, len(html)
 
@@ -156,12 +198,11 @@ def parse(html: str, low_styles: frozenset[int] = frozenset()) -> tuple[list[Ele
                 i = j
             close(i)
         parent = stack[-1]
-        names, low = looks(tag, m.group(3), parent.level)
+        names, own, header = looks(tag, m.group(3))
         style = xxhash.xxh3_64_intdigest(f"{parent.style}>{tag}.{names}")
-        level = 2 if tag == "article" else max(parent.level, tag == "main")
         if tag not in KEEP and style in low_styles:
-            low = True
-        e = Element(tag, style, parent.low or low, 0 if low else level, len(texts))
+            own = 2
+        e = Element(tag, style, parent, own, header, len(texts))
         if tag in BLOCK:
             block += 1
         if tag in VOID or (m.group(3).endswith("/") and tag not in BLOCK):
@@ -173,6 +214,7 @@ def parse(html: str, low_styles: frozenset[int] = frozenset()) -> tuple[list[Ele
         stack.append(e)
         opened[tag] += 1
     close(1)
+    free_main(elements)
     return elements, texts
 
 

@@ -27,6 +27,23 @@ def test_cases():
         assert main_text(page) == want, page and page[:80]
 
 
+KEPT = [
+    '<div><a href="/hidden-lake" title="The hidden cost">a</a></div><p aria-hidden="false">b</p>',
+    '<div data-id="related">a</div><p><a href="/s?id=comments">b</a></p>',
+    '<div class="layout has-sidebar"><article><p>a<p>b</article></div>',
+    '<body id="search-page"><div id="search-page"><p>a<p>b</div></body>',
+    '<div class="sidebar"><nav>menu</nav><main><p>a<p>b</main></div>',
+    '<div class="widget"><div><article><p>a<p>b</article></div></div>',
+    '<article><p>a<p>b</article><div class="related"><article><p>teaser</article></div>',
+    '<div style="color: red" data-style="display:none">a</div><p>b</p><div style="DISPLAY : none">no</div><div hidden="">no</div>',
+]
+
+
+def test_only_whole_names_drop_content():
+    for page in KEPT:
+        assert main_text(page) == "a\n\nb", page
+
+
 def plain(page):
     """An independent reading of the pages of the test table."""
     body = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
