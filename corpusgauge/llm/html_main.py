@@ -6,8 +6,9 @@
 2. For each node of the tree: on how many pages it occurs, and the entropy of its contents
    over its occurrences, as a share of the highest that so many occurrences can have.  A
    branch that is on most pages of a host and says the same on them is of low importance.
-   Nodes are counted as (host, style, content) with partial aggregates, so a host with a third
-   of all pages is combined in the tasks that read it.
+   Pages of a host with the same texts count once, however many copies there are: they are
+   grouped by (host, page) with partial aggregates, and their nodes counted as (host, style,
+   content), so a host or a page with a third of all rows is combined in the tasks that read it.
 3. Presentation decides as well: branches whose tag or class names say what they are (menus,
    footers, adverts, forms, scripts, reader comments ...) have no importance anywhere.  A class
    name or id says so if all its words do (``cookie-notice``, not ``has-sidebar``), and never for
@@ -16,8 +17,7 @@
    else its body) is the text.  The table of low branches is small, written, and joined by host.
 
 Entropy alone never removes an article, a paragraph or a heading, and removes nothing on a host
-with fewer than ``min_pages`` pages, or whose pages say the same everywhere (copies): relative
-importance says nothing there.
+with fewer than ``min_pages`` different pages.
 
 Blocks: character references are decoded, white space becomes one space, empty blocks vanish;
 blocks are joined by two line feeds.  A null or empty page gives an empty text, a null url is a
@@ -43,9 +43,9 @@ from corpusgauge.llm.common import tune, written
 
 @dataclass(frozen=True)
 class StyleParams:
-    min_pages: int = 10        # pages of a host from which its tree counts
-    min_share: float = 0.6     # of a host's pages that have the node
-    importance: float = 0.25   # content entropy, relative to the host's highest, below which a branch goes
+    min_pages: int = 10        # different pages of a host from which its tree counts
+    min_share: float = 0.6     # of a host's different pages that have the node
+    importance: float = 0.25   # relative content entropy below which a branch goes
 
 
 # Elements and class names by what they are.
@@ -260,23 +260,34 @@ def host_of(url: str):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, style, n_pages, entropy): the nodes of the hosts' style trees.  Style 0 is the page."""
+    """(host, style, n_pages, entropy): the nodes of the hosts' style trees over their different
+    pages.  Style 0 is the page."""
     tune(pages.sparkSession)
 
     def run(batches):
         for batch in batches:
-            counts: Counter = Counter()
+            rows = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.update((host, *x) for x in style_contents(html))
-            rows = list(counts)
+                nodes = sorted(style_contents(html))
+                page = next(c for style, c in nodes if style == 0)
+                flat = [x for node in nodes for x in node]
+                key = (host, page)
+                if key not in rows or flat < rows[key]:
+                    rows[key] = flat
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
-                + [pa.array(counts.values(), pa.int64())], names=["host", "style", "content", "n"])
+                [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int64()),
+                 pa.array(list(rows.values()), pa.list_(pa.int64()))], names=["host", "page", "nodes"])
 
     rows = pages.select(host_of(url_col).alias("host"), F.col(f"`{html_col}`").alias("html")).mapInArrow(
-        run, "host string, style bigint, content bigint, n bigint")
+        run, "host string, page bigint, nodes array<bigint>")
+    # pages with the same texts but other elements: the smallest nodes, the same whatever the order
+    distinct = rows.groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
+    at = F.sequence(F.lit(0), F.size("nodes") - 1, F.lit(2))
+    node = F.transform(at, lambda i: F.struct(F.get("nodes", i).alias("style"), F.get("nodes", i + 1).alias("content")))
+    counted = distinct.select("host", F.explode(node).alias("x")).groupBy("host", "x.style", "x.content").agg(
+        F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("double")
-    return (rows.groupBy("host", "style", "content").agg(F.sum("n").alias("n")).groupBy("host", "style")
+    return (counted.groupBy("host", "style")
             .agg(F.sum("n").alias("n_pages"),
                  F.when(F.sum(n) > 1, (F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)) / F.log(F.sum(n)))
                  .otherwise(1.0).alias("entropy")))
@@ -284,10 +295,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def low_branches(tree: DataFrame, p: StyleParams = StyleParams()) -> DataFrame:
     """(host, styles): the branches of low importance of each host that has any."""
-    page = tree.filter("style = 0").select("host", F.col("n_pages").alias("pages"), F.col("entropy").alias("highest"))
+    page = tree.filter("style = 0").select("host", F.col("n_pages").alias("pages"))
     node = tree.filter("style <> 0").join(page.filter(F.col("pages") >= p.min_pages), "host")
-    low = node.filter((F.col("n_pages") >= p.min_share * F.col("pages")) & (F.col("highest") > 0.5)
-                      & (F.col("entropy") < p.importance * F.col("highest")))
+    low = node.filter((F.col("n_pages") >= p.min_share * F.col("pages")) & (F.col("entropy") < p.importance))
     return low.groupBy("host").agg(F.collect_set("style").alias("styles"))
 
 

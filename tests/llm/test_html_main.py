@@ -88,3 +88,14 @@ def test_low_branches_by_entropy(spark):
     low = {r.host: len(r.styles) for r in low_branches(style_tree(df, "url", "html"), StyleParams()).collect()}
     assert low == {"a.example": 3}
     assert extract(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_page_do_not_switch_the_tree_off(spark):
+    """On a host where 60 of 90 pages are copies of one, the others lose what they lose without the copies."""
+    rows = site(30)
+    copies = [(1000 + i, f"https://a.example/c{i}", rows[0][2]) for i in range(60)]
+    frame = lambda x: spark.createDataFrame(x, "page_id int, url string, html string").repartition(4)
+    alone = {r.page_id: r.text for r in extract(frame(rows)).collect()}
+    got = {r.page_id: r.text for r in extract(frame(rows + copies)).collect()}
+    assert alone == {i: f"Story {i} says {i * 7}." for i in range(30)}
+    assert got == alone | {1000 + i: alone[0] for i in range(60)}
