@@ -29,7 +29,7 @@ def word_regex(pattern: str) -> str:
 
 def keyword_dictionary(keywords: dict[str, list[str]] | None = None):
     """[(category, ord, severity, [keywords...])] in dictionary order."""
-    kw = keywords or X.KEYWORDS_ENGLISH
+    kw = keywords or X.KEYWORDS
     return [(c, i, X.SEVERITY.get(c, 1), words) for i, (c, words) in enumerate(kw.items())]
 
 
