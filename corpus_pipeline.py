@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates (similarity of 85 % or more, as op3)."""
     from corpusgauge.llm.minhash import drop_near_duplicates
 
     return drop_near_duplicates(docs)
