@@ -283,3 +283,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("embedding"))
     return mine(e, F.col("id") % 100 == 0).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS pos FROM r),
+lists AS (SELECT rid, list(pos) AS pos FROM gone GROUP BY rid),
+k AS (
+  SELECT d.rid, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) d
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = d.rid AND gone.pos = d.pos) GROUP BY d.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(pos), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
+@llm_query("op12_repeated_words", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.substrings import remove_repeated_words
+
+    return remove_repeated_words(load(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
