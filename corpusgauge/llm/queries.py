@@ -306,3 +306,39 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return remove_repeated_words(load(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, {LOWER} AS t FROM documents),
+p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM p, unnest([1, 2, 3]) AS ks(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, a, j, x.n AS l, y.n AS r, ((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM c, unnest(range(1, c.k)) AS u(j)
+  JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(list_slice(w, 1, j), ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(list_slice(w, j + 1, c.k), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + 1), ' ') AS phrase, max(a) AS most
+  FROM c, unnest([1, 2]) AS u(i) WHERE k = 3 GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ i ON b.lang = i.lang AND b.phrase = i.phrase AND b.k = 2
+  WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000
+"""
+
+
+@llm_query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusgauge.llm.collocations import collocations
+
+    return collocations(load(spark, sf_dir, "documents"))
