@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusgauge.plans.registry import load, query
 from corpusgauge.plans.service_plans import TYPE_CAT
 from corpusgauge.session import scratch_path
-from corpusgauge.streaming.dashboard import run_dashboard_stream
+from corpusgauge.streaming.dashboard import run_additive_dashboard, run_dashboard_stream
 
 
 def event_reports(ev):
@@ -54,3 +54,17 @@ def dashboard_stream(spark, sf_dir):
     # (a pattern, because the file source takes a plain path to be a folder)
     src = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
     return run_dashboard_stream(spark, src, event_reports, scratch_path(spark, "dashboard-stream"))
+
+
+FILES_AT_A_TIME = 4   # of the stream that reads the events in any order
+
+
+@query("dashboard_stream_any_order", STREAM_SQL, ops="ST1 F7 S30 A17")
+def dashboard_stream_any_order(spark, sf_dir):
+    """The events arrive in files whose order has nothing to do with their time, a few at a time:
+    most of them are late, and all of them count."""
+    events = load(spark, sf_dir, "events")
+    folder = scratch_path(spark, "event-files")
+    events.repartition(12, F.xxhash64("event_id")).write.parquet(folder)
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_AT_A_TIME).parquet(folder)
+    return run_additive_dashboard(spark, src, event_reports, scratch_path(spark, "dashboard-any-order"), snapshot_every=2)
