@@ -15,7 +15,7 @@ from corpusgauge.plans.registry import load, query, sql_list, sql_str
 
 def _kw_values_sql() -> str:
     rows = []
-    for order, (cat, words) in enumerate(X.KEYWORDS_ENGLISH.items()):
+    for order, (cat, words) in enumerate(X.KEYWORDS.items()):
         for pos, w in enumerate(words):
             rows.append(f"({sql_str(cat)}, {order}, {pos}, {sql_str(w.lower())}, {X.SEVERITY.get(cat, 1)})")
     return ", ".join(rows)

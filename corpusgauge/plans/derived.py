@@ -11,7 +11,7 @@ from corpusgauge.functions import text as T
 from corpusgauge.operators import classify as C
 from corpusgauge.operators import quality as Q
 from corpusgauge.operators.common import top_k
-from corpusgauge.plans.classify_plans import AGE_SQL, _relation_sql
+from corpusgauge.plans.classify_plans import AGE_SQL, _classified, _relation_sql, classify_sql
 from corpusgauge.plans.corpus import CLEAN_CTE, TAG_SQL, WS_RUN_SQL
 from corpusgauge.plans.registry import load, query, sql_list, sql_str
 
@@ -20,6 +20,13 @@ CASE_ENDINGS = [
     "", " The mother, aged 72 years, was beaten by her son.", " ৬৫ বছর বয়সী বাবা, তার ছেলে মারধর করে।",
     " My father is 130 years old; a neighbor helped.", " grandmother 80 years old, daughter-in-law", " স্বামী ও বৃদ্ধা, 45 age.",
 ]
+# Complaints with Bangla, English and mixed keywords: overlapping ones, one inside another, several
+# categories, equal hits, capitals, keywords at the ends and joined to other words.
+COMPLAINT_ENDINGS = [
+    "", " ছেলে আমাকে মারধর করেছে এবং আঘাত পেয়েছি", " তার ছেলে জমি ও টাকা নিয়েছে", " তারা আমাকে CARE করে না", "লাশ", " They hit করেছে, HIT again",
+    " খাবার দেয় না, ওষুধ দেয় না; property and pension", "beatingbeaten slapped", " হত্যার হুমকি ও গালি", " left alone, no food, no medicine",
+    " খুন", " বৃদ্ধাশ্রমে ফেলে গেছে", " abandoned and insulted and beaten", " টাকা টাকা টাকা money",
+]
 # What replaces a document's text, by id modulo their number; None: the text stays.
 DOCUMENT_TEXTS = [
     None, None, "subscribe to my channel https://t.me/x", "😀😀 !!", "ab", "  ৭২  ", "বাবা মাকে খাবার দেয় না।  ছেলে খাবার চায়",
@@ -86,3 +93,22 @@ def bangla_tokens_cases(spark, sf_dir):
     counts = toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     return top_k(counts, ["lang"], [F.col("n").desc(), F.col("token")], 10).select(
         "lang", "token", F.col("n").cast("bigint").alias("n"), "rank")
+
+
+COMPLAINTS_SQL = (f"(SELECT conv_id, turn, coalesce(text, '') || {pick_sql('conv_id + turn', COMPLAINT_ENDINGS, 'text')} AS text"
+                  " FROM conversations)")
+
+
+@query("keyword_classify_cases", classify_sql(COMPLAINTS_SQL, "conv_id, turn"), ops="R1 R2 W6 J7 F10")
+def keyword_classify_cases(spark, sf_dir):
+    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    ending = pick(F.col("conv_id") + F.col("turn"), COMPLAINT_ENDINGS, F.col("text"))
+    return _classified(conv.withColumn("text", F.concat(F.coalesce("text", F.lit("")), ending)), ["conv_id", "turn"])
+
+
+@query("document_classify_cases", f"""
+WITH c AS ({classify_sql(DOCS_SQL, "doc_id")})
+SELECT category, matched, severity, confidence, count(*)::BIGINT AS n FROM c GROUP BY ALL""", ops="R1 R2 J7 A1")
+def document_classify_cases(spark, sf_dir):
+    c = _classified(derived_documents(spark, sf_dir), ["doc_id"])
+    return c.groupBy("category", "matched", "severity", "confidence").agg(F.count(F.lit(1)).alias("n"))

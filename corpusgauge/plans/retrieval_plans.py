@@ -11,8 +11,10 @@ from corpusgauge.functions.text import WS_RUN_REGEX
 from corpusgauge.operators import classify as C
 from corpusgauge.operators import retrieval as RT
 from corpusgauge.operators.common import shared_table
+from corpusgauge.operators.vector_index import VectorIndex
 from corpusgauge.plans.classify_plans import classify_sql
 from corpusgauge.plans.registry import load, query, sql_list, sql_str
+from corpusgauge.session import scratch_path
 
 KB_VALUES = ", ".join(f"({i}, {sql_str(s)}, {sql_str(t)}, {sql_list(tags)})"
                       for i, (s, t, tags) in enumerate(X.KB_SECTIONS))
@@ -89,3 +91,42 @@ SELECT label, rank::INTEGER AS rank, vec_id, round(sim, 3) AS similarity FROM r
 def vector_topk(spark, sf_dir):
     corpus = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return RT.cosine_top_k(corpus, "vec_id", "embedding", label_centroids(spark, sf_dir), "label", "qv", 3)
+
+
+NEIGHBOURS = 10   # of each vector whose id is divisible by 100
+PROBES = 16       # lists that the inexact search visits
+
+
+def _indexed(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex.build(vectors, "vec_id", "embedding", scratch_path(spark, "vector-index"))
+    return index, vectors.filter(F.col("vec_id") % 100 == 0)
+
+
+@query("vector_index_topk", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS vec_id, e.vec_id AS neighbour_id,
+             list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))) AS sim
+      FROM e q JOIN e ON q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 12) DESC, neighbour_id) AS rank FROM s)
+SELECT vec_id, rank::INTEGER AS rank, neighbour_id, round(sim, 6) AS similarity FROM r WHERE rank <= {NEIGHBOURS}""", ops="J14")
+def vector_index_topk(spark, sf_dir):
+    """The exact search of the stored index."""
+    index, queries = _indexed(spark, sf_dir)
+    return index.search(queries, "vec_id", "embedding", NEIGHBOURS, PROBES, exact=True).select(
+        F.col("qid").alias("vec_id"), "rank", F.col("did").alias("neighbour_id"), F.round("sim", 6).alias("similarity"))
+
+
+@query("vector_index_recall", f"""
+SELECT count(*)::BIGINT AS n_queries,
+       (count(*) * least({NEIGHBOURS}, (SELECT count(*) FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)))::BIGINT AS n_neighbours,
+       true AS recall_reached
+FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL""", ops="J14")
+def vector_index_recall(spark, sf_dir):
+    """Of the exact neighbours of all queries, the share that the inexact search finds: 0.9 or more."""
+    index, queries = _indexed(spark, sf_dir)
+    true = index.search(queries, "vec_id", "embedding", NEIGHBOURS, PROBES, exact=True)
+    found = index.search(queries, "vec_id", "embedding", NEIGHBOURS, PROBES).select("qid", "did", F.lit(1).alias("found"))
+    return true.join(found, ["qid", "did"], "left").agg(
+        F.countDistinct("qid").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
