@@ -2,9 +2,9 @@
 
 Every aggregate is a Spark ``groupBy``/``agg`` with map-side partial
 aggregation; ordered outputs use :func:`top_k` (partial WindowGroupLimit) so
-no group is ever sorted whole in one task.  Exact percentiles use Spark's
-``percentile`` whose buffer is a value -> count map: its size is bounded by the
-number of distinct values (text lengths), not by the number of rows.
+no group is ever sorted whole in one task.  Exact percentiles are found by rank
+(:func:`group_quantiles`): values are counted, the counts are dealt by ranges of (group,
+value), and only the values at the wanted ranks go on, so no task holds a group.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.operators.common import numbered, shared_table, top_k
+from corpusgauge.operators.common import join_one_row, numbered, shared_table, top_k
 
 
 def value_counts(df: DataFrame, *cols, name: str = "n") -> DataFrame:
@@ -60,46 +60,89 @@ def label_share(df: DataFrame, group: str, label_col: str, label, digits: int =
         F.round(F.avg(F.when(F.col(label_col) == label, 1.0).otherwise(0.0)), digits).alias("share"))
 
 
+def value_counts(df: DataFrame, groups: list[str], col: str) -> DataFrame:
+    """(groups..., _v, _n, _pid, _row): how often each value of ``col`` (nulls left out) occurs in
+    each group, dealt and sorted by (group, value) and written.  The only shuffles of the rows: a
+    partial aggregate and the ranges of its result, over which a frequent group spreads."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*groups, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return numbered(counts, [*groups, "_v"])
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] or [F.lit(True)]
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def group_quantiles(counts: DataFrame, groups: list[str], qs: dict[str, float]) -> DataFrame:
+    """(groups..., n, sum, and one column for each of ``qs``): exact linearly interpolated quantiles of
+    the values counted by :func:`value_counts`, for all groups and all quantiles at once.
+
+    A value holds the ranks from the number of smaller ones on: the rows before it in its range
+    (a running sum inside the range) and in the ranges before it (a row for each group and range).
+    Of a quantile between two ranks both values are kept: two rows at most for each of ``qs``."""
+    parts = shared_table(counts.groupBy(*groups, "_pid").agg(F.sum("_n").alias("_s"), F.sum(F.col("_v") * F.col("_n")).alias("_t")), "range-counts")
+    of_group = Window.partitionBy(*groups)
+    offsets = parts.select(*groups, "_pid", F.sum("_s").over(of_group).alias("n"), F.coalesce(
+        F.sum("_s").over(of_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    offsets = shared_table(offsets, "range-offsets")
+    placed = null_safe(counts, offsets, [*groups, "_pid"])
+    inside = Window.partitionBy("_pid", *groups).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_to", F.col("_off") + F.sum("_n").over(inside))
+    at = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    first, last = F.col("_to") - F.col("_n"), F.col("_to") - 1   # ranks from 0
+    holds = lambda rank: (first <= rank) & (rank <= last)
+    hits = [(f"_{side}_{name}", holds(edge(x))) for name, x in at.items() for side, edge in (("lo", F.floor), ("hi", F.ceil))]
+    any_hit = hits[0][1]
+    for _, hit in hits[1:]:
+        any_hit = any_hit | hit
+    found = placed.filter(any_hit).groupBy(*groups, "n").agg(*[F.max(F.when(hit, F.col("_v"))).cast("double").alias(c) for c, hit in hits])
+    quantiles = [(F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (x - F.floor(x))).alias(name) for name, x in at.items()]
+    sums = parts.groupBy(*groups).agg(F.sum("_t").alias("sum"))
+    out = found.select(*groups, "n", *quantiles)
+    return null_safe(out, sums, groups) if groups else join_one_row(out, sums)
+
+
 def length_stats(df: DataFrame, col: str) -> DataFrame:
-    """N, mean, median, p90, max (linear-interpolated percentiles)."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(col), 4).alias("mean_len"),
-        F.round(F.percentile(F.col(col), 0.5), 4).alias("median_len"),
-        F.round(F.percentile(F.col(col), 0.9), 4).alias("p90_len"),
-        F.max(col).cast("bigint").alias("max_len"))
+    """N, mean, median, p90, max (linear-interpolated percentiles) of all rows; n counts null
+    values, the others leave them out."""
+    counts = value_counts(df.select(col), [], col)
+    q = group_quantiles(counts, [], {"_med": 0.5, "_p90": 0.9})
+    rest = df.agg(F.count(F.lit(1)).alias("_rows"), F.round(F.avg(col), 4).alias("mean_len"), F.max(col).cast("bigint").alias("max_len"))
+    out = rest.join(q, F.lit(True), "left")   # one row each
+    return out.select(F.col("_rows").alias("n"), "mean_len", F.round("_med", 4).alias("median_len"),
+                      F.round("_p90", 4).alias("p90_len"), "max_len")
 
 
 def box_stats(df: DataFrame, group: str, col: str) -> DataFrame:
-    """Quartiles, truncated median, mean and whiskers (no fliers).
-
-    Two aggregations: quartiles per group, then -- after a join back on the
-    group key (a many-to-one join, broadcast because there is one row per
-    group) -- the extreme values inside the 1.5 IQR fences."""
-    q = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile(F.col(col), 0.25).alias("q1"),
-        F.percentile(F.col(col), 0.5).alias("med"),
-        F.percentile(F.col(col), 0.75).alias("q3"),
-        F.avg(col).alias("mean_len"))
-    j = df.join(F.broadcast(q), group)
+    """Quartiles, truncated median, mean and whiskers (no fliers) of each group (a null group
+    is one, too), over the rows with a value.
+
+    The rows are counted once per group and value; quartiles and, with the 1.5 IQR fences, the
+    extreme values inside them come from those counts."""
+    counts = value_counts(df.select(group, col), [group], col)
+    q = shared_table(group_quantiles(counts, [group], {"q1": 0.25, "med": 0.5, "q3": 0.75}), "quartiles")
+    j = null_safe(counts.select(group, "_v"), q, [group])
     iqr = F.col("q3") - F.col("q1")
-    return j.groupBy(group, "n", "q1", "med", "q3", "mean_len").agg(
-        F.min(F.when(F.col(col) >= F.col("q1") - 1.5 * iqr, F.col(col))).cast("bigint").alias("whisker_low"),
-        F.max(F.when(F.col(col) <= F.col("q3") + 1.5 * iqr, F.col(col))).cast("bigint").alias("whisker_high"),
-    ).select(group, F.col("n").cast("bigint").alias("n"), F.round("q1", 4).alias("q1"),
-             F.floor("med").cast("bigint").alias("median_int"), F.round("med", 4).alias("median"),
-             F.round("q3", 4).alias("q3"), F.round("mean_len", 2).alias("mean_len"),
-             "whisker_low", "whisker_high")
+    fences = j.groupBy(group).agg(
+        F.min(F.when(F.col("_v") >= F.col("q1") - 1.5 * iqr, F.col("_v"))).cast("bigint").alias("whisker_low"),
+        F.max(F.when(F.col("_v") <= F.col("q3") + 1.5 * iqr, F.col("_v"))).cast("bigint").alias("whisker_high"))
+    return null_safe(q, fences, [group]).select(
+        group, F.col("n").cast("bigint").alias("n"), F.round("q1", 4).alias("q1"),
+        F.floor("med").cast("bigint").alias("median_int"), F.round("med", 4).alias("median"),
+        F.round("q3", 4).alias("q3"), F.round(F.col("sum") / F.col("n"), 2).alias("mean_len"),
+        "whisker_low", "whisker_high")
 
 
 def missing_and_age_stats(df: DataFrame, col: str) -> DataFrame:
     """Valid count, min, max, mean, median of a lenient numeric column."""
-    return df.agg(
-        F.count(F.col(col)).alias("n_valid"),
-        F.min(col).alias("min_value"), F.max(col).alias("max_value"),
-        F.round(F.avg(col), 4).alias("mean_value"),
-        F.round(F.percentile(F.col(col), 0.5), 4).alias("median_value"))
+    counts = value_counts(df.select(col), [], col)
+    median = group_quantiles(counts, [], {"_med": 0.5})
+    rest = df.agg(F.count(F.col(col)).alias("n_valid"), F.min(col).alias("min_value"), F.max(col).alias("max_value"),
+                  F.round(F.avg(col), 4).alias("mean_value"))
+    return rest.join(median, F.lit(True), "left").select(
+        "n_valid", "min_value", "max_value", "mean_value", F.round("_med", 4).alias("median_value"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 12) -> DataFrame:
