@@ -6,12 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
+from corpusgauge.functions.text import ustrip
 from corpusgauge.operators import agreement as AG
 from corpusgauge.operators import labels as L
 from corpusgauge.operators import quality as Q
 from corpusgauge.operators import sampling as S
-from corpusgauge.operators.common import join_one_row
+from corpusgauge.operators.common import join_one_row, shared_table
 from corpusgauge.plans.registry import load, query
+from corpusgauge.session import scratch_path
+from corpusgauge.sources import upsert as UP
+from corpusgauge.sources import workbooks as WB
 
 POL_SQL = ("CASE WHEN toxic = 1 THEN 'Negative' WHEN quality = 1 THEN 'Positive' ELSE 'Neutral' END")
 POL_CODE_SQL = "CASE WHEN toxic = 1 THEN 'Neg' WHEN quality = 1 THEN 'Pos' ELSE 'Neu' END"
@@ -438,3 +442,45 @@ def review_sheet(spark, sf_dir):
     return Q.order_by_length(sel, "text", "doc_id").select(
         "doc_id", F.col("polarity").alias("current_value"), F.col("polarity").alias("new_value"),
         F.length("text").cast("bigint").alias("text_len"), F.col("text").alias("full_text"), "lang", "source")
+
+
+# -- rater workbooks and corrections of a stored table --------------------------------
+
+@query("rater_workbooks", f"""
+WITH {RATER_CTE}
+SELECT rater, CAST(doc_id AS VARCHAR) AS comment_id, polarity, silver AS emotion FROM rl""", ops="IO4 P6")
+def rater_workbooks(spark, sf_dir):
+    """The raters' sheets as workbooks (a few hundred rows each here), read back as their long table."""
+    long = rater_long(spark, sf_dir).select(
+        F.concat(F.lit("annotator_"), "rater", F.lit(".xlsx")).alias("path"), F.col("doc_id").cast("string").alias("comment_id"),
+        F.when(F.col("polarity") != "", F.concat(F.lit(" "), "polarity", F.lit(" "))).alias("polarity"), F.col("silver").alias("emotion"))
+    books = shared_table(WB.workbooks(long, "path", "comment_id", WB.RATER_COLUMNS, "Annotate", per_book=1000), "workbooks")
+    rows = WB.workbook_rows(books, "Annotate", WB.RATER_COLUMNS)
+    return rows.select(F.regexp_extract("path", "annotator_([^_.]+)", 1).alias("rater"),
+                       *[ustrip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in WB.RATER_COLUMNS])
+
+
+@query("correction_upsert", f"""
+WITH {SPLIT_CTE},
+t AS (SELECT s.split, s.doc_id, l.quality, d.doc_id IS NOT NULL AS fix FROM split s JOIN labels l USING (doc_id)
+      LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars < 200) d ON d.doc_id = s.doc_id AND s.split = 'test' AND l.quality = 1)
+SELECT split, count(*)::BIGINT AS n, sum(CASE WHEN fix THEN 0 ELSE quality END)::BIGINT AS quality_sum,
+       count(*) FILTER (WHERE fix)::BIGINT AS n_applied, bool_or(fix) AS rewritten
+FROM t GROUP BY split""", ops="J11 J12 IO8")
+def correction_upsert(spark, sf_dir):
+    """Corrections of the test split in a table stored by split: the other splits' files stay."""
+    path = scratch_path(spark, "labels-by-split")
+    rows = load(spark, sf_dir, "labels").join(split_frame(spark, sf_dir).select("doc_id", "split"), "doc_id")
+    rows.write.partitionBy("split").parquet(path)
+    before = shared_table(UP.file_times(spark, path), "file-times")
+    fixes = spark.read.parquet(path).filter("split = 'test' and quality = 1").join(
+        load(spark, sf_dir, "documents").filter("n_chars < 200").select("doc_id"), "doc_id", "left_semi").select(
+        "doc_id", F.col("quality").alias("old"), F.lit(0).cast("int").alias("new"))
+    fixes = shared_table(fixes, "corrections")
+    UP.correct_partitions(spark, path, fixes, "doc_id", "quality", ["split"])
+    of_split = F.regexp_extract("path", "split=([^/]+)", 1).alias("split")
+    kept = before.join(UP.file_times(spark, path), ["path", "modified"]).select(of_split, F.lit(True).alias("_kept")).distinct()
+    hits = fixes.join(split_frame(spark, sf_dir).select("doc_id", "split"), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n_applied"))
+    after = spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("bigint").alias("quality_sum"))
+    return after.join(kept, "split", "left").join(hits, "split", "left").select(
+        "split", "n", "quality_sum", F.coalesce("n_applied", F.lit(0)).cast("bigint").alias("n_applied"), F.col("_kept").isNull().alias("rewritten"))
