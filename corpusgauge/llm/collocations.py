@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z), cut at ``.,;:!?`` and 0A-0D (hex) into pieces, and
 spaces and tabs; n-grams of 1 to ``longest`` words are counted within pieces, per language.
 
 1. Chunks.  A task packs the pieces it reads into chunks of ``chunk`` bytes, one written row each.
-2. Summaries.  A chunk's n-grams are hashed; the hash names one of P partitions and a key in it.
+2. Summaries.  A chunk's n-grams are hashed to keys, whose upper bits name one of P partitions.
    For each partition a chunk gives one row: its sorted keys, their counts, and their mass (the sum
    of the counts).  These are Misra-Gries summaries with as many counters as keys.
 3. Merging.  A partition's task knows the partition's whole mass M and merges the summaries with
@@ -12,12 +12,13 @@ spaces and tabs; n-grams of 1 to ``longest`` words are counted within pieces, pe
    (C+1)-st largest count is taken from all, and what is not positive goes.  Each such step takes
    its amount from C + 1 counters at least, so all steps together take D < M / C < ``least`` from a
    key: every n-gram that occurs ``least`` times survives.  Keys whose count plus D stays below
-   ``least`` go as well.  Two n-grams with one key only make more survive.
-4. Recount.  Each chunk gets back which of its keys survived and counts those n-grams exactly, by
-   their words; the counts are added per language and phrase, and rare ones go.
+   ``least`` go as well.
+4. Recount.  A second pass over the same rows adds up the survivors' counts exactly; the rare ones
+   go.  Each frequent n-gram is given back to one of the chunks that have it, which names its words.
 
-No n-gram leaves a task before step 4 but as a few bits of a sorted list of keys, a frequent one is
-one counter a chunk, and nothing is sent to all tasks.
+An n-gram leaves a chunk as a few bytes of a sorted list of keys, a frequent one is one counter a
+chunk, its words leave one chunk, and nothing is sent to all tasks.  N-grams are told apart by
+64-bit hashes of their words and language.
 
 A null text is empty, a null language ``und``.  Repeated rows count each time, ids are not read.  A
 long text is cut at the ends of pieces; a task holds one chunk, or one longer piece.  An empty table gives no rows.
@@ -44,8 +45,8 @@ class CollocationParams:
     longest: int = 3                    # words of a phrase
     least: int = 10                     # occurrences of a phrase
     inside: int = 50                    # percent of them inside one longer phrase: dropped
-    chunk: int = 6 << 20                # bytes of text whose n-grams are counted together
-    partition: int = 16 << 20           # bytes of text for each hash partition
+    chunk: int = 4 << 20                # bytes of text whose n-grams are counted together
+    partition: int = 8 << 20            # bytes of text for each hash partition
     slack: int = 2                      # counters of a summary: this times mass / least
 
 
@@ -103,6 +104,12 @@ def chunk_rows(docs: DataFrame, text_col: str, lang_col: str, p: CollocationPara
     return written(texts.mapInArrow(run, "chunk bigint, langs array<string>, sizes array<bigint>, blob binary"), "chunks", "uncompressed")
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch of chunks, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in batch.columns]
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     """A 64-bit hash of each word, of some words at a time."""
     values, _, _, _ = constants()
@@ -145,15 +152,9 @@ class Words:
         return first, mixed(h)
 
 
-def all_grams(words: Words, p: CollocationParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [words.grams(k) for k in range(1, p.longest + 1)]
-    return (np.concatenate([f for f, _ in parts]), np.concatenate([h for _, h in parts]),
-            np.repeat(np.arange(1, p.longest + 1), [len(f) for f, _ in parts]))
-
-
-def placed(h: np.ndarray, partitions: int) -> np.ndarray:
-    """Partition (upper half) and key in it (lower half) of the hashes."""
-    return ((h >> np.uint64(32)) % np.uint64(partitions)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
+def bounds(partitions: int) -> np.ndarray:
+    """The smallest key of each partition but the first."""
+    return np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64)
 
 
 def packed_list(x: np.ndarray) -> bytes:
@@ -166,28 +167,38 @@ def unpacked_list(x: bytes, kind) -> np.ndarray:
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys by their differences, low bytes first and high bytes last."""
-    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
-    return packed_list(steps.view(np.uint8).reshape(-1, 4).T.copy())
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return packed_list(steps.view(np.uint8).reshape(-1, 8).T.copy())
 
 
 def unpacked_keys(x: bytes) -> np.ndarray:
-    planes = unpacked_list(x, np.uint8).reshape(4, -1)
-    return np.cumsum(planes.T.copy().view("<u4").ravel(), dtype=np.uint32)
+    planes = unpacked_list(x, np.uint8).reshape(8, -1)
+    return np.cumsum(planes.T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and the sums of their counts (``keys``: sorted runs)."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
 def summaries(chunks: DataFrame, partitions: int, p: CollocationParams) -> DataFrame:
     """(p, chunk, mass, keys, counts): a chunk's summary of each partition."""
+    limits = bounds(partitions)
+
     def run(batches):
-        constants()
         for batch in batches:
-            for chunk, langs, sizes, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                _, h, _ = all_grams(Words(langs, sizes, blob), p)
-                keys, counts = np.unique(placed(h, partitions), return_counts=True)
-                part = (keys >> np.uint64(32)).astype(np.int64)
-                starts = np.flatnonzero(np.diff(part, prepend=-1))
-                low, counts = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts.astype("<u4")
-                out = [(int(part[a]), chunk, int(counts[a:b].sum(dtype=np.int64)), packed_keys(low[a:b]), packed_list(counts[a:b]))
-                       for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)])]
+            for chunk, langs, sizes, blob in one_by_one(batch):
+                words = Words(langs, sizes, blob)
+                # one size after the other: a third of the memory
+                found = [np.unique(words.grams(k)[1], return_counts=True) for k in range(1, p.longest + 1)]
+                keys, counts = added(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+                edges = [0, *np.searchsorted(keys, limits).tolist(), len(keys)]
+                counts = counts.astype("<u4")
+                out = [(i, chunk, int(counts[a:b].sum(dtype=np.int64)), packed_keys(keys[a:b]), packed_list(counts[a:b]))
+                       for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
                 kinds = [pa.int64()] * 3 + [pa.binary()] * 2
                 columns = zip(*out) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -201,15 +212,11 @@ class Summary:
 
     def __init__(self, capacity: int):
         self.capacity, self.taken = capacity, 0
-        self.keys, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Counters of other summaries, in any order and repeated, are added."""
-        keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        starts = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
-        self.keys, self.counts = keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+        self.keys, self.counts = added(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
         if len(self.keys) > self.capacity:
             at = len(self.counts) - self.capacity - 1
             amount = int(np.partition(self.counts, at)[at])
@@ -236,51 +243,78 @@ def merged(rows: list[tuple[bytes, bytes]], mass: int, p: CollocationParams) ->
     return summary
 
 
-def surviving(rows: DataFrame, p: CollocationParams) -> DataFrame:
-    """(chunk, p, keys): the keys of each chunk that survive in their partition."""
-    def group(key, t):
-        keys, counts = t.column("keys").to_pylist(), t.column("counts").to_pylist()
-        alive = merged(list(zip(keys, counts)), sum(t.column("mass").to_pylist()), p).reaching(p.least)
-        mine = [np.intersect1d(alive, unpacked_keys(k), assume_unique=True) for k in keys]
-        return pa.table([t.column("chunk"), t.column("p"), pa.array([packed_keys(m) for m in mine], pa.binary())],
-                        names=["chunk", "p", "keys"])
+def matches(alive: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the sorted ``alive`` and in ``keys`` of the keys that both have."""
+    if not len(alive):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(alive, keys), len(alive) - 1)
+    mine = np.flatnonzero(alive[at] == keys)
+    return at[mine], mine
+
+
+def counted(rows: list[tuple[bytes, bytes]], alive: np.ndarray) -> np.ndarray:
+    """How often each of the sorted keys ``alive`` occurs in all ``rows``."""
+    out = np.zeros(len(alive), np.int64)
+    for keys, counts in rows:
+        at, mine = matches(alive, unpacked_keys(keys))
+        out[at] += unpacked_list(counts, "<u4")[mine]
+    return out
 
-    return rows.groupBy("p").applyInArrow(group, "chunk bigint, p bigint, keys binary")
 
+def frequent_keys(rows: DataFrame, p: CollocationParams) -> DataFrame:
+    """(chunk, keys, counts): every key that occurs ``least`` times, with its exact count, once, for
+    a chunk that has it."""
+    def group(key, t):
+        rows = list(zip(t.column("keys").to_pylist(), t.column("counts").to_pylist()))
+        alive = merged(rows, sum(t.column("mass").to_pylist()), p).reaching(p.least)
+        n = counted(rows, alive)
+        alive, n = alive[n >= p.least], n[n >= p.least]
+        owned = np.zeros(len(alive), bool)
+        out = []
+        # each partition begins with another chunk, so that all chunks get their share
+        first = int(key[0].as_py()) * 7919 % len(rows)
+        for i in [*range(first, len(rows)), *range(first)]:
+            at, _ = matches(alive, unpacked_keys(rows[i][0]))
+            at = at[~owned[at]]
+            owned[at] = True
+            if len(at):
+                out.append((t.column("chunk")[i].as_py(), packed_keys(alive[at]), packed_list(n[at])))
+        columns = zip(*out) if out else [()] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "keys", "counts"])
+
+    return rows.groupBy("p").applyInArrow(group, "chunk bigint, keys binary, counts binary")
+
+
+def named(chunks: DataFrame, keys: DataFrame, p: CollocationParams) -> DataFrame:
+    """(lang, size, phrase, n): the words of each chunk's ``keys``, and the number of its words as size 0."""
+    names = ["lang", "size", "phrase", "n"]
 
-def recount(chunks: DataFrame, alive: DataFrame, p: CollocationParams, partitions: int) -> DataFrame:
-    """(lang, size, phrase, n): exact counts of the surviving n-grams, and of all words (size 0)."""
     def run(batches):
-        constants()
         for batch in batches:
-            for langs, sizes, blob, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for langs, sizes, blob, found in one_by_one(batch):
                 words = Words(langs, sizes, blob)
-                first, h, k = all_grams(words, p)
-                keep = np.sort(np.concatenate([np.uint64(r["p"]) << np.uint64(32) | unpacked_keys(r["keys"]).astype(np.uint64)
-                                               for r in found] or [np.empty(0, np.uint64)]))
-                where = placed(h, partitions)
-                if len(keep):
-                    at = np.minimum(np.searchsorted(keep, where), len(keep) - 1)
-                    hit = np.flatnonzero(keep[at] == where)
-                else:
-                    hit = np.empty(0, np.int64)
-                _, one, n = np.unique(h[hit], return_index=True, return_counts=True)
-                a, size = first[hit[one]], k[hit[one]]
-                data, start, stop = words.data, words.start, words.stop
-                phrases = [data[start[i]:stop[i]] if s == 1 else b" ".join([data[start[j]:stop[j]] for j in range(i, i + s)])
-                           for i, s in zip(a.tolist(), size.tolist())]
+                mine = np.concatenate([unpacked_keys(r["keys"]) for r in found or []] or [np.empty(0, np.uint64)])
+                total = np.concatenate([unpacked_list(r["counts"], np.int64) for r in found or []] or [np.empty(0, np.int64)])
+                order = np.argsort(mine)
+                mine, total = mine[order], total[order]
                 of, every = np.unique(words.lang, return_counts=True)
-                lang = np.concatenate([words.lang[a], of])
+                lang, size, counts, phrases = [of], [np.zeros(len(of), np.int64)], [every], [b""] * len(of)
+                for k in range(1, p.longest + 1):
+                    first, h = words.grams(k)
+                    at, hit = matches(mine, h)
+                    which, one = np.unique(at, return_index=True)
+                    a = first[hit[one]]
+                    lang.append(words.lang[a]), size.append(np.full(len(a), k)), counts.append(total[which])
+                    each = [[words.data[i:j] for i, j in zip(words.start[a + j].tolist(), words.stop[a + j].tolist())] for j in range(k)]
+                    phrases += map(b" ".join, zip(*each))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs[i] for i in lang.tolist()], pa.string()),
-                     pa.array(np.concatenate([size, np.zeros(len(of), np.int64)]).astype(np.int32)),
-                     pa.array(phrases + [b""] * len(of), pa.binary()),
-                     pa.array(np.concatenate([n, every]).astype(np.int64))], names=["lang", "size", "phrase", "n"])
+                    [pa.array([langs[i] for i in np.concatenate(lang).tolist()], pa.string()),
+                     pa.array(np.concatenate(size).astype(np.int32)), pa.array(phrases, pa.binary()),
+                     pa.array(np.concatenate(counts).astype(np.int64))], names=names)
 
-    lists = alive.groupBy("chunk").agg(F.collect_list(F.struct("p", "keys")).alias("found"))
-    joined = chunks.join(lists, "chunk").select("langs", "sizes", "blob", "found")
-    counts = joined.mapInArrow(run, "lang string, size int, phrase binary, n bigint")
-    return counts.groupBy("lang", "size", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n"))
+    lists = keys.groupBy("chunk").agg(F.collect_list(F.struct("keys", "counts")).alias("found"))
+    joined = chunks.join(lists, "chunk", "left").select("langs", "sizes", "blob", "found")
+    return joined.mapInArrow(run, "lang string, size int, phrase binary, n bigint").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -289,15 +323,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     exactly, and the number of all words as size 0."""
     partitions = 1 + text_bytes(docs, text_col) // p.partition
     chunks = chunk_rows(docs, text_col, lang_col, p)
-    counts = recount(chunks, surviving(summaries(chunks, partitions, p), p), p, partitions)
-    return written(counts.filter((F.col("size") == 0) | (F.col("n") >= p.least)), "phrases")
+    rows = written(named(chunks, frequent_keys(summaries(chunks, partitions, p), p), p), "phrases")
+    words = rows.filter("size = 0").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return rows.filter("size > 0").unionByName(words)
 
 
 def scored(phrases: DataFrame, p: CollocationParams = CollocationParams()) -> DataFrame:
     """(lang, phrase, size, a, l, r, score) of the phrases of two words and more: of all cuts in
     two the one with the lowest score floor(1000000 a a / (l r)), and of those the first.
 
-    ``phrases``: a written table as of :func:`frequent_phrases`.  A side of a cut occurs as often as
+    ``phrases``: as of :func:`frequent_phrases`.  A side of a cut occurs as often as
     the phrase at least, so it is in the table."""
     part = lambda start, n: F.array_join(F.slice("w", start, n), " ")
     cuts = phrases.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("w")).select(

@@ -80,9 +80,9 @@ def test_top_and_empty(spark):
 def test_frequent_keys_survive_all_merges(seed):
     rng = np.random.default_rng(seed)
     p = CollocationParams(least=10, slack=1)
-    parts = [np.unique((rng.zipf(1.2, 3000) % 100_000).astype(np.uint32), return_counts=True) for _ in range(12)]
+    parts = [np.unique((rng.zipf(1.2, 3000) % 100_000).astype(np.uint64), return_counts=True) for _ in range(12)]
     # adversarial: keys that come ten times, once in each of ten parts
-    parts = [(np.concatenate([k, np.arange(200_000, 200_300, dtype=np.uint32)]), np.concatenate([c, np.ones(300, np.int64)]))
+    parts = [(np.concatenate([k, np.arange(200_000, 200_300, dtype=np.uint64)]), np.concatenate([c, np.ones(300, np.int64)]))
              if i < 10 else (k, c) for i, (k, c) in enumerate(parts)]
     total = Counter()
     for k, c in parts:
@@ -92,6 +92,8 @@ def test_frequent_keys_survive_all_merges(seed):
     summary = C.merged(rows, mass, p)
     assert summary.taken < p.least and len(summary.keys) <= summary.capacity < len(total)
     assert {k for k, n in total.items() if n >= p.least} <= set(summary.reaching(p.least).tolist())
+    alive = summary.reaching(p.least)
+    assert C.counted(rows, alive).tolist() == [total[k] for k in alive.tolist()]
     for k, n in zip(summary.keys.tolist(), summary.counts.tolist()):
         assert n <= total[k] <= n + summary.taken
 
@@ -107,3 +109,19 @@ def test_scores_pass_64_bits(spark):
     rows = [("en", 1, "x", 3 * 10**12), ("en", 1, "y", 5 * 10**12), ("en", 2, "x y", 2 * 10**12)]
     got = C.scored(spark.createDataFrame(rows, "lang string, size int, phrase string, n bigint")).collect()
     assert [(r.l, r.r, r.score) for r in got] == [(3 * 10**12, 5 * 10**12, 10**6 * 4 // 15)]
+
+
+def test_packed_keys_and_partitions():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    keys = np.unique(np.concatenate([keys, np.array([0, 2**64 - 1], np.uint64)]))
+    assert (C.unpacked_keys(C.packed_keys(keys)) == keys).all() and len(C.unpacked_keys(C.packed_keys(keys[:0]))) == 0
+    for n in (1, 2, 7, 1000):
+        assert len(C.bounds(n)) == n - 1 and (np.diff(C.bounds(n)) > 0).all()
+
+
+def test_words_of_chunks_without_frequent_phrases_count(spark):
+    rows = [("en", "one two three")] + [("en", "a b")] * 12
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = collocations(df, p=CollocationParams(chunk=5)).collect()
+    assert [(r.phrase, r.a, r.n) for r in got] == [("a b", 12, 27)]
