@@ -24,12 +24,15 @@ def first_occurrence_flag(df: DataFrame, key_col: str, id_col: str, out_col: str
     """True for every row whose key already occurred at a smaller id.
 
     ``min(id)`` per key is a partial (map-side) aggregate, so a key held by a
-    third of all rows shrinks to one row per map task before the shuffle; the
-    join back is many-to-one, which AQE's skew-join split handles.
+    third of all rows shrinks to one row per map task before the shuffle.  Keys of one row
+    are left out, and the others are written before the join back: it is many-to-one,
+    both its sides are plain shuffles, and Spark splits the task of a frequent key (or
+    broadcasts the keys, if what was written is small).
     """
-    firsts = df.groupBy(key_col).agg(F.min(id_col).alias("_first_id"))
+    firsts = df.groupBy(key_col).agg(F.min(id_col).alias("_first_id"), F.count(F.lit(1)).alias("_n"))
+    firsts = shared_table(firsts.filter(F.col("_n") > 1).drop("_n"), "repeated-keys")
     return (df.join(firsts, key_col, "left")
-            .withColumn(out_col, F.col(id_col) > F.col("_first_id"))
+            .withColumn(out_col, F.coalesce(F.col(id_col) > F.col("_first_id"), F.lit(False)))
             .drop("_first_id"))
 
 
@@ -185,3 +188,43 @@ def verify_lock(df: DataFrame, id_col: str, lock: DataFrame) -> DataFrame:
     both = join_one_row(lock.select(F.col("n_ids").alias("_n"), F.col("sha256_ids").alias("_h")), now)
     return both.select((F.col("n_ids") == F.col("_n")).alias("n_ok"), (F.col("sha256_ids") == F.col("_h")).alias("sha256_ok"),
                        ((F.col("n_ids") == F.col("_n")) & (F.col("sha256_ids") == F.col("_h"))).alias("ok"))
+
+
+def lock_tree(df: DataFrame, id_col: str, levels: int = 3) -> DataFrame:
+    """The id set's digests as a tree -- (level, prefix, n, digest), level 0 the root.
+
+    A leaf holds the ids whose sha-256 begins with its ``levels`` hex digits: the digest of its sorted
+    ids, each with the number of its rows.  A node of a higher level drops a digit and digests its 16
+    children, so a change of one id changes one path.  Repeated ids are counted before they are
+    collected, so a leaf's task holds about n / 16**levels ids whatever repeats."""
+    ids = df.groupBy(F.col(id_col).cast("string").alias("_id")).agg(F.count(F.lit(1)).alias("_c")).filter("_id is not null")
+    leaf = F.substring(F.sha2(F.col("_id"), 256), 1, levels)
+    nodes = ids.groupBy(leaf.alias("prefix")).agg(
+        F.sum("_c").alias("n"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "_id", "_c"))), "\n"), 256).alias("digest"))
+    nodes = shared_table(nodes, "lock-leaves")
+    out = nodes.withColumn("level", F.lit(levels))
+    for level in range(levels - 1, -1, -1):
+        nodes = nodes.groupBy(F.substring("prefix", 1, level).alias("prefix")).agg(
+            F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(
+                F.sort_array(F.collect_list(F.struct("prefix", "digest"))), lambda s: s["digest"]), "\n"), 256).alias("digest"))
+        out = out.unionByName(nodes.withColumn("level", F.lit(level)))
+    return out.select("level", "prefix", "n", "digest")
+
+
+def changed_leaves(now: DataFrame, lock: DataFrame) -> DataFrame:
+    """(prefix, n_locked, n_now): the leaves in which two trees of :func:`lock_tree` differ, found by walking
+    down: a level's nodes are compared only below nodes that differ.  Empty: the id sets are equal."""
+    depth = lock.agg(F.max("level")).first()[0]
+    if depth is None:
+        depth = now.agg(F.max("level")).first()[0] or 0
+    differ = None
+    for level in range(depth + 1):
+        a, b = (t.filter(F.col("level") == level).select("prefix", F.col("n").alias(n), F.col("digest").alias(d))
+                for t, n, d in ((lock, "n_locked", "_a"), (now, "n_now", "_b")))
+        if differ is not None:
+            up = F.substring("prefix", 1, level - 1)
+            a, b = (t.withColumn("_up", up).join(differ.select(F.col("prefix").alias("_up")), "_up", "left_semi").drop("_up") for t in (a, b))
+        differ = shared_table(a.join(b, "prefix", "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))), "lock-differences")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return differ.select("prefix", zero("n_locked"), zero("n_now"))

@@ -433,7 +433,7 @@ def split_share_check(spark, sf_dir):
 
 @query("review_sheet", f"""
 SELECT l.doc_id, 'Negative' AS current_value, 'Negative' AS new_value, length(d.text)::BIGINT AS text_len,
-       d.text AS full_text, d.lang, d.source
+       d.text AS full_text, d.lang, d.source, 'Negative' AS final_polarity, '' AS is_correct, '' AS notes
 FROM labels l JOIN documents d USING (doc_id) WHERE {POL_SQL} = 'Negative'""", ops="P8 W4")
 def review_sheet(spark, sf_dir):
     lab = load(spark, sf_dir, "labels").select("doc_id", L.polarity_from_flags("quality", "toxic").alias("polarity"))
@@ -441,7 +441,9 @@ def review_sheet(spark, sf_dir):
     sel = lab.filter(F.col("polarity") == "Negative").join(d, "doc_id")
     return Q.order_by_length(sel, "text", "doc_id").select(
         "doc_id", F.col("polarity").alias("current_value"), F.col("polarity").alias("new_value"),
-        F.length("text").cast("bigint").alias("text_len"), F.col("text").alias("full_text"), "lang", "source")
+        F.length("text").cast("bigint").alias("text_len"), F.col("text").alias("full_text"), "lang", "source",
+        # for the reviewer: the polarity to correct, and two empty cells
+        F.col("polarity").alias("final_polarity"), F.lit("").alias("is_correct"), F.lit("").alias("notes"))
 
 
 # -- rater workbooks and corrections of a stored table --------------------------------
@@ -484,3 +486,36 @@ def correction_upsert(spark, sf_dir):
     after = spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("bigint").alias("quality_sum"))
     return after.join(kept, "split", "left").join(hits, "split", "left").select(
         "split", "n", "quality_sum", F.coalesce("n_applied", F.lit(0)).cast("bigint").alias("n_applied"), F.col("_kept").isNull().alias("rewritten"))
+
+
+def _tree_sql(ids: str, name: str, levels: int = 2) -> str:
+    """The CTEs of a lock tree over a query of ids: ``name`` (level, prefix, n, digest)."""
+    out = [f"""{name}_ids AS (SELECT CAST(id AS VARCHAR) AS id, count(*) AS c FROM ({ids}) x WHERE id IS NOT NULL GROUP BY 1),
+{name}_{levels} AS (SELECT substr(sha256(id), 1, {levels}) AS prefix, sum(c) AS n,
+                    sha256(string_agg(id || ':' || c, chr(10) ORDER BY id || ':' || c)) AS digest FROM {name}_ids GROUP BY 1)"""]
+    for level in range(levels - 1, -1, -1):
+        out.append(f"""{name}_{level} AS (SELECT substr(prefix, 1, {level}) AS prefix, sum(n) AS n,
+                    sha256(string_agg(digest, chr(10) ORDER BY prefix)) AS digest FROM {name}_{level + 1} GROUP BY 1)""")
+    union = " UNION ALL ".join(f"SELECT {level} AS level, prefix, n, digest FROM {name}_{level}" for level in range(levels + 1))
+    return ",\n".join(out) + f",\n{name} AS ({union})"
+
+
+@query("lock_tree", f"""
+WITH {_tree_sql("SELECT doc_id AS id FROM documents", "t")}
+SELECT level::INTEGER AS level, prefix, n::BIGINT AS n, digest FROM t""", ops="A23")
+def lock_tree(spark, sf_dir):
+    return Q.lock_tree(load(spark, sf_dir, "documents"), "doc_id", 2)
+
+
+@query("lock_tree_changes", f"""
+WITH {_tree_sql("SELECT doc_id AS id FROM documents", "a")},
+{_tree_sql("SELECT CASE WHEN doc_id % 500 = 3 THEN -doc_id ELSE doc_id END AS id FROM documents", "b")}
+SELECT coalesce(a.prefix, b.prefix) AS prefix, coalesce(a.n, 0)::BIGINT AS n_locked, coalesce(b.n, 0)::BIGINT AS n_now
+FROM (SELECT * FROM a WHERE level = 2) a FULL JOIN (SELECT * FROM b WHERE level = 2) b ON a.prefix = b.prefix
+WHERE a.digest IS DISTINCT FROM b.digest""", ops="A23")
+def lock_tree_changes(spark, sf_dir):
+    """The leaves that name the ids which changed since the lock."""
+    docs = load(spark, sf_dir, "documents").select("doc_id")
+    lock = shared_table(Q.lock_tree(docs, "doc_id", 2), "lock")
+    changed = docs.select(F.when(F.col("doc_id") % 500 == 3, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"))
+    return Q.changed_leaves(shared_table(Q.lock_tree(changed, "doc_id", 2), "lock-now"), lock)
