@@ -52,8 +52,8 @@ h AS (
 p AS (
   SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS var FROM h),
 v AS (
-  SELECT source, (x + mean * weight) / (n + weight) >= 0.5 AS host_bad
-  FROM h, (SELECT mean, CASE WHEN var > 1e-12 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1.0 END AS weight FROM p))
+  SELECT source, (x + mean * weight) / (n + weight) > mean + sqrt(greatest(var, 0)) + 1e-9 AS host_bad
+  FROM h, (SELECT mean, var, CASE WHEN var > 1e-12 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1.0 END AS weight FROM p))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (soft_failed AND host_bad) AS kept, soft_failed, host_bad
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

@@ -47,3 +47,25 @@ def test_odd_rows(spark):
     assert got == sorted([(None, 30, 0, False, True)] * 2 + [(1, 0, 0, True, False), (2, 0, 0, True, False), (3, 40_000, 40_000, True, False),
                                                              (4, 30, 0, False, True)], key=str)
     assert host_quality(df.limit(0)).count() == 0 and filter_quality(df.limit(0)).count() == 0
+
+
+def test_the_host_verdict_decides_on_the_given_documents(spark):
+    from corpusgauge.plans.registry import load
+
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    rows = host_quality(docs).collect()
+    gone = [r for r in rows if not r.base_failed and not r.kept]
+    assert gone and all(r.soft_failed and r.host_bad for r in gone)
+    assert any(r.soft_failed and r.kept for r in rows)          # soft failures on ordinary hosts stay
+    assert len({r.host_rate for r in rows if r.host_bad}) < len({r.host_rate for r in rows}) / 2
+    # without the hosts' verdicts all of them stay
+    blind = {r.doc_id for r in host_quality(docs, rules=QualityRules(host_deviations=1e9)).collect() if r.kept}
+    assert blind - {r.doc_id for r in rows if r.kept} == {r.doc_id for r in gone}
+
+
+def test_hosts_that_fail_alike_are_not_bad(spark):
+    rows = [(h * 100 + i, doc(i, i < 5), f"h{h}") for h in range(6) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    assert all(r.kept and not r.host_bad for r in host_quality(df).collect())
+    one = df.filter("source = 'h0'")
+    assert all(r.kept for r in host_quality(one).collect())
