@@ -9,10 +9,10 @@
    broadcasts them only if the written table is below its threshold.
 
 A document is kept unless it fails a base rule, or fails a soft rule on a bad host: one whose
-shrunk failure rate lies more than ``host_deviations`` prior deviations above the prior mean.
-The limit follows the corpus: where hosts fail alike, none is bad; a host that fails
-clearly more often than the others loses its soft failures, whatever the level.  A clean
-document is kept on any host.
+shrunk failure rate lies more than ``host_deviations`` standard deviations above the mean of
+the hosts' shrunk rates (both weighted by documents).  The limit follows the corpus: where
+hosts fail alike, none is bad; a host that fails more often than the others loses its soft
+failures, whatever the level.  A clean document is kept on any host.
 
 Nulls: a null text has no words (it fails); null hosts form one host.  An empty table gives
 no rows.  Repeated rows are judged one by one.  Extra columns are ignored by
@@ -43,7 +43,7 @@ class QualityRules:
     window: int = 8                # words in a window
     max_symbol_pct: int = 50       # soft: symbols per 100 words
     max_dup_line_pct: int = 30     # soft: repeated lines per 100 lines with a word
-    host_deviations: float = 1.0   # prior deviations above the mean at which a host's soft failures go
+    host_deviations: float = 1.0   # standard deviations above the hosts' mean at which soft failures go
 
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -128,14 +128,18 @@ def host_verdicts(measured: DataFrame, host_col: str, q: str, rules: QualityRule
              .select((F.col("s1") / F.col("n")).alias("mean"),
                      (F.col("s2") / F.col("n") - (F.col("s1") / F.col("n")) ** 2).alias("var")))
     spread = F.col("mean") * (1 - F.col("mean"))
-    # rounding must not condemn a host that fails exactly as all do
-    limit = F.col("mean") + rules.host_deviations * F.sqrt(F.greatest(F.col("var"), F.lit(0.0))) + 1e-9
-    prior = prior.select("mean", limit.alias("limit"), F.when((F.col("var") > 1e-12) & (spread > F.col("var")), spread / F.col("var") - 1)
+    prior = prior.select("mean", F.when((F.col("var") > 1e-12) & (spread > F.col("var")), spread / F.col("var") - 1)
                          .otherwise(F.lit(1.0)).alias("weight"))
     rate = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
-    return written(join_one_row(hosts, prior).select(
-        "host", "n_docs", "n_failed", rate.alias("host_rate"), (rate > F.col("limit")).alias("host_bad")),
-        "host-verdicts")
+    rated = written(join_one_row(hosts, prior).select("host", "n_docs", "n_failed", rate.alias("host_rate")), "host-rates")
+    h = F.col("host_rate")
+    moments = rated.agg(F.sum(n).alias("n"), F.sum(h * n).alias("s1"), F.sum(h * h * n).alias("s2")).select(
+        (F.col("s1") / F.col("n")).alias("m"), (F.col("s2") / F.col("n")).alias("square"))
+    deviation = F.sqrt(F.greatest(F.col("square") - F.col("m") * F.col("m"), F.lit(0.0)))
+    # rounding must not condemn a host that fails exactly as all do
+    limit = moments.select((F.col("m") + rules.host_deviations * deviation + 1e-6).alias("limit"))
+    return written(join_one_row(rated, limit).select(
+        "host", "n_docs", "n_failed", "host_rate", (h > F.col("limit")).alias("host_bad")), "host-verdicts")
 
 
 def with_verdicts(measured: DataFrame, host_col: str, q: str, hosts: DataFrame, rules: QualityRules,

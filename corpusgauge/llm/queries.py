@@ -51,9 +51,11 @@ h AS (
   SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed OR soft_failed)::DOUBLE AS x FROM f GROUP BY source),
 p AS (
   SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 AS var FROM h),
-v AS (
-  SELECT source, (x + mean * weight) / (n + weight) > mean + sqrt(greatest(var, 0)) + 1e-9 AS host_bad
-  FROM h, (SELECT mean, var, CASE WHEN var > 1e-12 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1.0 END AS weight FROM p))
+s AS (
+  SELECT source, n, (x + mean * weight) / (n + weight) AS rate
+  FROM h, (SELECT mean, CASE WHEN var > 1e-12 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE 1.0 END AS weight FROM p)),
+q AS (SELECT sum(rate * n) / sum(n) AS m, sum(rate * rate * n) / sum(n) AS square FROM s),
+v AS (SELECT source, rate > m + sqrt(greatest(square - m * m, 0)) + 1e-6 AS host_bad FROM s, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (soft_failed AND host_bad) AS kept, soft_failed, host_bad
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

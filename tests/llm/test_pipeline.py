@@ -46,7 +46,10 @@ def kept_by_hosts(rows):
     mean = sum(f for _, f in hosts.values()) / total
     var = sum((f / n) ** 2 * n for n, f in hosts.values()) / total - mean**2
     weight = mean * (1 - mean) / var - 1 if var > 1e-12 and mean * (1 - mean) > var else 1.0
-    bad = {h for h, (n, f) in hosts.items() if (f + mean * weight) / (n + weight) > mean + max(var, 0) ** 0.5 + 1e-9}
+    rate = {h: (f + mean * weight) / (n + weight) for h, (n, f) in hosts.items()}
+    middle = sum(rate[h] * n for h, (n, _) in hosts.items()) / total
+    deviation = max(sum(rate[h] ** 2 * n for h, (n, _) in hosts.items()) / total - middle**2, 0) ** 0.5
+    bad = {h for h in hosts if rate[h] > middle + deviation + 1e-6}
     return [r for r in rows if not base_failed(r["text"]) and not (r["source"] in bad and soft_failed(r["text"]))]
 
 
