@@ -77,3 +77,31 @@ def dashboard_stats(reports: DataFrame, ts_col: str = "created_at") -> DataFrame
     types = (base.select(F.explode("abuse_types").alias("key")).groupBy("key")
              .agg(F.count(F.lit(1)).cast("bigint").alias("n")).select(F.lit("abuse_type").alias("metric"), "key", "n"))
     return scalars.unionByName(types)
+
+
+# The fields of a case record and what stands for a missing one.
+CASE_DEFAULTS = {"transcript": "", "abuse_type": "", "applicable_sections": None, "severity": None, "civil_or_criminal": "",
+                 "legal_advice_bangla": "", "recommended_action_bangla": "", "reporter_type": "unknown", "entities": None,
+                 "uno_upazila": None, "uno_district": None, "case_ref": None}
+
+
+def case_records(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and all fields of a case record from the columns of ``df`` that have their names.
+
+    A missing column or a null is the field's default; sections default to an empty list; an
+    office field or reference may stay null."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name, default in CASE_DEFAULTS.items():
+        if name in have:
+            col = F.col(name)
+            if default is not None:
+                col = F.coalesce(col, F.lit(default))
+            elif name == "applicable_sections":
+                col = F.coalesce(col, F.array().cast("array<string>"))
+        elif name == "applicable_sections":
+            col = F.array().cast("array<string>")
+        else:
+            col = F.lit(default) if default is not None else F.lit(None).cast("int" if name == "severity" else "string")
+        out.append(col.alias(name))
+    return df.select(*keys, *out)

@@ -60,6 +60,38 @@ def prompt_context(sections: DataFrame, key_cols, pos_col: str = "pos") -> DataF
         F.count(F.lit(1)).alias("n_sections"))
 
 
+def section_block(sid, section, text, text_english) -> F.Column:
+    """A section in a prompt: ``[id] title``, the Bangla text and the English text, a line each;
+    what is missing is empty."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit("["), sid, F.lit("] "), part(section), F.lit("\n" + X.CONTEXT_BANGLA), part(text),
+                    F.lit("\n" + X.CONTEXT_ENGLISH), part(text_english))
+
+
+def language_rule(mode) -> F.Column:
+    """The rule for the language of the answer."""
+    out = F.lit(X.LANGUAGE_RULE_BOTH)
+    for name, rule in X.LANGUAGE_RULES.items():
+        out = F.when(mode == name, F.lit(rule)).otherwise(out)
+    return out
+
+
+def full_prompt_context(sections: DataFrame, kb: DataFrame, key_cols, pos_col: str = "pos") -> DataFrame:
+    """Per key the blocks of its sections in order, a blank line between, and their number.
+
+    ``kb``: (id, text, text_english), one row a section; its blocks are made once, written, and
+    joined to the keys' section ids (Spark broadcasts them if what was written is small).  A key's
+    group is bounded by the knowledge base."""
+    from corpusgauge.operators.common import shared_table
+
+    titles = sections.select("id", "section").distinct()
+    blocks = shared_table(titles.join(kb.select("id", "text", "text_english"), "id", "left").select(
+        "id", section_block(F.col("id"), F.col("section"), F.col("text"), F.col("text_english")).alias("block")), "section-blocks")
+    return sections.select(*key_cols, "id", F.col(pos_col).alias("_pos")).join(blocks, "id").groupBy(*key_cols).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "block"))), lambda s: s["block"]), "\n\n").alias("context"),
+        F.count(F.lit(1)).alias("n_sections"))
+
+
 def readable_titles(sections: DataFrame, key_cols, pos_col: str = "pos") -> DataFrame:
     """Per key the section titles in order, each once; a section without a title is
     shown by its id."""
