@@ -3,8 +3,8 @@
 * Category retrieval joins a tiny knowledge-base dimension (broadcast).
 * Lexical retrieval sends an inverted index of the queries' words to the tasks (in blocks of
   bounded size); a document is scored in the task that reads it, and only the k best of each
-  query and batch leave the task.
-* Vector retrieval is exact cosine similarity in the same way: one matrix product per batch.
+  query leave the task.
+* Vector retrieval is exact cosine similarity in the same way, by matrix products of bounded size.
 """
 
 from __future__ import annotations
@@ -112,16 +112,43 @@ BLOCK_WORDS = 2_000_000
 BLOCK_BYTES = 64 << 20
 
 
-def _best(scores, ids, k: int):
-    """Row numbers of the ``k`` best by (score descending, id); every row tied with the k-th
-    is a candidate, so the order is exact after a linear-time selection."""
-    import numpy as np
+# Scores that a task computes at a time (rows of the corpus times queries).
+TILE_SCORES = 4_000_000
+
+
+class _Keeper:
+    """A task's ``k`` best (score descending, id) of each of ``n`` queries: what leaves the task, whatever
+    the number of rows it reads."""
+
+    def __init__(self, n: int, k: int):
+        import numpy as np
+
+        self.n, self.k, self.held, self.size = n, k, [], 0
+        self.floor = np.full(n, -np.inf)   # a query's k-th best score; lower ones cannot enter
 
-    if len(scores) > k:
-        cand = np.nonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])[0]
-    else:
-        cand = np.arange(len(scores))
-    return cand[np.lexsort((ids[cand], -scores[cand]))][:k]
+    def add(self, queries, scores, ids) -> None:
+        import pandas as pd
+
+        keep = scores >= self.floor[queries]
+        if keep.any():
+            self.held.append(pd.DataFrame({"q": queries[keep], "score": scores[keep], "id": ids[keep]}))
+            self.size += int(keep.sum())
+            if self.size > 2 * self.n * self.k + 200_000:
+                self.best()
+
+    def best(self):
+        """The rows (q, score, id) kept so far, in order."""
+        import pandas as pd
+
+        if not self.held:
+            return None
+        rows = pd.concat(self.held, ignore_index=True).sort_values(["q", "score", "id"], ascending=[True, False, True])
+        rows = rows[rows.groupby("q").cumcount() < self.k]
+        self.held, self.size = [rows], len(rows)
+        full = rows.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+        return rows
 
 
 def _blocks(df: DataFrame, size: F.Column, limit: int) -> list[DataFrame]:
@@ -137,8 +164,9 @@ def lexical_overlap(queries: DataFrame, qid: str, qtext: str, docs: DataFrame, d
     ties by document id.  Output (qid, rank, did, score).
 
     The queries' words are an inverted index (word -> queries), sent to the tasks in blocks of
-    at most ``BLOCK_WORDS`` words.  A document is scored in the task that reads it, and a task
-    sends on only the k best of each query and batch: common words cost time, no shuffle."""
+    at most ``BLOCK_WORDS`` words.  A document is scored in the task that reads it, against the
+    queries that share a word with it, and a task sends on only the k best of each query:
+    common words cost time, no shuffle."""
     import numpy as np
     import pandas as pd
 
@@ -158,21 +186,25 @@ def lexical_overlap(queries: DataFrame, qid: str, qtext: str, docs: DataFrame, d
 
         def score(batches, sent=sent):
             ids, index = sent.value
+            keeper = _Keeper(len(ids), k)
             for pdf in batches:
-                if pdf.empty or not ids:
-                    continue
-                found = [[index[w] for w in ws if w in index] for ws in pdf["_w"]]
-                scores = np.array([np.bincount(np.concatenate(x), minlength=len(ids)) if x else np.zeros(len(ids), np.int64)
-                                   for x in found])
                 dids = pdf["_did"].to_numpy()
-                out = []
-                for j, q in enumerate(ids):
-                    best = _best(scores[:, j], dids, k)
-                    best = best[scores[best, j] > 0]
-                    if len(best):
-                        out.append(pd.DataFrame({"_qid": q, "_did": dids[best], "score": scores[best, j]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                for i, ws in enumerate(pdf["_w"] if ids else []):
+                    found = [index[w] for w in ws if w in index]
+                    if not found:
+                        continue
+                    hits = np.concatenate(found)
+                    if len(hits) < len(ids) // 8:
+                        q, counts = np.unique(hits, return_counts=True)
+                    else:
+                        counts = np.bincount(hits, minlength=len(ids))
+                        q = np.flatnonzero(counts)
+                        counts = counts[q]
+                    high = counts >= keeper.floor[q]
+                    keeper.add(q[high], counts[high], np.repeat(dids[i:i + 1], int(high.sum())))
+            best = keeper.best()
+            if best is not None:
+                yield pd.DataFrame({"_qid": [ids[q] for q in best["q"]], "_did": best["id"].to_numpy(), "score": best["score"].to_numpy()})
 
         parts.append(base.mapInPandas(score, types))
     cand = parts[0]
@@ -188,9 +220,9 @@ def cosine_top_k(corpus: DataFrame, cid: str, cvec: str, queries: DataFrame, qid
     by corpus id).  Queries with an empty vector return no rows.
 
     The normalised query vectors go to the tasks in blocks of about ``BLOCK_BYTES`` (or
-    ``chunk_rows`` rows), usually one, so the corpus is read once; each batch of the corpus is scored with one matrix
-    product and sends on only the k best of each query.  Exact, no cap, and no
-    (corpus x query) rows leave a task."""
+    ``chunk_rows`` rows), usually one, so the corpus is read once; each batch of the corpus is scored
+    by matrix products of at most ``TILE_SCORES`` scores, and a task sends on only the k best of
+    each query.  Exact, no cap, and no (corpus x query) rows leave a task."""
     import numpy as np
     import pandas as pd
 
@@ -208,18 +240,27 @@ def cosine_top_k(corpus: DataFrame, cid: str, cvec: str, queries: DataFrame, qid
 
         def score(batches, sent=sent):
             ids, qmat = sent.value
+            keeper = _Keeper(len(ids), k)
             for pdf in batches:
                 if pdf.empty or not ids:
                     continue
                 m = np.stack(pdf["_cv"].to_numpy()).astype(np.float64)
                 # A zero vector has no cosine: NaN here, null in Spark, ranked last.
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    sims = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ qmat.T
-                keys, cids = np.where(np.isnan(sims), -np.inf, sims), pdf["_cid"].to_numpy()
-                best = [_best(keys[:, j], cids, k) for j in range(len(ids))]
-                yield pd.DataFrame({
-                    "_qid": [i for i, b in zip(ids, best) for _ in b], "_cid": cids[np.concatenate(best)],
-                    "_sim": np.concatenate([sims[b, j] for j, b in enumerate(best)])})
+                    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+                cids = pdf["_cid"].to_numpy()
+                step = max(1, TILE_SCORES // len(m))
+                for start in range(0, len(ids), step):
+                    sims = m @ qmat[start:start + step].T
+                    sims = np.where(np.isnan(sims), -np.inf, sims)
+                    # the batch's k best of each query, with all that tie with the last
+                    at = max(len(m) - k, 0)
+                    rows, q = np.nonzero(sims >= np.maximum(np.partition(sims, at, axis=0)[at], keeper.floor[start:start + step]))
+                    keeper.add(q + start, sims[rows, q], cids[rows])
+            best = keeper.best()
+            if best is not None:
+                sim = best["score"].to_numpy()
+                yield pd.DataFrame({"_qid": [ids[q] for q in best["q"]], "_cid": best["id"].to_numpy(), "_sim": np.where(np.isinf(sim), np.nan, sim)})
 
         parts.append(base.mapInPandas(score, types))
     cand = parts[0]
