@@ -53,5 +53,5 @@ def all_queries() -> dict[str, Query]:
     # importing the plan modules fills the registry
     from corpusgauge.plans import (corpus, eda, labels_plans, stats_plans,  # noqa: F401
                                    classify_plans, service_plans, retrieval_plans, ml_plans,
-                                   stream_plans, derived)
+                                   stream_plans, derived, source_plans)
     return dict(_REGISTRY)

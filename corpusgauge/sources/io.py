@@ -138,7 +138,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True)
+        # as the CSV readers here read it: texts with quotes, line ends and outer blanks come back unchanged
+        w = w.option("header", True).option("escape", '"').option("quoteAll", True).option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     w.save(path)
 
 
