@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgauge.fixed import REASON_DUP, REASON_SHORT, REASON_SPAM, REASON_TEXTLESS
 from corpusgauge.functions import text as T
 from corpusgauge.operators.common import join_one_row, sequential_ids, shared_table
 
-REASON_SPAM = "spam"
-REASON_TEXTLESS = "textless(emoji/punct only)"
-REASON_SHORT = "too_short(<=2 chars)"
-REASON_DUP = "exact_duplicate"
-REASON_ORDER = [REASON_SPAM, REASON_TEXTLESS, REASON_SHORT, REASON_DUP]
-
 
 def text_key(col) -> F.Column:
     """Fixed-width join/group key for a (possibly 100 KB) text: sha-256 of it."""

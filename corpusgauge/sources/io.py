@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgauge.fixed import CASE_COLUMNS, CORPUS_COLUMNS
 from corpusgauge.functions.text import ustrip
 
-CORPUS_COLUMNS = ["comment_id", "Comment", "platform", "abuse_type", "Likes", "Date"]
-CASE_COLUMNS = ["Data Type", "Date", "Source", "Location", "Abuse Relation", "Abuse Category", "Gender",
-                "Name", "Age", "Scenerio(Bangla)", "Scenerio(English)", "URL / Source type"]
 REPORT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("abuse_types", T.ArrayType(T.StringType())),
     T.StructField("risk_level", T.IntegerType()), T.StructField("severity", T.IntegerType()),
@@ -160,26 +158,26 @@ def append_reports(df: DataFrame, path: str, row_key: list[str] | None = None) -
 
     Ids are derived from ``row_key`` (columns that tell the input rows apart, dropped by the
     whitelist afterwards) and the record, so two equal reports have two ids and a retried task
-    writes the same ones.  Without a key, equal records are told apart by their number among
-    the equal ones.  The rows are counted where they were written, not computed again."""
+    writes the same ones.  Without a key, equal records are told apart by the batch and their
+    row in it, without a shuffle; only one attempt of a task is kept, so ids stay different.
+    The rows are counted where they were written, not computed again."""
     import uuid
 
-    from pyspark.sql import Window
-
     from corpusgauge.operators.reports import REPORT_COLUMNS, consent_gate, sanitize
 
+    number = uuid.uuid4().hex
     ok, _ = consent_gate(df)
     body = F.sha2(F.to_json(F.struct(*[F.col(c) for c in ok.columns if c in REPORT_COLUMNS and c != "id"])), 256)
     keyed = ok.withColumn("_body", body)
     if row_key:
         keyed = keyed.withColumn("_nth", F.to_json(F.struct(*row_key)))
     else:
-        keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_body").orderBy("_body")).cast("string"))
+        keyed = keyed.withColumn("_nth", F.concat_ws("|", F.lit(number), F.monotonically_increasing_id()))
     keyed = keyed.withColumn("id", F.substring(F.sha2(F.concat_ws("|", "_body", "_nth"), 256), 1, 20))
     rec = sanitize(keyed)
     if "created_at" not in rec.columns:
         rec = rec.withColumn("created_at", F.current_timestamp())
-    batch = f"{path.rstrip('/')}/batch={uuid.uuid4().hex}"
+    batch = f"{path.rstrip('/')}/batch={number}"
     rec.write.json(batch)
     return df.sparkSession.read.schema(REPORT_SCHEMA).json(batch).count()
 
