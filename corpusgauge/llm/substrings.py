@@ -312,7 +312,8 @@ def remove_repeated_words(docs: DataFrame, text_col: str = "text", id_col: str =
     # written before they are joined: both sides of a join are then shuffles, which Spark can split
     # where an anchor is frequent
     shared = written(parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-anchors")
-    found = written(parsed.join(shared, "key"), "phrases")
+    # dealt by text again: the rows of a frequent phrase lie in many files, and the next join can split them
+    found = written(parsed.join(shared, "key").repartition("th"), "phrases")
     discard(parsed)
     different = written(found.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "at")).alias("one"))
                         .select("key", "whole", "n", "one.th", "one.at"), "different-phrases")
