@@ -144,11 +144,11 @@ class VectorIndex:
 
         return pairs.select("ids", "vectors", "qids", "qvecs").mapInPandas(score, f"qid {kind}, did {self.id_type}, sim double")
 
-    def search(self, queries: DataFrame, qid: str, qvec: str, k: int = 10, probes: int = 16, exact: bool = False,
+    def search(self, queries: DataFrame, qid: str, qvec: str, k: int = 10, probes: int | float = 16, exact: bool = False,
                block: int = 1024) -> DataFrame:
         """(qid, rank, did, sim): the k nearest members of each query by (cosine descending, id).
 
-        ``probes`` lists are searched; with ``exact``, then also all others that can hold one of
+        ``probes`` lists are searched (a float: that share of all lists); with ``exact``, then also all others that can hold one of
         the k nearest."""
         import pandas as pd
 
@@ -157,7 +157,7 @@ class VectorIndex:
         kind = dict(q.dtypes)["qid"]
         if not len(numbers):
             return self.spark.createDataFrame([], f"qid {kind}, rank int, did {self.id_type}, sim double")
-        count = min(probes, len(numbers))
+        count = min(probes if isinstance(probes, int) else int(np.ceil(probes * len(numbers))), len(numbers))
 
         def near(batches):
             for pdf in batches:
