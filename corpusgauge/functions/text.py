@@ -1,13 +1,16 @@
 """Column -> Column text functions (S1-S11, token rules T1-T6).
 
-All of them are built-in Spark expressions (regex, string and higher-order
-functions), so they run JVM-side inside the scan's stage with no Python in
-the hot path.  Regex literals use ``\\x{..}`` escapes that Java regex and RE2
+They are built-in Spark expressions (regex, string and higher-order functions) that run
+JVM-side inside the scan's stage; only lists of words are looked up by an automaton in Arrow
+batches, which reads a text once whatever the number of words.  Regex literals use ``\\x{..}`` escapes that Java regex and RE2
 read the same way, which keeps the SQL oracle identical.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,8 +149,33 @@ def has_emoji(col) -> Column:
 def is_religious(col, markers=None) -> Column:
     """Any marker as a lower-case substring (so short markers hit inside words)."""
     low = F.lower(F.coalesce(_c(col), F.lit("")))
-    ms = [m.lower() for m in (markers or X.RELIGIOUS_MARKERS)]
-    return F.exists(lit_array(ms), lambda m: F.instr(low, m) > 0)
+    return has_any(low, [m.lower() for m in (markers or X.RELIGIOUS_MARKERS)])
+
+
+@lru_cache(maxsize=16)
+def automaton(words: tuple[str, ...]):
+    """Aho-Corasick automaton of ``words``."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
+def has_any(col, words) -> Column:
+    """Whether any of ``words`` occurs in the text; a text is read once, up to the first one."""
+    words = tuple(sorted(set(words)))
+
+    @F.pandas_udf("boolean")
+    def find(texts: pd.Series) -> pd.Series:
+        found = automaton(words)
+        return pd.Series([bool(t) and next(found.iter(t), None) is not None for t in texts], dtype=bool)
+
+    if "" in words:  # the empty word is in every text
+        return F.lit(True)
+    return find(_c(col)) if words else F.lit(False)
 
 
 # -- token rules (T1-T6) -----------------------------------------------------

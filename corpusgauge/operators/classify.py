@@ -7,7 +7,7 @@ over structs ordered (hits, severity, -dictionary order), which is exactly "most
 higher severity, then first in the dictionary".
 """
 
-from functools import lru_cache
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge import fixed as X
 from corpusgauge.functions import normalize as N
-from corpusgauge.functions.text import lit_array, ustrip
+from corpusgauge.functions.text import WS_RUN_JAVA, automaton, lit_array, ustrip
 
 # Python-style word boundary (letters, digits, underscore are word characters).
 _W = r"[\p{L}\p{N}_]"
@@ -33,17 +33,6 @@ def keyword_dictionary(keywords: dict[str, list[str]] | None = None):
     return [(c, i, X.SEVERITY.get(c, 1), words) for i, (c, words) in enumerate(kw.items())]
 
 
-@lru_cache(maxsize=16)
-def _automaton(words: tuple[str, ...]):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, w)
-    automaton.make_automaton()
-    return automaton
-
-
 def found_keywords(low: Column, words) -> Column:
     """The different ``words`` that occur in the lower-cased text ``low``, in any order; overlapping
     ones all count.  An Aho-Corasick automaton reads each text once, whatever the number of words,
@@ -52,8 +41,8 @@ def found_keywords(low: Column, words) -> Column:
 
     @F.pandas_udf("array<string>")
     def find(texts: pd.Series) -> pd.Series:
-        automaton = _automaton(words)
-        return pd.Series([list({w for _, w in automaton.iter(t)}) if t else [] for t in texts], dtype=object)
+        found = automaton(words)
+        return pd.Series([list({w for _, w in found.iter(t)}) if t else [] for t in texts], dtype=object)
 
     return find(low) if words else F.array().cast("array<string>")
 
@@ -120,28 +109,48 @@ def legal_sections(category: Column) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
-def relation(text: Column, rules) -> Column:
+def _literals(pattern: str) -> list[str]:
+    """The words of a pattern that is one word or a choice of words."""
+    core = pattern.replace(r"\b", "")
+    words = re.findall(r"[a-z][a-z-]*", core)
+    if core not in ("|".join(words), f"({'|'.join(words)})"):
+        raise ValueError(f"not a choice of words: {pattern}")
+    return words
+
+
+def relation(text: Column, rules, found: Column) -> Column:
     """First rule in rank order whose English pattern (Unicode word
     boundaries, case-insensitive) matches or whose Bangla word set holds a
-    whitespace token with punctuation stripped from its ends."""
-    from corpusgauge.functions.text import WS_RUN_JAVA
+    whitespace token with punctuation stripped from its ends.
 
+    ``found``: the rules' words that occur anywhere in the lower-cased text; a rule is tried only
+    where one of its words does."""
     t = F.coalesce(text, F.lit(""))
     cls = "[" + "".join("\\" + ch if ch in "[]\\^-" else ch for ch in X.TOKEN_PUNCT) + "]"
     toks = F.transform(F.split(t, WS_RUN_JAVA), lambda w: F.regexp_replace(w, rf"\A{cls}+|{cls}+\z", ""))
     out = None
     for name, en, bn in rules:
-        cond = t.rlike(word_regex(en)) | F.arrays_overlap(toks, lit_array(bn))
+        # when(), not &: the exact test must not be hoisted out of its condition
+        cond = (F.when(F.arrays_overlap(found, lit_array(_literals(en))), t.rlike(word_regex(en))).otherwise(F.lit(False))
+                | F.when(F.arrays_overlap(found, lit_array(bn)), F.arrays_overlap(toks, lit_array(bn))).otherwise(F.lit(False)))
         out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
     return out
 
 
+AGE_WORDS = ["বছর", "year", "age"]   # X.AGE_PATTERN ends in one of them
+
+
 def extract_entities(df: DataFrame, text_col: str) -> DataFrame:
-    """S20 + S21: age, victim relation, abuser relation."""
+    """S20 + S21: age, victim relation, abuser relation.
+
+    One pass finds the words that the rules name; the rules' expressions run where they occur."""
     t = F.col(text_col)
-    return (df.withColumn("age", N.age_from_text(t))
-            .withColumn("victim_relation", relation(t, X.VICTIM_RELATIONS))
-            .withColumn("abuser_relation", relation(t, X.ABUSER_RELATIONS)))
+    words = AGE_WORDS + [w for _, en, bn in X.VICTIM_RELATIONS + X.ABUSER_RELATIONS for w in [*_literals(en), *bn]]
+    found = F.col("_words")
+    return (df.withColumn("_words", found_keywords(F.lower(F.coalesce(t, F.lit(""))), words))
+            .withColumn("age", F.when(F.arrays_overlap(found, lit_array(AGE_WORDS)), N.age_from_text(t)))
+            .withColumn("victim_relation", relation(t, X.VICTIM_RELATIONS, found))
+            .withColumn("abuser_relation", relation(t, X.ABUSER_RELATIONS, found)).drop("_words"))
 
 
 def normalize_entities(raw: Column) -> Column:

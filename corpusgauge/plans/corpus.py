@@ -134,8 +134,8 @@ SELECT lang, count(*)::BIGINT AS n,
                                               lambda m: strpos(lower(coalesce(text, '')), m) > 0)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS religious_share
 FROM documents GROUP BY lang""", ops="S10 S11 A10")
 def emoji_marker_flags(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("lang", "text")
-    rel = T.is_religious("text")
+    docs = load(spark, sf_dir, "documents").select("lang", "text", T.is_religious("text").alias("rel"))
+    rel = F.col("rel")
     return docs.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(T.has_emoji("text")).alias("n_emoji"),
