@@ -39,14 +39,17 @@ from corpusgauge.llm.common import MIX, free_name, tune
 # Bounds of what a worker keeps; at the bound the cache is emptied, results do not change.
 MAX_MOVES = 200_000
 MAX_PIECES = 200_000
-MAX_PAIRS = 400_000
+MAX_PAIRS = 100_000
 
 # Slots of the table of pairs, and the most tokens that may end in one place.
 PAIR_BITS = 20
 PAIR_SLOTS = 1 << PAIR_BITS
 MAX_ENDS = 24
-# Pieces up to this many bytes go through the transducer together, longer ones alone.
+# Pieces up to this many bytes go through the transducer together (so many at a time), longer ones alone.
 SHORT = 48
+TOGETHER = 8192
+# Texts whose pieces are held at a time.
+TEXTS = 100
 
 BYTES = [bytes((i,)) for i in range(256)]
 
@@ -96,8 +99,9 @@ class Transducer:
     def clear(self) -> None:
         self.states: list[bytes] = [b""]
         self.names: dict[bytes, int] = {b"": 0}
-        self.moves: dict[int, tuple[int, int, tuple]] = {}  # by state * 256 + byte
-        # the same moves as arrays, for many pieces at a time: row of a move by state * 256 + byte
+        self.moves: dict[int, tuple[int, int, tuple]] = {}  # by state * 256 + byte; those met one byte at a time
+        # all moves as arrays, for many pieces at a time: row of a move by state * 256 + byte
+        self.made = 0
         self.row = np.full(256 * 256, -1, np.int32)
         self.table = np.full((1024, 2 + 2 * MAX_ENDS), -1, np.int32)  # next, cut, starts, tokens
 
@@ -113,7 +117,17 @@ class Transducer:
         self.fits[left << 32 | right] = ok
         return ok
 
-    def move(self, state: int, byte: int) -> tuple[int, int, tuple]:
+    def step(self, state: int, byte: int) -> tuple[int, int, tuple]:
+        """A move as a tuple, from the arrays if it is there."""
+        at = self.row[state << 8 | byte]
+        if at < 0:
+            self.move(state, byte)
+            at = self.row[state << 8 | byte]
+        n, cut, *ends = self.table[at].tolist()
+        found = self.moves[state << 8 | byte] = (n, cut, tuple((k, t) for k, t in zip(ends[::2], ends[1::2]) if t >= 0))
+        return found
+
+    def move(self, state: int, byte: int) -> None:
         grown = self.states[state] + BYTES[byte]
         cut = next(k for k in range(len(grown) + 1) if k == len(grown) or grown[k:] in self.begins)
         ends = tuple((k, self.ranks[grown[k:]]) for k in range(len(grown)) if grown[k:] in self.ranks
@@ -126,16 +140,15 @@ class Transducer:
             self.states.append(live)
         if len(self.row) < 256 * len(self.states):
             self.row = np.concatenate([self.row, np.full_like(self.row, -1)])
-        if len(self.table) == len(self.moves):
+        if len(self.table) == self.made:
             self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
         if len(ends) > (self.table.shape[1] - 2) // 2:
             raise ValueError("more tokens end in one place than MAX_ENDS")
-        at = self.row[state << 8 | byte] = len(self.moves)
+        at = self.row[state << 8 | byte] = self.made
+        self.made += 1
         self.table[at, :2] = n, cut
         for i, (k, token) in enumerate(ends):
             self.table[at, 2 + 2 * i:4 + 2 * i] = k, token
-        found = self.moves[state << 8 | byte] = (n, cut, ends)
-        return found
 
     def back(self, last: list[int], end: int) -> list[int]:
         """The tokens up to the position ``end``, last first."""
@@ -178,7 +191,7 @@ class Transducer:
     def encode_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and where each begins (and the last ends).
         All pieces take their next byte together: one move of the transducer for each."""
-        if len(self.moves) > MAX_MOVES:
+        if self.made > MAX_MOVES:
             self.clear()
         if not any(pieces):
             return np.empty(0, np.int32), np.zeros(len(pieces) + 1, np.int64)
@@ -227,13 +240,13 @@ class Transducer:
         return flat, begins
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.moves) > MAX_MOVES:
+        if self.made > MAX_MOVES:
             self.clear()
         out: list[int] = []
         known, fits = self.moves.get, self.fits.get
         state, base, last, full = 0, 0, [-1], self.lookahead
         for byte in data:
-            state, cut, ends = known(state << 8 | byte) or self.move(state, byte)
+            state, cut, ends = known(state << 8 | byte) or self.step(state, byte)
             for k, token in ends:
                 left = last[base + k]
                 ok = fits(left << 32 | token)
@@ -255,7 +268,7 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(self.ranks)
-        self.pieces: dict[str, array] = {}
+        self.pieces: dict[str, bytes] = {}  # the ids as 32-bit numbers
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of new pieces."""
@@ -263,31 +276,34 @@ class Encoder:
         for piece in pieces:
             data = piece.encode("utf-8")
             if data in self.ranks:  # a piece that is itself a token is that token, by definition
-                self.pieces[piece] = array("i", [self.ranks[data]])
+                self.pieces[piece] = array("i", [self.ranks[data]]).tobytes()
             elif len(data) <= SHORT:
                 short.append(piece)
             else:
-                self.pieces[piece] = array("i", self.transducer.encode(data))
-        flat, begins = self.transducer.encode_many([x.encode("utf-8") for x in short])
-        ids, begins = array("i", flat.tobytes()), begins.tolist()
-        for i, piece in enumerate(short):
-            self.pieces[piece] = ids[begins[i]:begins[i + 1]]
+                self.pieces[piece] = array("i", self.transducer.encode(data)).tobytes()
+        short.sort(key=len)
+        for at in range(0, len(short), TOGETHER):
+            some = short[at:at + TOGETHER]
+            flat, begins = self.transducer.encode_many([x.encode("utf-8") for x in some])
+            ids, begins = flat.tobytes(), (4 * begins).tolist()
+            for i, piece in enumerate(some):
+                self.pieces[piece] = ids[begins[i]:begins[i + 1]]
 
     def __call__(self, texts: list[str | None]) -> tuple[array, list[int]]:
         """The ids of all texts one after another, and where each begins (and the last ends)."""
         flat, ends = array("i"), [0]
-        found = [self.find(text or "") for text in texts]
-        new = {piece for pieces in found for piece in pieces if piece not in self.pieces}
-        if len(self.pieces) + len(new) > MAX_PIECES:
-            self.pieces.clear()
-            new = {piece for pieces in found for piece in pieces}
-        if new:
-            self.learn(new)
-        get, extend = self.pieces.__getitem__, flat.extend
-        for pieces in found:
-            for ids in map(get, pieces):
-                extend(ids)
-            ends.append(len(flat))
+        for at in range(0, len(texts), TEXTS):
+            found = [self.find(text or "") for text in texts[at:at + TEXTS]]
+            new = {piece for pieces in found for piece in pieces if piece not in self.pieces}
+            if len(self.pieces) + len(new) > MAX_PIECES:
+                self.pieces.clear()
+                new = {piece for pieces in found for piece in pieces}
+            if new:
+                self.learn(new)
+            get = self.pieces.__getitem__
+            for pieces in found:
+                flat.frombytes(b"".join(map(get, pieces)))
+                ends.append(len(flat))
         return flat, ends
 
 

@@ -100,3 +100,16 @@ def test_query_on_the_small_table(spark, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_short_pieces_leave_no_moves_and_little_memory():
+    """Pieces that go together use the arrays; the moves are not held a second time as tuples."""
+    import public_tokenizers
+
+    e = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = [f"reaund thonea{i} lyes শব্দ{i}" for i in range(300)] + [None]
+    flat, ends = e(texts)
+    assert e.transducer.made and not e.transducer.moves
+    assert all(isinstance(p, bytes) for p in e.pieces.values())
+    one = [e([t]) for t in texts]
+    assert flat.tolist() == [x for f, _ in one for x in f] and len(ends) == len(texts) + 1
