@@ -372,6 +372,23 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``.  Where ``df`` comes from here as well, both steps take a
+    task's batches one after another in the same Python worker: no second worker holds memory
+    beside the first, and the rows do not go through the JVM in between."""
+    source, steps = df.__dict__.get("mapped", (df, ()))
+    steps = (*steps, run)
+
+    def chain(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    out = source.mapInArrow(chain, schema)
+    out.mapped = source, steps
+    return out
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None,
            out: str = "ids") -> DataFrame:
     """The columns ``carry`` (all but the text by default) and ``out``: the ids of the whole text."""
@@ -388,7 +405,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", carry
 
     source = df.select(F.col(f"`{text_col}`").alias("_0"),
                        *[F.col(f"`{c}`").alias(f"_{i + 1}") for i, c in enumerate(carry)])
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded", as_text: bool = False) -> DataFrame:
@@ -407,4 +424,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded",
             kind = pa.string() if as_text else pa.binary()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, kind)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

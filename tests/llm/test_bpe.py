@@ -113,3 +113,18 @@ def test_short_pieces_leave_no_moves_and_little_memory():
     assert all(isinstance(p, bytes) for p in e.pieces.values())
     one = [e([t]) for t in texts]
     assert flat.tolist() == [x for f, _ in one for x in f] and len(ends) == len(texts) + 1
+
+
+def test_encode_and_decode_share_a_python_worker(spark):
+    """Two steps in a row are one pass over the rows; a step in between keeps them apart, with the same rows."""
+    df = spark.createDataFrame([(i, f"Wörd{i} und mehr 🙂 " * i if i % 7 else None, f"k{i}") for i in range(1300)],
+                               "doc_id bigint, text string, kept string")
+    ids = bpe.encode(df, PATH, P.PATTERN)
+    together, apart = bpe.decode(ids, PATH, as_text=True), bpe.decode(ids.filter("doc_id >= 0"), PATH, as_text=True)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert (plan(together), plan(apart)) == (1, 2)
+    assert together.schema == apart.schema
+    rows = sorted(together.collect())
+    assert rows == sorted(apart.collect()) and len(rows) == 1300
+    assert all(r.decoded == (f"Wörd{r.doc_id} und mehr 🙂 " * r.doc_id if r.doc_id % 7 else "") for r in rows)
+    assert sorted(ids.collect()) == [r[:3] for r in rows]
